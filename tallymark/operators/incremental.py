@@ -9,20 +9,28 @@ from pyspark.sql import DataFrame, functions as F
 COPIES_PER_ROW = 10_000
 
 
-def new_rows(feed: DataFrame, stored: DataFrame, date: str | None = None) -> DataFrame:
+def new_rows(
+    feed: DataFrame, stored: DataFrame, date: str | None = None, version: str | None = None
+) -> DataFrame:
     """Rows of a re-read feed that are not stored yet, copies included.
 
     A feed that repeats the newest stored rows adds only what lies beyond them. Copies are counted,
     not numbered: each side is reduced to one row per distinct record (map-side first), so a record
     with very many copies is never ranked inside one task. With ``date``, the stored side is read
-    only from the feed's first date on.
+    only from the feed's first date on. A feed holding several landings names its ``version`` column:
+    a record then counts as often as in the landing that has most copies of it.
     """
-    columns = feed.columns
+    columns = [c for c in feed.columns if c != version]
     if date is not None:
         first = feed.agg(F.min(date)).scalar()
         stored = stored.filter(F.col(date) >= first)
-    sides = feed.select(*columns, F.lit(1).alias("_n")).unionAll(stored.select(*columns, F.lit(-1).alias("_n")))
-    surplus = sides.groupBy(*columns).agg(F.sum("_n").alias("_n")).filter("_n > 0")
+    if version is None:
+        landed = feed.select(*columns, F.lit(1).cast("bigint").alias("_n"))
+    else:
+        per_version = feed.groupBy(version, *columns).agg(F.count("*").alias("_n"))
+        landed = per_version.groupBy(*columns).agg(F.max("_n").alias("_n"))
+    known = stored.select(*columns, F.lit(-1).cast("bigint").alias("_n"))
+    surplus = landed.unionAll(known).groupBy(*columns).agg(F.sum("_n").alias("_n")).filter("_n > 0")
     return repeat_rows(surplus, "_n")
 
 

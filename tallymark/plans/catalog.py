@@ -1,6 +1,8 @@
 """Every registered query. Importing the query modules registers them."""
 
-from tallymark.plans import rate_queries, supply_queries  # noqa: F401
+from tallymark.plans import (  # noqa: F401
+    landing_queries, rate_queries, region_queries, supply_queries, text_queries,
+)
 from tallymark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

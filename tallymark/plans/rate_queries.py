@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymark.functions import numbers as N, periods as P
+from tallymark.functions.text import NBSP
 from tallymark.operators import measures as M, presentation as V, reshape as R
 from tallymark.plans import harm_marts, standins
 from tallymark.plans.registry import query, table
@@ -139,11 +140,11 @@ def _landed_totals(spark: SparkSession, d: str) -> DataFrame:
     """Yearly order counts as landed indicator rows: last year partial, small values suppressed."""
     last = table(spark, d, "orders").agg(F.max("o_orderdate")).scalar()
     open_year = (F.col("year") == F.year(last)) & (F.month(last) < 12)
-    label = F.when(open_year, F.concat(F.col("year"), F.lit(" (Jan to "), F.date_format(last, "MMM"), F.lit(")")))
+    label = F.when(open_year, F.concat(F.col("year"), F.lit(" (Jan to "), F.date_format(last, "MMM"), F.lit(")")))
     return standins.yearly_orders(spark, d).select(
         F.col("geo").alias("Region"), F.lit("Deaths").alias("Source"), F.lit("Opioids").alias("Substance"),
         F.lit("Overall numbers").alias("Specific_Measure"), F.lit(None).cast("string").alias("Disaggregator"),
-        F.lit("By year").alias("Time_Period"), F.coalesce(F.replace(label, F.lit(" "), F.lit(" ")), F.col("year").cast("string")).alias("Year_Quarter"),
+        F.lit("By year").alias("Time_Period"), F.concat(F.coalesce(label, F.col("year").cast("string")), F.lit(NBSP)).alias("Year_Quarter"),
         F.lit("Number").alias("Unit"), F.when(F.col("n") < 40, "Suppr.").otherwise(F.col("n").cast("string")).alias("Value"),
     )
 
@@ -296,7 +297,7 @@ select geo, year, n, 'Suppr.', null, true from (select geo, year, sum(n)::bigint
 def observed_values(spark: SparkSession, d: str) -> DataFrame:
     """Printed text with padding and percent signs to typed values and suppression flags."""
     yearly = standins.yearly_orders(spark, d)
-    text = F.when(F.col("n") < 5, F.lit("Suppr. ")).otherwise(F.concat("n", F.lit("% ")))
+    text = F.concat(F.when(F.col("n") < 5, "Suppr.").otherwise(F.concat("n", F.lit("%"))), F.lit(NBSP))
     return M.observe(yearly.withColumn("text", text), "text").drop("text")
 
 

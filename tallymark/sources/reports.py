@@ -78,7 +78,7 @@ def report_tables(
     source = F.concat(F.lit("\n"), F.col(text))
     if leftovers is not None:
         source = F.regexp_replace(source, rf"\n(?:{leftovers})[^\n]*\n {{0,3}}(?=\n)", "")
-    paragraphs = F.split(source, r"\n(?: {0,3}\n)+")
+    paragraphs = F.split(source, r"\n(?: {0,3}(?:\n|\z))+")
     rest = [c for c in reports.columns if c != text]
     found = (
         reports.select(*rest, F.posexplode(paragraphs).alias("table_no", "_block"))

@@ -6,9 +6,10 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallymark.operators.incremental import new_rows
+from tallymark.sources.landing import name_fields
 from tallymark.sources.sinks import replace_partitions
 
 
@@ -26,13 +27,15 @@ def load_feed(
     Every micro-batch writes its own ``batch`` partition and compares with the other ones, so a batch
     that is repeated after a failure replaces itself and the store never holds a row too often.
     """
-    stream = spark.readStream.schema(schema).format(fmt).option("header", "true").load(landing)
+    stream = (
+        spark.readStream.schema(schema).format(fmt).option("header", "true").load(landing)
+        .withColumn("version", name_fields(F.col("_metadata.file_name"))["as_of"])
+    )
+    columns = schema.names
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch
-        stored = _stored(batch.sparkSession, store)
-        if stored is not None:
-            fresh = new_rows(batch, stored.filter(F.col("batch") != batch_id).select(*batch.columns), date)
+        stored = _stored(batch.sparkSession, store, schema).filter(F.col("batch") != batch_id).select(*columns)
+        fresh = new_rows(batch, stored, date, version="version")
         replace_partitions(fresh.withColumn("batch", F.lit(batch_id)), store, ["batch"])
 
     return (
@@ -43,7 +46,10 @@ def load_feed(
     )
 
 
-def _stored(spark: SparkSession, store: str) -> DataFrame | None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(store)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(store) if fs.exists(hadoop) else None
+def _stored(spark: SparkSession, store: str, schema: StructType) -> DataFrame:
+    """The store as it is; an empty one before the first batch."""
+    full = StructType([*schema.fields, StructField("batch", LongType())])
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(store)

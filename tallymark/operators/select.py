@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -115,27 +115,21 @@ def match_saved_visuals(
     true matches are ever produced. The fan-out is fixed by the number of dimensions, not by data.
     """
     ordered = sorted(dims)
+    distinct = filters.select("visual_id", "filter_type", "filter_value").distinct()
+    wanted = {d: F.max(F.when(F.col("filter_type") == d, F.col("filter_value"))) for d in ordered}
+    used = sum((F.when(F.col(f"_{d}").isNotNull(), 1).otherwise(0) for d in ordered), F.lit(0))
     visuals = (
-        filters.select("visual_id", "filter_type", "filter_value").distinct()
-        .groupBy("visual_id")
-        .agg(
-            F.count("*").alias("n"),
-            F.countDistinct("filter_type").alias("n_types"),
-            # one pair per dimension at most, checked below
-            F.sort_array(F.collect_set(F.struct("filter_type", "filter_value"))).alias("pairs"),
-        )
-        # two different values asked of the same dimension can never hold together
-        .filter("n = n_types")
-        .select("visual_id", _filter_key(F.col("pairs")).alias("_key"))
+        distinct.groupBy("visual_id").agg(F.count("*").alias("_n"), *[c.alias(f"_{d}") for d, c in wanted.items()])
+        # more filters than dimensions in use: two values asked of one dimension, or an unknown one
+        .filter(F.col("_n") == used)
+        .select("visual_id", _filter_key([(d, F.col(f"_{d}")) for d in ordered]).alias("_key"))
     )
     combos = [c for n in range(1, len(ordered) + 1) for c in combinations(ordered, n)]
-    offers = F.array(*[
-        _filter_key(F.array(*[
-            F.struct(F.lit(d).alias("filter_type"), F.col(d).cast("string").alias("filter_value"))
-            for d in combo
-        ]))
+    # a missing dimension satisfies no filter, so combinations with one offer nothing
+    offers = F.array_compact(F.array(*[
+        F.when(reduce(and_, [F.col(d).isNotNull() for d in combo]), _filter_key([(d, F.col(d)) for d in combo]))
         for combo in combos
-    ])
+    ]))
     return (
         points.select(point_id, F.explode(offers).alias("_key"))
         .join(visuals, "_key")
@@ -143,5 +137,7 @@ def match_saved_visuals(
     )
 
 
-def _filter_key(pairs: Column) -> Column:
-    return F.to_json(pairs)
+def _filter_key(pairs: Sequence[tuple[str, Column]]) -> Column:
+    """Filters in a fixed order as one text; absent ones are left out."""
+    entries = [F.when(c.isNotNull(), F.struct(F.lit(d).alias("k"), c.cast("string").alias("v"))) for d, c in pairs]
+    return F.to_json(F.array_compact(F.array(*entries)))

@@ -149,7 +149,8 @@ def incremental_overlap(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select("event_id", "event_type", "user_id", "ts", F.to_date("ts").alias("day"))
 
     def with_copies(rows: DataFrame, copies: str) -> DataFrame:
-        return R.stack_rows(rows, rows.filter(copies)).select("event_type", "user_id", "day")
+        times = F.array_repeat(F.lit(1), F.when(F.expr(copies), 2).otherwise(1))
+        return rows.select("event_type", "user_id", "day", F.explode(times).alias("_copy")).drop("_copy")
 
     stored = with_copies(events.filter("ts < timestamp '2024-01-20'"), "event_id % 50 = 0")
     feed = with_copies(events.filter("ts >= timestamp '2024-01-15'"), "event_id % 20 = 0")

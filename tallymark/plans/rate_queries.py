@@ -9,7 +9,8 @@ from tallymark.functions.text import NBSP
 from tallymark.operators import measures as M, presentation as V, reshape as R
 from tallymark.plans import harm_marts, standins
 from tallymark.plans.registry import query, table
-from tallymark.plans.standins import MONTHLY_SQL, POPULATION_SQL
+from tallymark.plans.settle import settled
+from tallymark.plans.standins import MONTHLY_SQL, POPULATION_SQL, SAMPLES_SQL
 
 SELECTED = ("NATION_0", "NATION_3", "NATION_7", "NATION_12")
 SELECTED_SQL = "('NATION_0', 'NATION_3', 'NATION_7', 'NATION_12')"
@@ -30,7 +31,8 @@ def rate_per_100k_same_year(spark: SparkSession, d: str) -> DataFrame:
 select y.geo, y.year, y.n, p.population, round_even(y.n::double / p.population * 100000.0, 2) as rate
 from yearly y left join population p on p.geo = y.geo and p.year = (select max(year) from yearly)""")
 def rate_per_100k_latest_year(spark: SparkSession, d: str) -> DataFrame:
-    return M.add_rate(standins.yearly_orders(spark, d), standins.population(spark, d), "n", "latest_year")
+    yearly = settled(standins.yearly_orders(spark, d))
+    return M.add_rate(yearly, standins.population(spark, d), "n", "latest_year")
 
 
 PERCENT_SQL = """with counts as (
@@ -44,7 +46,7 @@ percents as (
 
 def _percents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Published percentages (one decimal) per year and series, and the yearly totals."""
-    counts = standins.sample_counts(spark, d).withColumnRenamed("category", "series")
+    counts = settled(standins.sample_counts(spark, d)).withColumnRenamed("category", "series")
     shared = M.share_of_total(counts, ["year"], "n")
     percents = shared.select(
         "year", "series", N.half_even(F.col("n").cast("double") / F.col("total").cast("double") * 100.0, 1).alias("percent")
@@ -94,30 +96,33 @@ def composed_rate_from_percent(spark: SparkSession, d: str) -> DataFrame:
     return counted.withColumn("rate", N.rate_per_100k(F.col("count"), F.col("population")))
 
 
-@query(f"""{PERCENT_SQL}, {YEAR_POPULATION_SQL},
-m as (select year, series, percent, round_even(percent * total / 100.0, 0) as count, population
-      from percents left join people using (year))
-select 'ALL' as geo, series, year, 'percentages' as metric, percent as value from m
-union all select 'ALL', series, year, 'counts', count from m
-union all select 'ALL', series, year, 'rates', round_even(count / population * 100000.0, 2) from m""")
+@query(f"""with {SAMPLES_SQL}, {POPULATION_SQL},
+counts as (select geo, year, category as series, count(*)::bigint as n from samples group by all),
+totals as (select geo, year, sum(n)::bigint as total from counts group by all),
+percents as (select geo, year, series, total, round_even(n::double / total * 100.0, 2) as percent from counts join totals using (geo, year)),
+m as (select p.*, round_even(percent * total / 100.0, 0) as count, population
+      from percents p left join population q on q.geo = p.geo and q.year = p.year)
+select geo, series, year, 'percentages' as metric, percent as value from m
+union all select geo, series, year, 'counts', count from m
+union all select geo, series, year, 'rates', round_even(count / population * 100000.0, 2) from m""")
 def mart_percent_count_rate(spark: SparkSession, d: str) -> DataFrame:
     """The composition mart over indicator rows in their landed form."""
-    percents, totals = _percents(spark, d)
-    shape = [F.lit("ALL").alias("Region"), F.lit("Deaths").alias("Source"), F.lit("Opioids").alias("Substance")]
+    counts = settled(standins.regional_sample_counts(spark, d))
+    shares = M.share_of_total(counts, ["geo", "year"], "n")
+    shape = [F.col("geo").alias("Region"), F.lit("Deaths").alias("Source"), F.lit("Opioids").alias("Substance")]
     period = [F.lit("By year").alias("Time_Period"), F.col("year").cast("string").alias("Year_Quarter")]
     landed = R.stack_rows(
-        percents.select(
-            *shape, F.lit("Type of opioids").alias("Specific_Measure"), F.col("series").alias("Disaggregator"), *period,
+        shares.select(
+            *shape, F.lit("Type of opioids").alias("Specific_Measure"), F.col("category").alias("Disaggregator"), *period,
             F.lit("Percent").alias("Unit"), F.concat(F.col("percent").cast("string"), F.lit("%")).alias("Value"),
         ),
-        totals.select(
+        M.tally(counts, ["geo", "year"], "n", "total").select(
             *shape, F.lit("Overall numbers").alias("Specific_Measure"), F.lit(None).cast("string").alias("Disaggregator"),
             *period, F.lit("Number").alias("Unit"), F.col("total").cast("string").alias("Value"),
         ),
     )
-    people = M.tally(table(spark, d, "orders").select("o_custkey", standins.year("o_orderdate")).distinct(), ["year"], name="population")
-    mart = harm_marts.deaths_by_drug_type(harm_marts.typed_indicators(landed), people.withColumn("geo", F.lit("ALL")))
-    return mart.drop("substance")
+    ind = harm_marts.typed_indicators(landed)
+    return harm_marts.deaths_by_drug_type(ind, standins.population(spark, d)).drop("substance")
 
 
 @query(f"""{RATE_SQL}, ends as (select max(o_orderdate) as last from orders)
@@ -190,7 +195,8 @@ select geo, year, n, (sum(n) over (partition by year))::bigint as total,
        (sum(n) over (partition by year order by geo))::bigint as stacked
 from y""")
 def percent_of_total_stack(spark: SparkSession, d: str) -> DataFrame:
-    shares = V.percent_stack(standins.yearly_orders(spark, d), SELECTED, "geo", "year", "n")
+    yearly = settled(standins.yearly_orders(spark, d))
+    shares = V.percent_stack(yearly, SELECTED, "geo", "year", "n")
     numbered = shares.withColumn("_no", F.array_position(F.array(*[F.lit(s) for s in sorted(SELECTED)]), F.col("geo")))
     return V.stack_heights(numbered, "year", "_no", "n").drop("_no")
 
@@ -205,7 +211,7 @@ from (select distinct series from c) s cross join (select distinct year from c)
 left join c on c.series = s.series and c.year = a.year""")
 def aligned_series_zero_fill(spark: SparkSession, d: str) -> DataFrame:
     monthly = standins.monthly_orders(spark, d).filter("series <> 'FURNITURE' or year >= 1998")
-    counts = M.tally(monthly, ["series", "year"], "n")
+    counts = settled(M.tally(monthly, ["series", "year"], "n"))
     return R.fill_periods(counts, ["series"], "year", ["n"], R.shared_axis(counts, "year"))
 
 
@@ -260,7 +266,7 @@ u as (select series, least(min(case when raw_value = 'Suppr.' then month_start e
 v as (select series, complete_until from u union all select 'all drugs', min(complete_until) from u)
 select series, year, value, complete_until from a join v using (series)""")
 def provincial_drug_totals(spark: SparkSession, d: str) -> DataFrame:
-    monthly = _printed(spark, d).withColumn("as_of", F.lit("2001-12-31").cast("date"))
+    monthly = settled(_printed(spark, d)).withColumn("as_of", F.lit("2001-12-31").cast("date"))
     return harm_marts.provincial_drug_totals(monthly)
 
 

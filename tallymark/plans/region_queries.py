@@ -9,6 +9,7 @@ from tallymark.operators import measures as M, regions as G, reshape as R, selec
 from tallymark.operators.ordered import first_match
 from tallymark.plans import harm_marts, standins
 from tallymark.plans.registry import query, table
+from tallymark.plans.settle import settled
 from tallymark.plans.standins import MONTHLY_SQL
 
 REGION_MAP_SQL = """region_map as (
@@ -37,7 +38,7 @@ def _region_map(spark: SparkSession, d: str) -> DataFrame:
 
 def _places(spark: SparkSession, d: str) -> DataFrame:
     """Line items per nation and year with the printed total row."""
-    by_nation = standins.supplier_year_counts(spark, d).withColumnRenamed("geo", "location")
+    by_nation = settled(standins.supplier_year_counts(spark, d)).withColumnRenamed("geo", "location")
     total = M.tally(by_nation, ["year"], "n").withColumn("location", F.lit("Total"))
     return R.stack_rows(by_nation, total)
 
@@ -238,14 +239,12 @@ o as (select *, case metric when 'counts' then 1 when 'rates' then 2 else 3 end
 b as (select geo, min(pos) as pos from o group by geo)
 select geo, year, metric, value from o join b using (geo, pos)""")
 def metric_fallback(spark: SparkSession, d: str) -> DataFrame:
-    yearly = standins.yearly_orders(spark, d)
-
-    def rows(metric: str, factor: float, absent: list[str]) -> DataFrame:
-        return S.without_labels(yearly, "geo", absent).select(
-            "geo", "year", F.lit(metric).alias("metric"), (F.col("n") * factor).alias("value")
-        )
-
-    metrics = R.stack_rows(
-        rows("percentages", 1.0, ["-"]), rows("rates", 2.0, ["NATION_2"]), rows("counts", 3.0, ["NATION_2", "NATION_4"])
+    yearly = settled(standins.yearly_orders(spark, d))
+    geo, n = F.col("geo"), F.col("n").cast("double")
+    offered = F.array(
+        F.struct(F.lit("percentages").alias("metric"), n.alias("value")),
+        F.when(geo != "NATION_2", F.struct(F.lit("rates").alias("metric"), (n * 2.0).alias("value"))),
+        F.when(~geo.isin("NATION_2", "NATION_4"), F.struct(F.lit("counts").alias("metric"), (n * 3.0).alias("value"))),
     )
+    metrics = yearly.select("geo", "year", F.inline(F.array_compact(offered)))
     return S.preferred_metric(metrics, ["geo"])

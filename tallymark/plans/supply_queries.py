@@ -8,6 +8,7 @@ from tallymark.functions import numbers as N
 from tallymark.operators import measures as M, presentation as V, reshape as R, select as S
 from tallymark.plans import sample_marts, standins
 from tallymark.plans.registry import query, table
+from tallymark.plans.settle import settled
 from tallymark.plans.standins import SAMPLES_SQL
 
 WORDS = ("red", "hot", "large", "gear", "ring", "old")
@@ -26,7 +27,7 @@ select year, category, n, (sum(n) over (partition by year))::bigint as total,
        round_even(n::double / sum(n) over (partition by year) * 100.0, 2) as percent
 from filled""")
 def supply_by_category_year(spark: SparkSession, d: str) -> DataFrame:
-    counts = standins.sample_counts(spark, d)
+    counts = settled(standins.sample_counts(spark, d))
     filled = R.fill_periods(counts, ["category"], "year", ["n"], R.shared_axis(counts, "year"))
     return M.share_of_total(filled, ["year"], "n")
 
@@ -101,7 +102,7 @@ mart as (
 def _series_with_zeros(spark: SparkSession, d: str) -> DataFrame:
     """Counts per category in which one series starts late and one is empty."""
     late = (F.col("series") == "PROMO") & (F.col("year") < 1997)
-    mart = standins.sample_counts(spark, d).withColumnRenamed("category", "series")
+    mart = settled(standins.sample_counts(spark, d)).withColumnRenamed("category", "series")
     return mart.withColumn("n", F.when(late | (F.col("series") == "SMALL"), F.lit(0)).otherwise(F.col("n")).cast("bigint"))
 
 

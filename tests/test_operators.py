@@ -1,0 +1,282 @@
+"""Operators against brute force on small frames."""
+
+import itertools
+from collections import Counter
+
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from tallymark.operators import (
+    incremental as I, measures as M, ordered as O, presentation as V, regions as G, reshape as R, select as S,
+)
+
+few = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+pairs = st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.integers(0, 9))), min_size=1, max_size=30)
+
+
+def test_slices(spark, rows):
+    df = spark.createDataFrame([("Deaths", "x", 1), ("Deaths", "y", 2), ("Visits", "x", 3)], "event string, series string, n int")
+    assert rows(S.slice_indicator(df, event="Deaths"), "n") == [(1,), (2,)]
+    assert rows(S.slice_indicator(df, event=["Deaths", "Visits"], series="x"), "n") == [(1,), (3,)]
+    assert rows(S.without_labels(df, "series", ["x"]), "n") == [(2,)]
+
+
+def test_code_list(spark, rows):
+    df = spark.createDataFrame([("Possession [4140]",), ("Arson [1629]",), ("Total [401] drugs",), ("Odd [44]",)], "v string")
+    assert rows(df.filter(S.has_code(F.col("v")))) == [("Possession [4140]",), ("Total [401] drugs",)]
+
+
+def test_title_lookup(spark, rows):
+    df = spark.createDataFrame(
+        [("Deaths by Sex",), ("Interior: Deaths by Sex, monthly",), ("Death Rates per 100,000",), ("Other",)], "title string"
+    )
+    assert rows(S.lookup_titles(df, "title", ["deaths BY sex", "Death Rates"], exact=True)) == [("Deaths by Sex",)]
+    # only the text before the first comma counts, on both sides
+    assert rows(S.lookup_titles(df, "title", ["Death Rates per 100,999"], exact=True)) == [("Death Rates per 100,000",)]
+    assert len(rows(S.lookup_titles(df, "title", ["Deaths by Sex", "Death Rates"]))) == 3
+    assert rows(S.yearly_tables(df, "title"))[0] == ("Death Rates per 100,000",)
+
+
+def test_trim_rows(spark, rows):
+    df = spark.createDataFrame([("a", i) for i in range(7)] + [("b", i) for i in range(5)], "t string, row_no int")
+    assert rows(S.trim_rows(df, ["t"], "row_no", 2, 2)) == [("a", 2), ("a", 3), ("a", 4), ("b", 2)]
+
+
+def test_preferred_metric(spark, rows):
+    df = spark.createDataFrame([("a", "rates", 1), ("a", "percentages", 2), ("b", "percentages", 3), ("b", "odd", 4)], "chart string, metric string, v int")
+    assert rows(S.preferred_metric(df, ["chart"]), "chart", "v") == [("a", 1), ("b", 3)]
+
+
+def test_saved_visuals_match_brute_force(spark, rows):
+    points = [(f"{g}{y}{m}", g, y, m) for g, y, m in itertools.product(("bc", None), ("2023", "2024"), ("rate", "count"))]
+    filters = [
+        (1, "geo", "bc"), (2, "geo", "bc"), (2, "metric", "rate"), (3, "year", "2024"), (3, "year", "2023"),
+        (4, "year", "2024"), (4, "year", "2024"), (5, "planet", "x"), (5, "geo", "bc"), (6, "metric", "rate"), (6, "year", "2023"), (6, "geo", "bc"),
+    ]
+    expected = set()
+    for visual in {f[0] for f in filters}:
+        asked = {f[1:] for f in filters if f[0] == visual}
+        for pid, g, y, m in points:
+            if all(dict(geo=g, year=y, metric=m).get(k) == v for k, v in asked):
+                expected.add((visual, pid))
+    found = S.match_saved_visuals(
+        spark.createDataFrame(points, "point_id string, geo string, year string, metric string"),
+        spark.createDataFrame(filters, "visual_id int, filter_type string, filter_value string"),
+        ["geo", "year", "metric"], "point_id",
+    )
+    assert rows(found) == sorted(expected, key=repr)
+
+
+@few
+@given(pairs)
+def test_carry_forward_equals_loop(spark, data):
+    table = [(k, i, v) for i, (k, v) in enumerate(data)]
+    last, expected = {}, []
+    for k, i, v in table:
+        last[k] = v if v is not None else last.get(k)
+        expected.append((k, i, last[k]))
+    df = spark.createDataFrame(table, "k string, i int, v int")
+    out = O.carry_forward(df, ["k"], "i", ["v"], block_rows=3)
+    assert sorted(map(tuple, out.collect())) == sorted(expected)
+
+
+@few
+@given(pairs, st.booleans())
+def test_running_total_equals_loop(spark, data, descending):
+    table = [(k, i, v or 0) for i, (k, v) in enumerate(data)]
+    sums, expected = Counter(), []
+    for k, i, v in reversed(table) if descending else table:
+        sums[k] += v
+        expected.append((k, i, v, sums[k]))
+    df = spark.createDataFrame(table, "k string, i int, v int")
+    out = O.running_total(df, ["k"], "i", {"t": F.col("v")}, descending=descending, block_rows=3)
+    assert sorted(map(tuple, out.collect())) == sorted(expected)
+
+
+def test_header_years(spark, rows):
+    months = ["Nov", "Dec", "Jan", "Feb", "Mar"]
+    df = spark.createDataFrame([("s", i + 1, m) for i, m in enumerate(months)], "sheet string, col_no int, header string")
+    assert [r[0] for r in O.month_header_years(df, ["sheet"], 2024).orderBy("col_no").select("year").collect()] == [2023, 2023, 2024, 2024, 2024]
+    labels = ["Number", "Percent"] * 3
+    cyc = spark.createDataFrame([("s", i + 1, m) for i, m in enumerate(labels)], "sheet string, col_no int, header string")
+    assert [r[0] for r in O.cycle_header_years(cyc, ["sheet"], 2024).orderBy("col_no").select("year").collect()] == [2022, 2022, 2023, 2023, 2024, 2024]
+    letters = ["F", "C", "F", "C", "A"]
+    mark = spark.createDataFrame([("s", i, m) for i, m in enumerate(letters)], "sheet string, col_no int, header string")
+    assert [r[0] for r in O.marker_header_years(mark, ["sheet"], 2016, "F").orderBy("col_no").select("year").collect()] == [2016, 2016, 2017, 2017, 2017]
+
+
+def test_newest(spark, rows):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", 3, "z"), ("b", 2, "w")], "s string, v int, p string")
+    assert rows(O.newest_row(df, ["s"], ["v", "p"])) == [("a", 3, "z"), ("b", 2, "w")]
+    assert rows(O.latest_rows(df, ["s"], "v"), "s", "p") == [("a", "y"), ("a", "z"), ("b", "w")]
+
+
+def test_unpivot_pivot_roundtrip(spark, rows):
+    wide = spark.createDataFrame([("Fraser", "1", None), ("Interior", "3", "4")], "label string, `2023` string, `2024` string")
+    long = R.wide_to_long(wide, ["label"], "year", "raw")
+    assert rows(long) == [("Fraser", "2023", "1"), ("Fraser", "2024", None), ("Interior", "2023", "3"), ("Interior", "2024", "4")]
+    back = R.long_to_wide(long.withColumn("v", F.col("raw").cast("int")), "label", "year", "v", ["2023", "2024"], total="Total")
+    assert rows(back) == [("Fraser", 1, None), ("Interior", 3, 4), ("Total", 4, 4)]
+
+
+def test_display_table_keeps_null_label_apart_from_total(spark, rows):
+    df = spark.createDataFrame([(None, 2023, 1), ("a", 2023, 2), ("a", None, 5)], "s string, y int, v int")
+    assert rows(R.long_to_wide(df, "s", "y", "v", [2023], total="Total")) == sorted([(None, 1), ("a", 2), ("Total", 3)], key=repr)
+
+
+def test_fill_periods_aligns_by_year(spark, rows):
+    df = spark.createDataFrame([("o", 2022, 5), ("o", 2023, 6), ("s", 2023, 7)], "s string, year int, n int")
+    out = R.fill_periods(df, ["s"], "year", ["n"], R.shared_axis(df, "year"))
+    assert rows(out) == [("o", 2022, 5), ("o", 2023, 6), ("s", 2022, 0), ("s", 2023, 7)]
+    spread = R.fill_periods(df, ["s"], "year", ["n"], R.year_axis(2021, 2023))
+    assert spread.count() == 6
+
+
+def test_transpose_twice_is_identity(spark, rows):
+    cells = spark.createDataFrame([(0, 1, "a"), (2, 0, "b")], "row_no int, col_no int, value string")
+    assert rows(R.transpose_cells(R.transpose_cells(cells)), "row_no", "col_no", "value") == rows(cells)
+    assert R.last_column_first(cells).columns == ["value", "row_no", "col_no"]
+
+
+@few
+@given(st.lists(st.tuples(st.sampled_from(["x", "y", "z"]), st.sampled_from([2022, 2023])), min_size=1, max_size=40))
+def test_shares_sum_to_hundred(spark, data):
+    df = spark.createDataFrame(data, "s string, year int")
+    out = M.share_of_total(M.tally(df, ["year", "s"]), ["year"], "n").groupBy("year").agg(F.sum("percent").alias("p")).collect()
+    assert all(abs(r.p - 100) < 0.02 for r in out)
+
+
+def test_keywords_match_analogues_and_null_text(spark, rows):
+    df = spark.createDataFrame(
+        [(2024, "Acetylfentanyl, Caffeine"), (2024, "FENTANYL, Heroin"), (2024, None), (2023, "Codeine")], "year int, t string"
+    )
+    out = M.keyword_counts(df, ["year"], F.col("t"), ["Fentanyl", "Heroin"])
+    assert rows(out, "year", "series", "n", "total", "percent") == [
+        (2023, "Fentanyl", 0, 1, 0.0), (2023, "Heroin", 0, 1, 0.0), (2024, "Fentanyl", 2, 3, 66.67), (2024, "Heroin", 1, 3, 33.33),
+    ]
+
+
+def test_tokens_count_occurrences_and_samples(spark, rows):
+    df = spark.createDataFrame([("i", ["a", "b", "a", ""], 2), ("i", ["a"], 1), ("f", None, 1)], "geo string, t array<string>, w int")
+    assert rows(M.token_counts(df, ["geo"], "t")) == [("i", "a", 3, 2), ("i", "b", 1, 1)]
+    assert rows(M.token_counts(df, ["geo"], "t", weight="w")) == [("i", "a", 5, 3), ("i", "b", 2, 2)]
+
+
+def test_grouped_totals(spark, rows):
+    df = spark.createDataFrame([("a", 1, "x", 2), ("a", 1, None, 3), ("a", 2, "x", 4)], "geo string, y int, c string, n int")
+    assert rows(M.grouped_totals(df, ["geo", "y", "c"], "n")) == sorted(
+        [("a", 1, "x", 2, False), ("a", 1, None, 3, False), ("a", 1, None, 5, True), ("a", 2, "x", 4, False), ("a", 2, None, 4, True)], key=repr
+    )
+
+
+def test_rates_by_population_mode(spark, rows):
+    df = spark.createDataFrame([("bc", 2016, 807), ("bc", 2024, 2339), ("xx", 2024, 1)], "geo string, year int, n int")
+    pop = spark.createDataFrame([("bc", 2016, 4_859_250), ("bc", 2024, 5_698_430)], "geo string, year int, population bigint")
+    same = rows(M.add_rate(df, pop, "n"), "geo", "year", "rate")
+    assert same == [("bc", 2016, 16.61), ("bc", 2024, 41.05), ("xx", 2024, None)]
+    # the published national chart uses one population for all years
+    assert rows(M.add_rate(df, pop, "n", "latest_year"), "geo", "year", "rate")[:2] == [("bc", 2016, 14.16), ("bc", 2024, 41.05)]
+    with pytest.raises(ValueError):
+        M.add_rate(df, pop, "n", "other")
+
+
+def test_year_totals_skip_suppressed(spark, rows):
+    df = spark.createDataFrame([("s", 2024, "3"), ("s", 2024, "*"), ("s", 2024, "4"), ("t", 2024, "*")], "series string, year int, raw string")
+    assert rows(M.year_totals(df, ["series", "year"], "raw")) == [("s", 2024, 7.0, 1), ("t", 2024, None, 1)]
+
+
+def test_complete_until_is_kept_per_series(spark, rows):
+    data = [("a", "1", "2024-08-01"), ("a", "*", "2024-09-01"), ("b", "*", "2024-07-01"), ("b", "2", "2024-09-01"), ("c", "5", "2024-09-01")]
+    df = spark.createDataFrame(data, "series string, raw string, m string").withColumn("m", F.to_date("m"))
+    out = M.complete_until(df, ["series"], "raw", "m", F.lit("2024-12-01").cast("date"))
+    assert [str(r[1]) for r in rows(out)] == ["2024-09-01", "2024-07-01", "2024-09-01"]
+
+
+def test_empty_measures(spark, rows):
+    df = spark.createDataFrame([("a", 0.0), ("a", None), ("b", 0.0), ("b", 2.0)], "m string, v double")
+    assert rows(M.drop_empty_measures(df, ["m"], "v")) == [("b", 0.0), ("b", 2.0)]
+
+
+def test_partial_notes(spark):
+    df = spark.createDataFrame(
+        [("BC", "2025 (Jan to Mar) "), ("AB", "2025 (Jan to Mar)"), ("BC", "2024"), ("AB", "2025 (Jan to Mar)")], "geo string, y string"
+    )
+    note = M.partial_period_notes(df, "y", "geo").collect()
+    assert [n.note for n in note] == ["AB, BC contain data only for Jan to Mar in the year 2025."]
+
+
+def test_authorities(spark, rows):
+    region_map = spark.createDataFrame([("Regina", "South", 1), ("Regina", "Other", 2), ("Cochin", "West", 0)], "location string, authority string, position int")
+    df = spark.createDataFrame([("Regina", 2024, 5), ("Cochin", 2024, 2), ("Cochin", 2024, 1), ("Nowhere", 2024, 4), ("Total", 2024, 12)], "location string, year int, n int")
+    assert rows(G.totals_by_authority(df, region_map, "n", ["year"])) == [
+        ("Saskatchewan", 2024, 12), ("South", 2024, 5), ("Unknown", 2024, 4), ("West", 2024, 3),
+    ]
+
+
+def test_features_and_sources(spark, rows):
+    series = spark.createDataFrame([("Fraser", 1), ("Lost", 2)], "geo string, n int")
+    features = spark.createDataFrame([("Fraser",), ("Interior",)], "ENGNAME string")
+    assert rows(G.match_features(series, features)) == [("Fraser", 1)]
+    assert rows(G.without_match(series, features.withColumnRenamed("ENGNAME", "geo"), ["geo"])) == [("Lost", 2)]
+    assert rows(G.add_province_code(spark.createDataFrame([("Quebec",), ("Canada",)], "geo string")), "code") == [("Canada",), ("qc",)]
+
+
+def test_leading_zeros(spark, rows):
+    df = spark.createDataFrame([("a", 1, 0), ("a", 2, 0), ("a", 3, 4), ("a", 4, 0), ("z", 1, 0), ("z", 2, 0)], "s string, y int, v int")
+    assert rows(V.trim_leading_zeros(df, ["s"], "y", "v")) == [("a", 3, 4), ("a", 4, 0)]
+    shown = V.leading_zeros_as_text(df, ["s"], "y", "v").orderBy("s", "y").select("shown").collect()
+    assert [r[0] for r in shown] == ["No Data", "No Data", "4", "0", "0", "0"]
+    assert rows(V.first_period_with_data(df, ["s"], "y", "v")) == [("a", 3)]
+    assert rows(V.empty_periods(df, ["s"], "v")) == [("z",)]
+
+
+def test_national_totals_match_published(spark, rows):
+    # provinces of 2016 and 2025 as printed; the suppressed value counts as 0
+    y2016 = ["807", "602", "83", "88", "867", "263", "34", "53", "5", "18"]
+    y2025 = ["448", "312", "48", "59", "319", "153", "9", "15", "Suppr.", "9"]
+    df = spark.createDataFrame([(2016, v) for v in y2016] + [(2025, v) for v in y2025], "year int, raw string")
+    assert rows(V.national_total(df, "year", "raw")) == [(2016, 2820.0), (2025, 1372.0)]
+
+
+def test_selected_peak_and_stack(spark, rows):
+    df = spark.createDataFrame([("a", 1, 300), ("b", 1, 148), ("c", 1, 9000), ("a", 2, 10), ("b", 2, 30)], "geo string, y int, v int")
+    assert rows(V.selected_peak(df, ["a", "b"], "geo", "y", "v")) == [(448, 500)]
+    assert rows(V.percent_stack(df, ["a", "b"], "geo", "y", "v"), "geo", "y", "percent") == [("a", 1, 66.96), ("a", 2, 25.0), ("b", 1, 33.04), ("b", 2, 75.0)]
+    numbered = df.withColumn("no", F.ascii("geo"))
+    assert rows(V.stack_heights(numbered, "y", "no", "v"), "geo", "y", "stacked")[-1] == ("c", 1, 9448)
+
+
+def test_new_rows_counts_copies(spark, rows):
+    stored = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "x string, day int")
+    feed = spark.createDataFrame([("b", 2), ("b", 2), ("b", 2), ("c", 3), ("c", 3)], "x string, day int")
+    fresh = I.new_rows(feed, stored, date="day")
+    assert rows(fresh) == [("b", 2), ("c", 3), ("c", 3)]
+    again = I.new_rows(feed, stored.unionAll(fresh), date="day")
+    assert rows(again) == []
+
+
+def test_new_rows_over_several_landings(spark, rows):
+    stored = spark.createDataFrame([], "x string, day int")
+    feed = spark.createDataFrame([("a", 1, 1), ("a", 1, 1), ("a", 1, 2), ("a", 1, 2), ("b", 2, 2)], "x string, day int, landing int")
+    assert rows(I.new_rows(feed, stored, version="landing")) == [("a", 1), ("a", 1), ("b", 2)]
+
+
+def test_repeat_rows_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(I, "COPIES_PER_ROW", 4)
+    df = spark.createDataFrame([("a", 11), ("b", 4), ("c", 1), ("d", 12)], "x string, n bigint")
+    assert Counter(r.x for r in I.repeat_rows(df, "n").collect()) == {"a": 11, "b": 4, "c": 1, "d": 12}
+
+
+def test_replace_from_year_and_freshness(spark, rows):
+    stored = spark.createDataFrame([(2021, "s"), (2022, "s"), (2023, "s")], "year int, v string")
+    feed = spark.createDataFrame([(2022, "f"), (2023, "f"), (2024, "f")], "year int, v string")
+    once = I.replace_from_year(stored, feed, "year")
+    assert rows(once) == [(2021, "s"), (2022, "f"), (2023, "f"), (2024, "f")]
+    assert rows(I.replace_from_year(once, feed, "year")) == rows(once)
+    landed = spark.createDataFrame([("a", 2), ("b", 2), ("c", 1)], "source string, as_of int")
+    known = spark.createDataFrame([("a", 2), ("b", 1)], "source string, as_of int")
+    assert rows(I.newer_sources(landed, known)) == [("b", 2), ("c", 1)]
+    counted = spark.createDataFrame([("a", 26), ("b", 18)], "source string, counted int")
+    expected = spark.createDataFrame([("a", 26), ("b", 17), ("c", 3)], "source string, expected int")
+    assert rows(I.shape_drift(counted, expected)) == [("b", 18, 17), ("c", None, 3)]

@@ -23,7 +23,7 @@ DRUG_LABELS = {
 
 def no_nbsp(c: Column) -> Column:
     """Drop non-breaking spaces, which trim() leaves alone."""
-    return F.translate(c, NBSP, "")
+    return F.replace(c, F.lit(NBSP), F.lit(""))
 
 
 def clean_label(c: Column) -> Column:
@@ -35,7 +35,7 @@ def squeeze_blanks(c: Column) -> Column:
 
 
 def no_blanks(c: Column) -> Column:
-    return F.translate(c, " ", "")
+    return F.replace(c, F.lit(" "), F.lit(""))
 
 
 def lookup_key(c: Column) -> Column:

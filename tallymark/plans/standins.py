@@ -28,10 +28,14 @@ def sample_counts(spark: SparkSession, d: str, *extra: str) -> DataFrame:
 
 def regional_sample_counts(spark: SparkSession, d: str, *extra: str) -> DataFrame:
     """Samples per region, year and category (plus other part columns)."""
+    keys = ["year", "category", *extra]
     parts = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("category"), *extra)
     facts = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", year("l_shipdate"))
-    by_supplier = tally(facts.join(parts, facts.l_partkey == parts.p_partkey), ["l_suppkey", "year", "category", *extra])
-    return _by_nation(spark, d, by_supplier, ["year", "category", *extra])
+    typed = facts.join(parts, facts.l_partkey == parts.p_partkey)
+    if extra:
+        # names are too many for counts per supplier to be fewer than the rows themselves
+        return _by_nation(spark, d, typed.select("l_suppkey", *keys, F.lit(1).cast("bigint").alias("n")), keys)
+    return _by_nation(spark, d, tally(typed, ["l_suppkey", *keys]), keys)
 
 
 def _by_nation(spark: SparkSession, d: str, by_supplier: DataFrame, keys: list[str]) -> DataFrame:

@@ -71,7 +71,9 @@ def report_line_join(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.regexp_replace(tidy, r"(,|a\.)\n", "$1 ").alias("text"))
     sections = docs.select("doc_id", F.explode(reports.blocks(F.col("text"), "(?:The|And|In|Of|To) ")).alias("block"))
     word = F.regexp_extract("block", "^(The|And|In|Of|To) ", 1)
-    lines = sections.select("doc_id", word.alias("section_word"), F.explode(F.split("block", "\n")).alias("line"))
+    # word and lines first: beside the explode the whole block would be carried along with every line
+    cut = sections.select("doc_id", word.alias("section_word"), F.split("block", "\n").alias("lines"))
+    lines = cut.select("doc_id", "section_word", F.explode("lines").alias("line"))
     return lines.filter("section_word <> ''").groupBy("doc_id", "section_word", "line").agg(F.count("*").alias("n"))
 
 

@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallymark.functions.text import no_nbsp
+from tallymark.functions.text import clean_label
 from tallymark.operators.ordered import cycle_header_years, month_header_years
 from tallymark.schemas import GRID_CELLS
 
@@ -101,7 +101,7 @@ class _GridReader(HTMLParser):
 def grid_headers(cells: DataFrame) -> DataFrame:
     """Column headers of every grid, numbered from the left."""
     return cells.filter("role = 'columnheader'").select(
-        "page_id", "grid_no", "row_no", F.col("cell_no").alias("col_no"), no_nbsp(F.col("text")).alias("header")
+        "page_id", "grid_no", "row_no", F.col("cell_no").alias("col_no"), clean_label(F.col("text")).alias("header")
     )
 
 

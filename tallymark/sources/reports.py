@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymark.functions.text import (
-    capital_tokens, label_part, no_blanks, squeeze_blanks, value_parts,
+    capital_tokens, contains_any, label_part, no_blanks, squeeze_blanks, value_parts,
 )
 
 # Words that show a title is only mentioned in running prose, and footnote openings.
@@ -73,18 +73,26 @@ def report_tables(
     """
     prose = "|".join(" *".join(w) for w in PROSE_WORDS)
     any_title = "|".join(_spaced(t) for t in titles)
-    # horizontal filler only, so that a match never leaves its line
-    title_line = rf"(?i)(?:^|\n)((?![^\n]*(?:{prose}))[^\n]*(?:{any_title})[^\n]*)(?:\n([\s\S]*))?$"
+    # the title line and all that follows; a match never looks beyond its line for the title
+    from_title = rf"(?i)(?:^|\n)(?=[^\n]*?(?:{any_title}))(?![^\n]*(?:{prose}))[\s\S]*$"
+    keys = [lookup_title(t) for t in titles]
+
+    def found(paragraph: Column) -> Column:
+        # most paragraphs have no title at all: a plain substring test spares them the pattern
+        possible = contains_any(F.lower(no_blanks(paragraph)), keys)
+        return F.when(possible, F.ltrim(F.regexp_extract(paragraph, from_title, 0), F.lit("\n"))).otherwise("")
+
     source = F.concat(F.lit("\n"), F.col(text))
     if leftovers is not None:
         source = F.regexp_replace(source, rf"\n(?:{leftovers})[^\n]*\n {{0,3}}(?=\n)", "")
     paragraphs = F.split(source, r"\n(?: {0,3}(?:\n|\z))+")
     rest = [c for c in reports.columns if c != text]
-    found = (
-        reports.select(*rest, F.posexplode(paragraphs).alias("table_no", "_block"))
-        .withColumn("_title", F.regexp_extract("_block", title_line, 1))
-        .filter("_title <> ''")
-        .withColumn("body", F.regexp_extract("_block", title_line, 2))
+    tables = (
+        # the outer explode keeps Spark from evaluating the array a second time as a filter
+        reports.select(*rest, F.posexplode_outer(F.transform(paragraphs, found)).alias("table_no", "_table"))
+        .filter("_table <> ''")
+        .withColumn("_title", F.substring_index("_table", "\n", 1))
+        .withColumn("body", F.substring(F.col("_table"), F.length("_title") + 2, F.length("_table")))
     )
     key = F.lower(no_blanks(F.col("_title")))
     name, rule = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -92,7 +100,7 @@ def report_tables(
         hit = key.contains(lookup_title(title))
         name = F.when(hit, F.lit(title)).otherwise(name)
         rule = F.when(hit, F.lit(its_rule)).otherwise(rule)
-    return found.select(*rest, "table_no", name.alias("title"), rule.alias("rule"), "body")
+    return tables.select(*rest, "table_no", name.alias("title"), rule.alias("rule"), "body")
 
 
 def _lines(body: Column) -> Column:
@@ -108,10 +116,20 @@ def _keys(tables: DataFrame) -> list[str]:
     return [c for c in tables.columns if c not in ("rule", "body")]
 
 
+def _exploded(tables: DataFrame, array: Column, names: tuple[str, str], **once: Column) -> DataFrame:
+    """Explode ``array``, with the columns ``once`` beside it.
+
+    Those are computed in a step of their own: written next to the explode, Spark would compute them
+    again for every line, which makes a long table quadratic.
+    """
+    keys = _keys(tables)
+    prepared = tables.select(*keys, *[c.alias(n) for n, c in once.items()], array.alias("_array"))
+    return prepared.select(*keys, *once, F.posexplode("_array").alias(*names))
+
+
 def _with_header(tables: DataFrame, header: Column, rows: Column) -> DataFrame:
     """Lines with the years of their table's header line: one row per line."""
-    keys = _keys(tables)
-    return tables.select(*keys, header.alias("_years"), F.posexplode(rows).alias("row_no", "line"))
+    return _exploded(tables, rows, ("row_no", "line"), _years=header)
 
 
 def _year_values(lines: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -159,11 +177,11 @@ def manner_breakdown(tables: DataFrame) -> DataFrame:
     is_row = "|".join(MANNERS)
     drugs = capital_tokens(F.array_join(F.filter(lines, lambda x: ~x.rlike(is_row)), " "))
     rows = F.array_join(F.filter(lines, lambda x: x.rlike(is_row)), "\n")
-    years = tables.select(*keys, drugs.alias("_drugs"), F.posexplode(blocks(rows, r"\d")).alias("_year_no", "_block"))
+    years = _exploded(tables, blocks(rows, r"\d"), ("_year_no", "_block"), _drugs=drugs)
     out = (
         years.filter(F.col("_block") != "")
-        .withColumn("year", F.substring("_block", 1, 4).try_cast("int"))
-        .select(*keys, "_drugs", "_year_no", "year", F.posexplode(F.split("_block", "\n")).alias("row_no", "line"))
+        .select(*keys, "_drugs", F.substring("_block", 1, 4).try_cast("int").alias("year"), F.split("_block", "\n").alias("_lines"))
+        .select(*keys, "_drugs", "year", F.explode("_lines").alias("line"))
         .withColumn("_rest", F.regexp_replace("line", r"^\d{4} ", ""))
         .withColumn("manner", F.split("_rest", " ")[0])
         .withColumn("_values", F.slice(F.split("_rest", " "), 2, 2147483647 // 2))
@@ -179,14 +197,14 @@ def _manner_sex_blocks(tables: DataFrame, body: Column, years: Column) -> DataFr
     keys = _keys(tables)
     manner_start = "|".join(MANNERS)
     sex_start = "Male|Female"
-    by_manner = tables.select(
-        *keys, years.alias("_years"), F.posexplode(blocks(body, manner_start)).alias("_m", "_manner_block")
-    ).filter(F.col("_manner_block").rlike(f"^(?:{manner_start})"))
+    by_manner = _exploded(tables, blocks(body, manner_start), ("_m", "_manner_block"), _years=years).filter(
+        F.col("_manner_block").rlike(f"^(?:{manner_start})")
+    )
     by_sex = by_manner.select(
         *keys, "_years", "_m", F.substring_index("_manner_block", " ", 1).alias("manner"),
         # the manner line carries the first sex
-        F.posexplode(blocks(F.regexp_replace("_manner_block", r"^\S+ ", ""), sex_start)).alias("_s", "_sex_block"),
-    )
+        blocks(F.regexp_replace("_manner_block", r"^\S+ ", ""), sex_start).alias("_sex_blocks"),
+    ).select(*keys, "_years", "_m", "manner", F.posexplode("_sex_blocks").alias("_s", "_sex_block"))
     return by_sex.select(
         *keys, "_years", "_m", "_s", "manner",
         F.split(F.split("_sex_block", "\n")[0], " ")[0].alias("sex"),
@@ -257,9 +275,7 @@ def fentanyl_place(tables: DataFrame, first_year: int = 2016) -> DataFrame:
         drugs, lambda d, i: F.lit(first_year - 1) + F.size(F.filter(F.slice(drugs, F.lit(1), i + 1), lambda o: o == "F"))
     )
     rows = F.filter(lines, lambda x: ~x.rlike(r"^\d|^F F C"))
-    return tables.select(
-        *keys, drugs.alias("_drugs"), years.alias("_years"), F.posexplode(rows).alias("row_no", "line")
-    ).select(
+    return _exploded(tables, rows, ("row_no", "line"), _drugs=drugs, _years=years).select(
         *keys, "row_no", label_part(F.col("line")).alias("location"),
         F.inline(F.arrays_zip(
             F.col("_years").alias("year"), F.col("_drugs").alias("drug"), value_parts(F.col("line")).alias("raw_value")

@@ -1,8 +1,8 @@
 """Landed bytes to tables, and tables back to disk."""
 
-import io
 import json
 import zipfile
+from xml.sax.saxutils import escape
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,11 +166,11 @@ def workbook(path, sheets, ns="http://schemas.openxmlformats.org/spreadsheetml/2
             body += f'<row r="{r}">{cells}</row>'
         parts[f"xl/worksheets/sheet{n}.xml"] = f'<worksheet xmlns="{ns}"><sheetData>{body}</sheetData></worksheet>'
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    names = "".join(f'<sheet name="{name.replace("&", "&amp;")}" sheetId="{n}" r:id="rId{n}"/>' for n, name in enumerate(sheets, 1))
+    names = "".join(f'<sheet name="{escape(name)}" sheetId="{n}" r:id="rId{n}"/>' for n, name in enumerate(sheets, 1))
     parts["xl/workbook.xml"] = f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets>{names}</sheets></workbook>'
     links = "".join(f'<Relationship Id="rId{n}" Target="worksheets/sheet{n}.xml"/>' for n in range(1, len(sheets) + 1))
     parts["xl/_rels/workbook.xml.rels"] = f"<Relationships>{links}</Relationships>"
-    shared = "".join(f"<si><t>{s.replace('&', '&amp;')}</t></si>" for s in strings)
+    shared = "".join(f"<si><t>{escape(s)}</t></si>" for s in strings)
     parts["xl/sharedStrings.xml"] = f'<sst xmlns="{ns}">{shared}</sst>'
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
         for name, text in parts.items():
@@ -222,8 +222,8 @@ def aria(header_rows, body):
 
 
 def test_dashboard_grid_with_months(spark, rows):
-    head = [("columnheader", "")] + [("columnheader", f"{m} ") for m in ("Nov", "Dec", "Jan")]
-    body = [[("rowheader", "Fraser "), ("gridcell", "1"), ("gridcell", "2 "), ("gridcell", "*")]]
+    head = [("columnheader", "")] + [("columnheader", f"{m}\u00a0") for m in ("Nov", "Dec", "Jan")]
+    body = [[("rowheader", "Fraser\u00a0"), ("gridcell", "1"), ("gridcell", "2\u00a0"), ("gridcell", "*")]]
     html = aria([[("columnheader", "Year")], head], body)
     pages = spark.createDataFrame([(1, "Interior Health Authority", "Deaths by Month", html)], "page_id int, selection string, title string, html string")
     out = feeds.dashboard_tables(pages, base_year=2024, header="monthly")

@@ -118,6 +118,11 @@ def latest_rows(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return df.join(newest, [*keys, order], "left_semi")
 
 
+def first_rows(df: DataFrame, order: Sequence[Column], n: int = 5) -> DataFrame:
+    """The first ``n`` rows in the given order: a top-k per task, merged; nothing is sorted as a whole."""
+    return df.orderBy(*order).limit(n)
+
+
 def newest_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Exactly one row per key, the last by ``order``; map-side combined, so hot keys stay cheap."""
     rest = [c for c in df.columns if c not in keys]

@@ -27,6 +27,13 @@ def newest_row_per_source(spark: SparkSession, d: str) -> DataFrame:
     return O.newest_row(events, ["source"], ["ts", "event_id"]).drop("ts")
 
 
+@query("""select event_id, event_type, ts from events order by ts desc, event_id desc limit 5""")
+def newest_five_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Head of the stored feed, newest first, as a re-read is compared with it."""
+    events = table(spark, d, "events").select("event_id", "event_type", "ts")
+    return O.first_rows(events, [F.desc("ts"), F.desc("event_id")])
+
+
 NAMES_SQL = """names as (
   select strftime(ts, '%Y%m%d') || case event_type when 'click' then '_' || strftime(ts - interval 5 day, '%Y%m')
            when 'view' then '_' || strftime(ts - interval 3 day, '%Y%m%d') else '' end || '_' || event_type ||

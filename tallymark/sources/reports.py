@@ -88,7 +88,7 @@ def report_tables(
     paragraphs = F.split(source, r"\n(?: {0,3}(?:\n|\z))+")
     rest = [c for c in reports.columns if c != text]
     tables = (
-        # the outer explode keeps Spark from evaluating the array a second time as a filter
+        # an outer explode is not preceded by a test for emptiness, so the array is built once
         reports.select(*rest, F.posexplode_outer(F.transform(paragraphs, found)).alias("table_no", "_table"))
         .filter("_table <> ''")
         .withColumn("_title", F.substring_index("_table", "\n", 1))
@@ -120,11 +120,12 @@ def _exploded(tables: DataFrame, array: Column, names: tuple[str, str], **once:
     """Explode ``array``, with the columns ``once`` beside it.
 
     Those are computed in a step of their own: written next to the explode, Spark would compute them
-    again for every line, which makes a long table quadratic.
+    again for every line, which makes a long table quadratic. The outer explode, filtered behind,
+    keeps it from testing the array for emptiness first, which would compute it twice.
     """
     keys = _keys(tables)
     prepared = tables.select(*keys, *[c.alias(n) for n, c in once.items()], array.alias("_array"))
-    return prepared.select(*keys, *once, F.posexplode("_array").alias(*names))
+    return prepared.select(*keys, *once, F.posexplode_outer("_array").alias(*names)).filter(F.col(names[0]).isNotNull())
 
 
 def _with_header(tables: DataFrame, header: Column, rows: Column) -> DataFrame:
@@ -143,7 +144,7 @@ def place_of_death(tables: DataFrame) -> DataFrame:
     """Location lines below a line of years: ``(…, location, year, raw_value)``."""
     keys = _keys(tables)
     lines = _lines(F.col("body"))
-    years = F.split(F.filter(lines, lambda x: x.rlike(r"^\d"))[0], " ")
+    years = F.split(F.get(F.filter(lines, lambda x: x.rlike(r"^\d")), F.lit(0)), " ")
     rows = F.filter(lines, lambda x: ~x.rlike(r"^\d"))
     out = _with_header(tables, years, rows).withColumns(
         {"location": label_part(F.col("line")), "_values": value_parts(F.col("line"))}
@@ -156,14 +157,14 @@ def confirmed_suspected(tables: DataFrame) -> DataFrame:
     labels "Confirmed Cases" and "Suspected Cases" in front of a line are dropped."""
     keys = _keys(tables)
     lines = _lines(F.col("body"))
-    years = F.split(F.filter(lines, lambda x: x.rlike(r"^\d"))[0], " ")
+    years = F.split(F.get(F.filter(lines, lambda x: x.rlike(r"^\d")), F.lit(0)), " ")
     rows = F.filter(lines, lambda x: ~x.rlike(r"^\d"))
     raw = F.col("line")
     bare = F.trim(F.regexp_replace(raw, r"(?:Confirmed|Suspected) Cases", ""))
     confirmed = raw.rlike("^(?:" + "|".join(MANNERS) + ")") | raw.startswith("Confirmed Cases")
     label = F.trim(F.regexp_extract(bare, r"^([^0-9-]*)", 1))
     out = _with_header(tables, years, rows).withColumns({
-        "manner": F.when(confirmed, F.concat(F.split(label, " ")[0], F.lit("-Confirmed"))).otherwise(label),
+        "manner": F.when(confirmed, F.concat(F.substring_index(label, " ", 1), F.lit("-Confirmed"))).otherwise(label),
         "_values": value_parts(bare),
     })
     return _year_values(out, [*keys, "row_no", "manner"])
@@ -183,7 +184,7 @@ def manner_breakdown(tables: DataFrame) -> DataFrame:
         .select(*keys, "_drugs", F.substring("_block", 1, 4).try_cast("int").alias("year"), F.split("_block", "\n").alias("_lines"))
         .select(*keys, "_drugs", "year", F.explode("_lines").alias("line"))
         .withColumn("_rest", F.regexp_replace("line", r"^\d{4} ", ""))
-        .withColumn("manner", F.split("_rest", " ")[0])
+        .withColumn("manner", F.get(F.split("_rest", " "), F.lit(0)))
         .withColumn("_values", F.slice(F.split("_rest", " "), 2, 2147483647 // 2))
     )
     return out.select(
@@ -207,13 +208,13 @@ def _manner_sex_blocks(tables: DataFrame, body: Column, years: Column) -> DataFr
     ).select(*keys, "_years", "_m", "manner", F.posexplode("_sex_blocks").alias("_s", "_sex_block"))
     return by_sex.select(
         *keys, "_years", "_m", "_s", "manner",
-        F.split(F.split("_sex_block", "\n")[0], " ")[0].alias("sex"),
+        F.substring_index(F.substring_index("_sex_block", "\n", 1), " ", 1).alias("sex"),
         F.split("_sex_block", "\n").alias("_block_lines"),
     )
 
 
 def _headed_years(lines: Column) -> Column:
-    return F.split(F.filter(lines, lambda x: x.rlike(r"^\d{4}(?: |$)"))[0], " ")
+    return F.split(F.get(F.filter(lines, lambda x: x.rlike(r"^\d{4}(?: |$)")), F.lit(0)), " ")
 
 
 def sex_race(tables: DataFrame) -> DataFrame:
@@ -239,8 +240,10 @@ def sex_age(tables: DataFrame) -> DataFrame:
     keys = _keys(tables)
     en_dash = "–"
     lines = _lines(F.col("body"))
-    years = _headed_years(lines)
-    data = F.array_join(F.filter(lines, lambda x: ~x.rlike(rf"^\d{{4}}(?: [0-9{en_dash}-]|$)")), "\n")
+    header = F.get(F.filter(lines, lambda x: x.rlike(r"^\d{4}(?: \d{4})*$")), F.lit(0))
+    years = F.split(header, " ")
+    # the rest of a title may be printed as a span of years
+    data = F.array_join(F.filter(F.array_remove(lines, header), lambda x: ~x.rlike(rf"^\d{{4}} ?[{en_dash}-]")), "\n")
     # the second line is consumed with the first, so a short second line does not take a third
     joined = F.regexp_replace(data, r"(?m)^([0-9][^\n]{0,8})\n([^\n]*)", "$1 $2")
     # only the age range in front; a lone dash further on is a printed "none"
@@ -248,12 +251,12 @@ def sex_age(tables: DataFrame) -> DataFrame:
     tidy = F.regexp_replace(F.regexp_replace(joined, ranges, "$1$2-$3"), r" \+", "+")
     totals = F.regexp_replace(tidy, r"(?m)^Total ", "Male&Female Total ")
     blocked = _manner_sex_blocks(tables, totals, years)
-    first = F.regexp_replace(F.col("_block_lines")[0], r"^\S+ ", "")
+    first = F.regexp_replace(F.get("_block_lines", F.lit(0)), r"^\S+ ", "")
     out = blocked.select(
         *keys, "_years", "manner", "sex",
         F.posexplode(F.concat(F.array(first), F.slice("_block_lines", 2, 2147483647 // 2))).alias("row_no", "line"),
     ).withColumns({
-        "age_group": F.split("line", " ")[0],
+        "age_group": F.substring_index("line", " ", 1),
         "_values": F.slice(F.split("line", " "), 2, 2147483647 // 2),
     })
     return _year_values(out, [*keys, "manner", "sex", "row_no", "age_group"])
@@ -269,18 +272,17 @@ def fentanyl_place(tables: DataFrame, first_year: int = 2016) -> DataFrame:
     """Analogue counts per place. The columns are analogue letters; every ``F`` opens the next year."""
     keys = _keys(tables)
     lines = _lines(F.col("body"))
-    drugs = F.split(F.filter(lines, lambda x: x.startswith("F F C"))[0], " ")
-    # the year of column i is the number of F's up to and including it
-    years = F.transform(
-        drugs, lambda d, i: F.lit(first_year - 1) + F.size(F.filter(F.slice(drugs, F.lit(1), i + 1), lambda o: o == "F"))
-    )
+    drugs = F.split(F.get(F.filter(lines, lambda x: x.startswith("F F C")), F.lit(0)), " ")
     rows = F.filter(lines, lambda x: ~x.rlike(r"^\d|^F F C"))
-    return _exploded(tables, rows, ("row_no", "line"), _drugs=drugs, _years=years).select(
-        *keys, "row_no", label_part(F.col("line")).alias("location"),
-        F.inline(F.arrays_zip(
-            F.col("_years").alias("year"), F.col("_drugs").alias("drug"), value_parts(F.col("line")).alias("raw_value")
-        )),
-    ).filter("year is not null and raw_value is not null")
+    values = _exploded(tables, rows, ("row_no", "line"), _drugs=drugs).select(
+        *keys, "row_no", "_drugs", label_part(F.col("line")).alias("location"), value_parts(F.col("line")).alias("_values")
+    ).select(*keys, "row_no", "_drugs", "location", F.posexplode("_values").alias("_i", "raw_value"))
+    # the year of column i is the number of F's up to and including it
+    opened = F.size(F.filter(F.slice("_drugs", F.lit(1), F.col("_i") + 1), lambda o: o == "F"))
+    return values.select(
+        *keys, "row_no", "location", (F.lit(first_year - 1) + opened).alias("year"),
+        F.get("_drugs", F.col("_i")).alias("drug"), "raw_value",
+    ).filter("drug is not null")
 
 
 def sole_or_combined(tables: DataFrame) -> DataFrame:
@@ -289,7 +291,7 @@ def sole_or_combined(tables: DataFrame) -> DataFrame:
     rows = F.filter(_lines(F.col("body")), lambda x: x.rlike(r"^\d{4}( (\d+|-+))+$"))
     parts = F.split("line", " ")
     return tables.select(*keys, F.posexplode(rows).alias("row_no", "line")).select(
-        *keys, parts[0].cast("int").alias("year"),
+        *keys, F.get(parts, F.lit(0)).cast("int").alias("year"),
         F.inline(F.arrays_zip(
             F.array(F.lit("sole cause"), F.lit("combined cause"), F.lit("total")).alias("series"),
             F.slice(parts, 2, 3).alias("raw_value"),

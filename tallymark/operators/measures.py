@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymark.functions import numbers as N, periods as P
 from tallymark.functions.text import clean_label
+from tallymark.operators.groups import join_groups
 from tallymark.operators.select import mentions
 
 
@@ -36,7 +37,7 @@ def share_of_total(
     is never gathered into one task.
     """
     totals = df.groupBy(*by).agg(F.sum(value).alias(total))
-    return df.join(totals, list(by)).withColumn(share, N.percent_or_zero(F.col(value), F.col(total)))
+    return join_groups(df, totals, by).withColumn(share, N.percent_or_zero(F.col(value), F.col(total)))
 
 
 def flagged_counts(
@@ -155,7 +156,7 @@ def add_count_from_percent(
 def drop_empty_measures(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Leave out every measure whose values are all zero or missing."""
     live = df.groupBy(*by).agg(F.bool_or(F.coalesce(F.col(value) != 0, F.lit(False))).alias("_live"))
-    return df.join(live.filter("_live"), list(by), "left_semi")
+    return join_groups(df, live.filter("_live"), by, "left_semi")
 
 
 def partial_period_notes(df: DataFrame, label: str, geo: str) -> DataFrame:

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+
+from tallymark.operators.groups import join_groups
 
 BLOCK_ROWS = 65_536
 
@@ -26,23 +28,16 @@ def carry_forward(
     ``order`` is the row number inside the table.
     """
     blocked = _blocked(df, order, block_rows)
-    inside = (
-        Window.partitionBy(*keys, "_block").orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = blocked.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
     ends = blocked.groupBy(*keys, "_block").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_end_{c}") for c in columns]
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns]
     )
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
-        *keys, "_block",
-        *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns],
-    )
+    carried = ends.withColumns({c: F.last(c, ignorenulls=True).over(before) for c in columns})
+    inside = _inside(keys, F.asc(order))
     return (
-        local.join(carried, [*keys, "_block"])
-        .withColumns({c: F.coalesce(c, f"_carry_{c}") for c in columns})
-        .select(*df.columns)
+        _with_carry_rows(blocked, carried)
+        .withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
+        .filter("_is_row").select(*df.columns)
     )
 
 
@@ -51,23 +46,34 @@ def running_total(
     descending: bool = False, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add running sums (``{new column: addend}``) along ``order``, table by table."""
-    named = df.withColumns({f"_add_{n}": c for n, c in totals.items()})
-    blocked = _blocked(named, order, block_rows)
     direction = F.desc if descending else F.asc
-    inside = (
-        Window.partitionBy(*keys, "_block").orderBy(direction(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = blocked.withColumns({n: F.sum(f"_add_{n}").over(inside) for n in totals})
-    sums = blocked.groupBy(*keys, "_block").agg(*[F.sum(f"_add_{n}").alias(f"_sum_{n}") for n in totals])
+    blocked = _blocked(df.withColumns(dict(totals)), order, block_rows)
+    sums = blocked.groupBy(*keys, "_block").agg(*[F.sum(n).alias(n) for n in totals])
     before = (
         Window.partitionBy(*keys).orderBy(direction("_block")).rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = sums.select(*keys, "_block", *[F.sum(f"_sum_{n}").over(before).alias(f"_carry_{n}") for n in totals])
+    carried = sums.withColumns({n: F.sum(n).over(before) for n in totals})
+    inside = _inside(keys, direction(order))
     return (
-        local.join(carried, [*keys, "_block"])
-        .withColumns({n: F.col(n) + F.coalesce(F.col(f"_carry_{n}"), F.lit(0)) for n in totals})
-        .select(*df.columns, *totals)
+        _with_carry_rows(blocked, carried)
+        .withColumns({n: F.sum(n).over(inside) for n in totals})
+        .filter("_is_row").select(*df.columns, *totals)
+    )
+
+
+def _with_carry_rows(blocked: DataFrame, carried: DataFrame) -> DataFrame:
+    """Put one row with the value carried into it in front of every block.
+
+    Rows and carry rows meet in the scan's own shuffle, so no join is needed.
+    """
+    rows = blocked.withColumn("_is_row", F.lit(True))
+    return rows.unionByName(carried.withColumn("_is_row", F.lit(False)), allowMissingColumns=True)
+
+
+def _inside(keys: Sequence[str], order: Column) -> WindowSpec:
+    return (
+        Window.partitionBy(*keys, "_block").orderBy("_is_row", order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
 
 
@@ -91,7 +97,7 @@ def cycle_header_years(
     The right-most label closes the newest year; each time it comes up again, one year is stepped back.
     """
     newest = df.groupBy(*keys).agg(F.max_by(header, col_no).alias("_cycle"))
-    marked = df.join(newest, list(keys))
+    marked = join_groups(df, newest, keys)
     back = F.when(F.col(header) == F.col("_cycle"), 1).otherwise(0)
     out = running_total(marked, keys, col_no, {"_back": back}, descending=True)
     return out.withColumn("year", (F.lit(base_year) - (F.col("_back") - 1)).cast("int")).drop("_back", "_cycle")
@@ -115,7 +121,7 @@ def first_match(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
 def latest_rows(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """All rows of the newest version per key."""
     newest = df.groupBy(*keys).agg(F.max(order).alias(order))
-    return df.join(newest, [*keys, order], "left_semi")
+    return join_groups(df, newest, [*keys, order], "left_semi")
 
 
 def first_rows(df: DataFrame, order: Sequence[Column], n: int = 5) -> DataFrame:

@@ -10,6 +10,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymark.functions.text import lookup_key, lookup_term
+from tallymark.operators.groups import join_groups
 
 # Violation codes of the drug offences.
 DRUG_OFFENCE_CODES = (
@@ -81,7 +82,7 @@ def trim_rows(df: DataFrame, keys: Sequence[str], row_no: str, head: int, tail:
     """Drop the first ``head`` and last ``tail`` rows of every table (row numbers start at 0)."""
     last = df.groupBy(*keys).agg(F.max(row_no).alias("_last"))
     return (
-        df.join(last, list(keys))
+        join_groups(df, last, keys)
         .filter((F.col(row_no) >= head) & (F.col(row_no) <= F.col("_last") - tail))
         .drop("_last")
     )
@@ -102,7 +103,7 @@ def preferred_metric(df: DataFrame, keys: Sequence[str], metric: str = "metric")
     order = F.array_position(F.array(*[F.lit(m) for m in METRIC_ORDER]), F.col(metric))
     ranked = df.withColumn("_order", order).filter(F.col("_order") > 0)
     best = ranked.groupBy(*keys).agg(F.min("_order").alias("_order"))
-    return ranked.join(best, [*keys, "_order"], "left_semi").drop("_order")
+    return join_groups(ranked, best, [*keys, "_order"], "left_semi").drop("_order")
 
 
 def match_saved_visuals(

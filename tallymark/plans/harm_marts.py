@@ -13,6 +13,7 @@ from tallymark.functions import numbers as N, periods as P
 from tallymark.functions.text import DRUG_LABELS, clean_label, no_nbsp, relabel
 from tallymark.operators import measures as M, regions as G, reshape as R, select as S
 from tallymark.operators.presentation import series_rows
+from tallymark.plans.settle import settled
 
 METRICS = ["percentages", "counts", "rates"]
 
@@ -60,6 +61,7 @@ def composition(
     )
     live = M.drop_empty_measures(percents, ["geo", "substance"], "percent")
     if align:
+        live = settled(live)
         axis = R.shared_axis(live, "year")
         live = R.fill_periods(live, ["geo", "substance", "series"], "year", ["percent"], axis)
     totals = overall_totals(ind)
@@ -93,7 +95,7 @@ def deaths_by_drug_type(ind: DataFrame, population: DataFrame, population_mode:
 
 def deaths_by_sex(ind: DataFrame, **options) -> DataFrame:
     """Shares and counts by sex, with the crude rates as published."""
-    shares = composition(ind, {"Opioids": "Sex", "Stimulants": "Sex"}, align=True, **options)
+    shares = settled(composition(ind, {"Opioids": "Sex", "Stimulants": "Sex"}, align=True, **options))
     crude = yearly(ind, measure="Sex", unit="Crude rate").select(
         "geo", "substance", "series", "year", F.lit("rates").alias("metric"), "value"
     )
@@ -207,10 +209,10 @@ def unit_year_totals(monthly: DataFrame, whole: str = "All") -> DataFrame:
 def provincial_drug_totals(monthly: DataFrame) -> DataFrame:
     """Monthly drug series (``series, year, month, raw_value, as_of``) to yearly totals, all series
     together as ``all drugs``, each with the date it is complete until."""
-    totals = M.year_totals(monthly, ["series", "year"], "raw_value").select("series", "year", "value")
+    totals = settled(M.year_totals(monthly, ["series", "year"], "raw_value").select("series", "year", "value"))
     every = totals.groupBy("year").agg(F.sum("value").alias("value")).select(F.lit("all drugs").alias("series"), "year", "value")
     started = monthly.withColumn("_start", F.make_date("year", "month", F.lit(1)))
-    until = M.complete_until(started, ["series"], "raw_value", "_start", F.col("as_of"))
+    until = settled(M.complete_until(started, ["series"], "raw_value", "_start", F.col("as_of")))
     overall = until.agg(F.min("complete_until").alias("complete_until")).select(
         F.lit("all drugs").alias("series"), "complete_until"
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymark.operators import measures as M, reshape as R
+from tallymark.plans.settle import settled
 
 FIRST_YEAR = 2018
 
@@ -40,7 +41,7 @@ def sample_axis(until_year: Column | int) -> Column:
 
 def supply_by_category(samples: DataFrame, axis: Column) -> DataFrame:
     """Samples per year and category, and their share of the year's samples."""
-    counts = M.tally(samples, ["year", "category"])
+    counts = settled(M.tally(samples, ["year", "category"]))
     filled = R.fill_periods(counts, ["category"], "year", ["n"], axis)
     return M.share_of_total(filled, ["year"], "n")
 

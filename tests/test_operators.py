@@ -12,7 +12,7 @@ from tallymark.operators import (
 )
 
 few = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-pairs = st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.integers(0, 9))), min_size=1, max_size=30)
+pairs = st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(0, 9))), min_size=1, max_size=30)
 
 
 def test_slices(spark, rows):
@@ -78,7 +78,7 @@ def test_carry_forward_equals_loop(spark, data):
         expected.append((k, i, last[k]))
     df = spark.createDataFrame(table, "k string, i int, v int")
     out = O.carry_forward(df, ["k"], "i", ["v"], block_rows=3)
-    assert sorted(map(tuple, out.collect())) == sorted(expected)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(expected, key=repr)
 
 
 @few
@@ -91,7 +91,7 @@ def test_running_total_equals_loop(spark, data, descending):
         expected.append((k, i, v, sums[k]))
     df = spark.createDataFrame(table, "k string, i int, v int")
     out = O.running_total(df, ["k"], "i", {"t": F.col("v")}, descending=descending, block_rows=3)
-    assert sorted(map(tuple, out.collect())) == sorted(expected)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(expected, key=repr)
 
 
 def test_header_years(spark, rows):
@@ -147,6 +147,14 @@ def test_shares_sum_to_hundred(spark, data):
     assert all(abs(r.p - 100) < 0.02 for r in out)
 
 
+def test_null_groups_keep_their_rows(spark, rows):
+    df = spark.createDataFrame([(None, "a", 1), (None, "b", 3), (2024, "a", 2)], "year int, s string, n int")
+    assert rows(M.share_of_total(df, ["year"], "n"), "year", "s", "percent") == sorted([(None, "a", 25.0), (None, "b", 75.0), (2024, "a", 100.0)], key=repr)
+    assert M.drop_empty_measures(df, ["year"], "n").count() == 3
+    assert O.latest_rows(df, ["year"], "n").count() == 2
+    assert S.trim_rows(df.withColumn("row_no", F.col("n") - 1), ["year"], "row_no", 1, 0).count() == 2
+
+
 def test_keywords_match_analogues_and_null_text(spark, rows):
     df = spark.createDataFrame(
         [(2024, "Acetylfentanyl, Caffeine"), (2024, "FENTANYL, Heroin"), (2024, None), (2023, "Codeine")], "year int, t string"

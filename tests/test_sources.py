@@ -22,10 +22,10 @@ def output(tmp_path):
     folder.mkdir()
     header = ",".join(SAMPLE_CSV.names)
     row = "2024-03-01,City,Interior Health,Site,Opioid,Opioid,Blue,Powder,Pos,Neg,\"Fentanyl, Caffeine\""
-    (folder / "20240930_20240901_bcDrugSense.csv").write_text(f"{header}\n{row}\n{row}\n")
-    (folder / "20240830_20240801_bcDrugSense.csv").write_text(f"{header}\n{row}\n")
-    (folder / "20240930_202408_bcCoronersReport.xlsx").write_bytes(b"-")
-    (folder / "20240901_onODPRN_2.xlsx").write_bytes(b"-")
+    (folder / "20240930_20240901_drugChecks.csv").write_text(f"{header}\n{row}\n{row}\n")
+    (folder / "20240830_20240801_drugChecks.csv").write_text(f"{header}\n{row}\n")
+    (folder / "20240930_202408_coronerReport.xlsx").write_bytes(b"-")
+    (folder / "20240901_drugWorkbook_2.xlsx").write_bytes(b"-")
     (folder / "notes.txt").write_text("x")
     return str(folder)
 
@@ -33,25 +33,25 @@ def output(tmp_path):
 def test_catalogue_reads_names(spark, rows, output):
     files = landing.catalogue(spark, output).select("source", F.col("as_of").cast("string"), F.col("data_until").cast("string"), "format")
     assert rows(files) == [
-        ("bcCoronersReport", "2024-09-30", "2024-08-01", "xlsx"), ("bcDrugSense", "2024-08-30", "2024-08-01", "csv"),
-        ("bcDrugSense", "2024-09-30", "2024-09-01", "csv"), ("onODPRN", "2024-09-01", "2024-09-01", "xlsx"),
+        ("coronerReport", "2024-09-30", "2024-08-01", "xlsx"), ("drugChecks", "2024-08-30", "2024-08-01", "csv"),
+        ("drugChecks", "2024-09-30", "2024-09-01", "csv"), ("drugWorkbook", "2024-09-01", "2024-09-01", "xlsx"),
     ]
 
 
 def test_latest_missing_and_existing(spark, rows, output):
     files = landing.catalogue(spark, output)
     assert rows(landing.latest_files(files), "source", F.col("as_of").cast("string")) == [
-        ("bcCoronersReport", "2024-09-30"), ("bcDrugSense", "2024-09-30"), ("onODPRN", "2024-09-01"),
+        ("coronerReport", "2024-09-30"), ("drugChecks", "2024-09-30"), ("drugWorkbook", "2024-09-01"),
     ]
-    wanted = spark.createDataFrame([("bcDrugSense",), ("skPubCentre",), ("mbNarcan",)], "source string")
-    assert rows(landing.missing_sources(files, wanted)) == [("mbNarcan",), ("skPubCentre",)]
+    wanted = spark.createDataFrame([("drugChecks",), ("placeReport",), ("ambulance",)], "source string")
+    assert rows(landing.missing_sources(files, wanted)) == [("ambulance",), ("placeReport",)]
     assert landing.existing_sources(files, wanted).count() == 2
     with pytest.raises(FileNotFoundError):
-        landing.latest_path(files, "skPubCentre")
+        landing.latest_path(files, "placeReport")
 
 
 def test_latest_csv_has_the_dates_of_its_name(spark, output):
-    df = readers.read_latest_csv(spark, output, "bcDrugSense", SAMPLE_CSV)
+    df = readers.read_latest_csv(spark, output, "drugChecks", SAMPLE_CSV)
     assert df.count() == 2
     first = df.first()
     assert (str(first.as_of), str(first.data_until), first["Spectrometer"]) == ("2024-09-30", "2024-09-01", "Fentanyl, Caffeine")
@@ -83,8 +83,8 @@ def test_records(spark, rows, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps(records))
     df = readers.read_records(spark, str(tmp_path / "r.json"), "year_month string, drug_type string, deaths string")
     assert str(feeds.fatalities_data_until(df).first()[0]) == "2024-07-01"
-    events = feeds.event_records(spark, str(tmp_path / "r.json"), "drug_type string", "mbEms")
-    assert {r.source for r in events.collect()} == {"mbEms"}
+    events = feeds.event_records(spark, str(tmp_path / "r.json"), "drug_type string", "ambulance")
+    assert {r.source for r in events.collect()} == {"ambulance"}
 
 
 # Archives ------------------------------------------------------------------------
@@ -326,7 +326,7 @@ def test_feed_stream_adds_only_new_rows(spark, rows, tmp_path):
     head = "Visit Date,Category\n"
 
     def land(day, *lines):
-        (landing_dir / f"{day}_bcDrugSense.csv").write_text(head + "\n".join(lines) + "\n")
+        (landing_dir / f"{day}_drugChecks.csv").write_text(head + "\n".join(lines) + "\n")
 
     def load():
         load_feed(spark, str(landing_dir), schema, store, "Visit Date", checkpoint_root(spark, str(tmp_path / "c")) + f"/{tmp_path.name}").awaitTermination()

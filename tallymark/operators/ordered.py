@@ -17,7 +17,7 @@ BLOCK_ROWS = 65_536
 
 
 def _blocked(df: DataFrame, order: str, block_rows: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(order) / block_rows))
+    return df.withColumn("_block", F.expr(f"`{order}` div {block_rows}"))
 
 
 def carry_forward(

@@ -79,7 +79,9 @@ def token_counts(df: DataFrame, by: Sequence[str], tokens: str, weight: str | No
         lambda t: F.struct(t.alias("token"), F.size(F.filter(kept, lambda o: o == t)).alias("repeats")),
     )
     return (
-        df.select(*by, unit.alias("_w"), F.explode(folded).alias("_t"))
+        # a plain explode would evaluate the folding a second time to test it for emptiness
+        df.select(*by, unit.alias("_w"), F.explode_outer(folded).alias("_t"))
+        .filter(F.col("_t").isNotNull())
         .groupBy(*by, F.col("_t.token").alias("token"))
         .agg(F.sum(F.col("_w") * F.col("_t.repeats")).alias("occurrences"), F.sum("_w").alias("samples"))
     )

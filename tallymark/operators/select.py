@@ -132,7 +132,7 @@ def match_saved_visuals(
         for combo in combos
     ]))
     return (
-        points.select(point_id, F.explode(offers).alias("_key"))
+        points.select(point_id, F.explode_outer(offers).alias("_key"))
         .join(visuals, "_key")
         .select("visual_id", point_id)
     )

@@ -48,7 +48,7 @@ def report_sections(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", F.regexp_replace("text", r"(?m)^[^\n]{0,8}$", "").alias("text")
     )
     found = reports.report_tables(docs, TITLES).filter("body <> ''")
-    return found.select("doc_id", "title", F.posexplode(F.split("body", "\n")).alias("row_no", "line"))
+    return found.select("doc_id", "title", F.posexplode_outer(F.split("body", "\n")).alias("row_no", "line"))
 
 
 @query(f"""with {LINES_SQL},
@@ -67,13 +67,14 @@ carried as (
 select doc_id, section_word, line, count(*)::bigint as n from carried where section_word is not null group by all""")
 def report_line_join(spark: SparkSession, d: str) -> DataFrame:
     """Broken lines joined, then the word of the last section line carried down; no window needed."""
-    tidy = F.regexp_replace(F.regexp_replace("text", r"\n{2,}", "\n"), r"^\n|\n$", "")
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace(tidy, r"(,|a\.)\n", "$1 ").alias("text"))
-    sections = docs.select("doc_id", F.explode(reports.blocks(F.col("text"), "(?:The|And|In|Of|To) ")).alias("block"))
+    tidy = F.btrim(F.regexp_replace("text", r"\n\n+", "\n"), F.lit("\n"))
+    # the newline first, then a look back: the pattern then gives up at once on every other character
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace(tidy, r"\n(?<=(?:,|a\.)\n)", " ").alias("text"))
+    sections = docs.select("doc_id", F.explode_outer(reports.blocks(F.col("text"), "(?:The|And|In|Of|To) ")).alias("block"))
     word = F.regexp_extract("block", "^(The|And|In|Of|To) ", 1)
     # word and lines first: beside the explode the whole block would be carried along with every line
     cut = sections.select("doc_id", word.alias("section_word"), F.split("block", "\n").alias("lines"))
-    lines = cut.select("doc_id", "section_word", F.explode("lines").alias("line"))
+    lines = cut.select("doc_id", "section_word", F.explode_outer("lines").alias("line"))
     return lines.filter("section_word <> ''").groupBy("doc_id", "section_word", "line").agg(F.count("*").alias("n"))
 
 

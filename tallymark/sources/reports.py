@@ -38,9 +38,14 @@ REPORT_TABLES = (
 
 
 def report_lines(reports: DataFrame, text: str = "text") -> DataFrame:
-    """Pages to ordered lines."""
+    """Pages to ordered lines.
+
+    Outer explodes, here and below: a plain one is preceded by a test for emptiness that evaluates the
+    exploded expression a second time.
+    """
     rest = [c for c in reports.columns if c != text]
-    return reports.select(*rest, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    lines = reports.select(*rest, F.posexplode_outer(F.split(text, "\n")).alias("line_no", "line"))
+    return lines.filter("line_no is not null")
 
 
 def blocks(text: Column, starts: str) -> Column:
@@ -88,7 +93,6 @@ def report_tables(
     paragraphs = F.split(source, r"\n(?: {0,3}(?:\n|\z))+")
     rest = [c for c in reports.columns if c != text]
     tables = (
-        # an outer explode is not preceded by a test for emptiness, so the array is built once
         reports.select(*rest, F.posexplode_outer(F.transform(paragraphs, found)).alias("table_no", "_table"))
         .filter("_table <> ''")
         .withColumn("_title", F.substring_index("_table", "\n", 1))
@@ -120,8 +124,7 @@ def _exploded(tables: DataFrame, array: Column, names: tuple[str, str], **once:
     """Explode ``array``, with the columns ``once`` beside it.
 
     Those are computed in a step of their own: written next to the explode, Spark would compute them
-    again for every line, which makes a long table quadratic. The outer explode, filtered behind,
-    keeps it from testing the array for emptiness first, which would compute it twice.
+    again for every line, which makes a long table quadratic.
     """
     keys = _keys(tables)
     prepared = tables.select(*keys, *[c.alias(n) for n, c in once.items()], array.alias("_array"))

@@ -157,6 +157,52 @@ def report_age_counts(spark: SparkSession, d: str) -> DataFrame:
     return reports.read_tables(texts, "sex_age").select("brand", "manner", "sex", "age_group", "year", "raw_value")
 
 
+@query(f"""with {BRAND_SQL},
+letters as (select year, letter from axis cross join (select unnest(['F', 'C']) as letter)
+            where not (letter = 'C' and year = (select min(year) from axis))),
+t as (select distinct brand, p_type from samples)
+select t.brand, t.p_type as location, l.year, l.letter as drug, {PRINTED_SQL} as raw_value
+from t cross join letters l left join samples s
+  on s.brand = t.brand and s.p_type = t.p_type and s.year = l.year and s.l_returnflag = case l.letter when 'F' then 'A' else 'N' end
+group by t.brand, t.p_type, l.year, l.letter""")
+def report_analogue_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Analogue letters run across; every F opens the next year, the first year has nothing but F."""
+    counts = _brand_counts(spark, d, F.col("p_type"), F.col("l_returnflag"))
+    first = counts.agg(F.min("year")).scalar()
+    last = counts.agg(F.max("year")).scalar()
+    letter = F.when(F.col("l_returnflag") == "A", F.lit(0)).when(F.col("l_returnflag") == "N", F.lit(1))
+    # column 2 * years since the first + letter; the C of the first year is not printed
+    placed = counts.withColumn("col_no", (F.col("year") - first) * 2 + letter)
+    axis = F.array_remove(F.sequence(F.lit(0), (last - first) * 2 + 1), 1)
+    every = R.fill_periods(
+        placed.withColumn("n", F.when(F.col("col_no").isNull(), 0).otherwise(F.col("n")))
+        .groupBy("brand", "p_type", F.coalesce("col_no", F.lit(-1)).alias("col_no")).agg(F.sum("n").alias("n")),
+        ["brand", "p_type"], "col_no", ["n"], axis,
+    )
+    printed = F.when(F.col("n") == 0, "-").otherwise(F.col("n").cast("string")).alias("text")
+    cells = F.sort_array(F.collect_list(F.struct("col_no", printed)))
+    lines = every.groupBy("brand", "p_type").agg(F.array_join(F.transform(cells, lambda c: c["text"]), " ").alias("values"))
+    letters = F.concat(F.lit("F"), F.repeat(F.lit(" F C"), last - first))
+    head = F.concat(F.array_join(F.sequence(first, last), " "), F.lit("\n"), letters, F.lit("\n"))
+    texts = _report(_paragraphs(lines, ["brand"], ["p_type"], F.concat("p_type", F.lit(" "), "values"), head), "fentanyl_place", None)
+    found = reports.report_tables(texts, {TITLE["fentanyl_place"]: "fentanyl_place"})
+    return reports.fentanyl_place(found, 1995).select("brand", "location", "year", "drug", "raw_value")
+
+
+@query(f"""with {BRAND_SQL},
+c as (select brand, year, count(*) filter (l_returnflag = 'A') as a, count(*) filter (l_returnflag = 'N') as b, count(*) as t from samples group by all)
+select brand, year, 'sole cause' as series, a::varchar as raw_value from c
+union all select brand, year, 'combined cause', b::varchar from c union all select brand, year, 'total', t::varchar from c""")
+def report_cause_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Year lines with three counts, behind the rest of a title and a blank line."""
+    counts = _brand_counts(spark, d, F.col("l_returnflag")).groupBy("brand", "year").agg(
+        *[F.sum(F.when(F.col("l_returnflag") == flag, F.col("n")).otherwise(0)).alias(flag) for flag in "AN"], F.sum("n").alias("all")
+    )
+    line = F.concat_ws(" ", "year", "A", "N", "all")
+    texts = _report(_paragraphs(counts, ["brand"], ["year"], line, F.lit("1995 – 2001\n\nYear Sole Combined Total\n")), "sole_or_combined", None)
+    return reports.read_tables(texts, "sole_or_combined", leftovers="1995 –").select("brand", "year", "series", "raw_value")
+
+
 # Dashboards ---------------------------------------------------------------------------
 
 MONTH_AXIS_SQL = """months as (

@@ -172,7 +172,17 @@ def _series_rows(spark: SparkSession, d: str) -> DataFrame:
     return V.series_rows(long, ["chart", "geo", "metric", "series"], "year", "value")
 
 
-@query()
+@query(f"""with {FILLED_SQL},
+p as (select category as series, year, n, round_even(n::double / sum(n) over (partition by year) * 100.0, 2) as percent from filled),
+l as (select series, year, 'counts' as metric, n::double as value from p
+      union all select series, year, 'percentages', percent from p),
+s as (
+  select metric, series, '{{"x":["' || string_agg(year::varchar, '","' order by year) || '"],"y":['
+         || string_agg(value::varchar, ',' order by year) || ']}}' as line
+  from l group by metric, series),
+m as (select metric, '"' || metric || '":{{' || string_agg('"' || series || '":' || line, ',' order by series) || '}}' as body
+      from s group by metric)
+select 'supply_by_year' as chart, 'all' as geo, '{{"data":{{' || string_agg(body, ',' order by metric) || '}}}}' as value from m""")
 def series_document(spark: SparkSession, d: str) -> DataFrame:
     """One JSON document with counts and percentages of every category."""
     return V.series_documents(_series_rows(spark, d))

@@ -9,11 +9,15 @@ from tallymark.functions.text import NBSP, clean_label
 # Marks that publishers use in place of a number.
 SUPPRESSED_MARKS = ("Suppr.", "*")
 ZERO_MARKS = ("-", "--")
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+THOUSANDS = r"^[+-]?\d{1,3}(,\d{3})+(\.\d+)?$"
 
 
 def to_number(c: Column) -> Column:
-    """``"12.3%"`` and padded numbers to DOUBLE; everything else to NULL."""
-    return F.regexp_replace(F.trim(c.cast("string")), f"[%{NBSP}]", "").try_cast("double")
+    """``"12.3%"``, padded numbers and ``"1,234"`` to DOUBLE; everything else (words, NaN, ``12F``) to NULL."""
+    text = F.trim(F.regexp_replace(c.cast("string"), f"[%{NBSP}]", ""))
+    text = F.when(text.rlike(THOUSANDS), F.replace(text, F.lit(","))).otherwise(text)
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def to_number_or_zero(c: Column) -> Column:

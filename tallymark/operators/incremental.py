@@ -17,13 +17,13 @@ def new_rows(
     A feed that repeats the newest stored rows adds only what lies beyond them. Copies are counted,
     not numbered: each side is reduced to one row per distinct record (map-side first), so a record
     with very many copies is never ranked inside one task. With ``date``, the stored side is read
-    only from the feed's first date on. A feed holding several landings names its ``version`` column:
+    only from the feed's first date on, and where it has no date. A feed holding several landings names its ``version`` column:
     a record then counts as often as in the landing that has most copies of it.
     """
     columns = [c for c in feed.columns if c != version]
     if date is not None:
         first = feed.agg(F.min(date)).scalar()
-        stored = stored.filter(F.col(date) >= first)
+        stored = stored.filter(F.col(date).isNull() | (F.col(date) >= first))
     if version is None:
         landed = feed.select(*columns, F.lit(1).cast("bigint").alias("_n"))
     else:
@@ -35,34 +35,37 @@ def new_rows(
 
 
 def repeat_rows(df: DataFrame, times: str) -> DataFrame:
-    """Each row ``times`` over. Long runs are cut into pieces and dealt out before they are expanded,
-    so no task writes all copies of one record; the usual short runs need no shuffle."""
-    pieces = F.floor((F.col(times) - 1) / COPIES_PER_ROW)
+    """Each row ``times`` over. Runs are cut into pieces and dealt out before they are expanded, so no
+    task writes all copies of one record."""
     kept = [c for c in df.columns if c != times]
-    short = df.filter(F.col(times) <= COPIES_PER_ROW).select(*kept, F.col(times).cast("int").alias("_k"))
-    long = (
-        df.filter(F.col(times) > COPIES_PER_ROW)
-        .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces)))
-        .repartition("_piece", *kept)
-        .select(*kept, F.least(F.lit(COPIES_PER_ROW), F.col(times) - F.col("_piece") * COPIES_PER_ROW).cast("int").alias("_k"))
-    )
-    return short.unionAll(long).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).select(*kept)
+    last = F.floor((F.col(times) - 1) / COPIES_PER_ROW)
+    pieces = df.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).repartition("_piece", *kept)
+    size = F.least(F.lit(COPIES_PER_ROW), F.col(times) - F.col("_piece") * COPIES_PER_ROW).cast("int")
+    return pieces.withColumn("_copy", F.explode(F.sequence(F.lit(1), size))).select(*kept)
 
 
 def replace_from_year(stored: DataFrame, feed: DataFrame, year: str) -> DataFrame:
-    """Stored years before the feed's first year, and the feed from there on."""
+    """Stored years before the feed's first year, and the feed from there on.
+
+    A feed without years leaves all stored years. Stored rows without a year stay unless the feed has
+    such rows of its own, which then replace them."""
     first = feed.agg(F.min(year)).scalar()
-    return stored.filter(F.col(year) < first).unionByName(feed.select(*stored.columns))
+    undated = feed.agg(F.max(F.col(year).isNull())).scalar()
+    kept = F.when(F.col(year).isNull(), ~F.coalesce(undated, F.lit(False))).otherwise(first.isNull() | (F.col(year) < first))
+    return stored.filter(kept).unionByName(feed.select(*stored.columns))
 
 
-def newer_sources(landed: DataFrame, stored: DataFrame) -> DataFrame:
-    """Landed sources that are not stored yet or have a later scrape date than the stored version."""
-    known = stored.select("source", F.col("as_of").alias("_stored"))
-    return (
-        landed.join(known, "source", "left")
-        .filter(F.col("_stored").isNull() | (F.col("as_of") > F.col("_stored")))
-        .drop("_stored")
-    )
+def newer_sources(landed: DataFrame, stored: DataFrame, end: str | None = None) -> DataFrame:
+    """Landed sources that are not stored yet or have a later scrape date than the stored version.
+
+    With ``end``, the column of the data's own last day, a later scrape of data that ends where the
+    stored data ends is not newer."""
+    known = stored.select(F.col("source").alias("_source"), F.col("as_of").alias("_stored"), (F.col(end) if end else F.lit(None)).alias("_end"))
+    newer = F.col("as_of") > F.col("_stored")
+    if end:
+        newer = newer & ~F.col(end).eqNullSafe(F.col("_end"))
+    both = landed.join(known, F.col("source") == F.col("_source"), "left")
+    return both.filter(F.col("_source").isNull() | F.col("_stored").isNull() | newer).drop("_source", "_stored", "_end")
 
 
 def shape_drift(counted: DataFrame, expected: DataFrame, on: Sequence[str] = ("source",)) -> DataFrame:

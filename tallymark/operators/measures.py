@@ -70,20 +70,21 @@ def keyword_counts(
 def token_counts(df: DataFrame, by: Sequence[str], tokens: str, weight: str | None = None) -> DataFrame:
     """Occurrences of every token, and the rows that hold it at least once.
 
-    A row's repeats are folded before the shuffle, so it sends each token once.
+    A row lists its tokens once with repeats and once without, so it takes time in proportion to their
+    number; repeats are folded before the shuffle.
     """
     unit = F.lit(1) if weight is None else F.col(weight)
     kept = F.filter(tokens, lambda t: t != "")
-    folded = F.transform(
-        F.array_distinct(kept),
-        lambda t: F.struct(t.alias("token"), F.size(F.filter(kept, lambda o: o == t)).alias("repeats")),
+    folded = F.concat(
+        F.transform(kept, lambda t: F.struct(t.alias("token"), F.lit(1).alias("repeats"), F.lit(0).alias("rows"))),
+        F.transform(F.array_distinct(kept), lambda t: F.struct(t.alias("token"), F.lit(0).alias("repeats"), F.lit(1).alias("rows"))),
     )
     return (
         # a plain explode would evaluate the folding a second time to test it for emptiness
         df.select(*by, unit.alias("_w"), F.explode_outer(folded).alias("_t"))
         .filter(F.col("_t").isNotNull())
         .groupBy(*by, F.col("_t.token").alias("token"))
-        .agg(F.sum(F.col("_w") * F.col("_t.repeats")).alias("occurrences"), F.sum("_w").alias("samples"))
+        .agg(F.sum(F.col("_w") * F.col("_t.repeats")).alias("occurrences"), F.sum(F.col("_w") * F.col("_t.rows")).alias("samples"))
     )
 
 

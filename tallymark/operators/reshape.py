@@ -29,8 +29,12 @@ def long_to_wide(
 ) -> DataFrame:
     """Display table: one row per series, one column per period, optionally a total row.
 
-    The columns are given, so no extra job runs to find them.
+    The columns are given, so no extra job runs to find them. A row whose value is none of them fails the
+    job instead of dropping out of the table; a row without any value has no column and is left out.
     """
+    known = F.col(column).isin(*columns) | F.col(column).isNull()
+    stray = F.raise_error(F.concat(F.lit(f"{column} without a column: "), F.col(column).cast("string")))
+    df = df.withColumn(column, F.when(known, F.col(column)).otherwise(stray))
     if total is not None:
         # the rollup's own NULL is told apart from a NULL label by grouping()
         df = (

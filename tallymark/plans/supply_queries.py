@@ -102,7 +102,7 @@ mart as (
 def _series_with_zeros(spark: SparkSession, d: str) -> DataFrame:
     """Counts per category in which one series starts late and one is empty."""
     late = (F.col("series") == "PROMO") & (F.col("year") < 1997)
-    mart = settled(standins.sample_counts(spark, d)).withColumnRenamed("category", "series")
+    mart = standins.sample_counts(spark, d).withColumnRenamed("category", "series")
     return mart.withColumn("n", F.when(late | (F.col("series") == "SMALL"), F.lit(0)).otherwise(F.col("n")).cast("bigint"))
 
 
@@ -129,7 +129,7 @@ def first_year_with_data(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{EARLY_SQL}
 select series, year, n from mart where series in (select series from mart where n <> 0)""")
 def all_zero_measure_gate(spark: SparkSession, d: str) -> DataFrame:
-    return M.drop_empty_measures(_series_with_zeros(spark, d), ["series"], "n").select("series", "year", "n")
+    return M.drop_empty_measures(settled(_series_with_zeros(spark, d)), ["series"], "n").select("series", "year", "n")
 
 
 @query(f"""{EARLY_SQL}
@@ -203,13 +203,10 @@ def series_arrays(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+YEARS_SQL = ", ".join(f'sum(case when year = {y} then n end)::bigint as "{y}"' for y in range(1995, 2002))
+
+
 @query(f"""{EARLY_SQL}
-select series, sum(case when year = 1995 then n end)::bigint as "1995", sum(case when year = 1996 then n end)::bigint as "1996",
-       sum(case when year = 1997 then n end)::bigint as "1997", sum(case when year = 1998 then n end)::bigint as "1998"
-from mart group by series
-union all
-select 'Total', sum(case when year = 1995 then n end)::bigint, sum(case when year = 1996 then n end)::bigint,
-       sum(case when year = 1997 then n end)::bigint, sum(case when year = 1998 then n end)::bigint
-from mart""")
+select series, {YEARS_SQL} from mart group by series union all select 'Total', {YEARS_SQL} from mart""")
 def display_table_with_total(spark: SparkSession, d: str) -> DataFrame:
-    return R.long_to_wide(_series_with_zeros(spark, d), "series", "year", "n", [1995, 1996, 1997, 1998], total="Total")
+    return R.long_to_wide(_series_with_zeros(spark, d), "series", "year", "n", list(range(1995, 2002)), total="Total")

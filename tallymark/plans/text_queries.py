@@ -93,7 +93,7 @@ def label_number_split(spark: SparkSession, d: str) -> DataFrame:
   p_type || 'Furanyl' || upper(left(p_name, 1)) || substr(p_name, 2) || 'Opioid(Unknown)', '(Opioid\\(Unknown\\)|FuranylFentanyl|FuranylUF-17|[A-Z][a-z0-9\\-\\(\\)\\*]*)', 1), '|') as tokens
 from part""")
 def capital_token_split(spark: SparkSession, d: str) -> DataFrame:
-    joined = F.concat("p_type", F.lit("Furanyl"), F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1000), F.lit("Opioid(Unknown)"))
+    joined = F.concat("p_type", F.lit("Furanyl"), F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"), F.lit("Opioid(Unknown)"))
     return table(spark, d, "part").select("p_partkey", F.array_join(X.capital_tokens(joined), "|").alias("tokens"))
 
 

@@ -52,6 +52,8 @@ def _list_members(batches: Iterator[pd.DataFrame], suffix: str) -> Iterator[pd.D
                 for info in zf.infolist():
                     if not info.filename.endswith(suffix):
                         continue
+                    if info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+                        raise ValueError(f"{archive}: {info.filename} is packed by a method that is not read here")
                     # name and extra lengths of the member's own header lead to its first data byte
                     name_len, extra_len = struct.unpack_from("<HH", content, info.header_offset + 26)
                     start = info.header_offset + 30 + name_len + extra_len

@@ -25,6 +25,8 @@ def read_grid_cells(pages: DataFrame, page_id: str = "page_id", html: str = "htm
     """Cells of all grids of a page: ARIA grids (``role=row/columnheader/rowheader/gridcell``),
     tables (``tr/th/td``) and link lists (``li/a``). Numbers start at 0."""
     source = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).alias("html"))
+    # pages without any opening of a grid never reach Python
+    source = source.filter(F.col("html").rlike(r"(?i)<(?:table|ul|ol)\b|\brole\b"))
     return source.mapInPandas(_cells, GRID_CELLS)
 
 

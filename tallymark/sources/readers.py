@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -30,8 +32,18 @@ def read_latest_csv(spark: SparkSession, root: str, source: str, schema: StructT
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Landed API answers: JSON records, one per line or as one array."""
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+    """Landed API answers: JSON records, one per line or as one array; files of both layouts may lie together.
+
+    A file is line-delimited if each of its lines is an object. Such files are split among tasks."""
+    line = F.trim("value")
+    layout = (
+        spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), line.alias("line")).filter("line <> ''")
+        .groupBy("file").agg(F.min(F.col("line").startswith("{") & F.col("line").endswith("}")).alias("lines"))
+    )
+    files = {lines: [r["file"] for r in layout.filter(F.col("lines") == lines).collect()] for lines in (True, False)}
+    reader = spark.read.schema(schema)
+    rows = [reader.option("multiLine", str(not lines)).json(found) for lines, found in files.items() if found]
+    return reduce(DataFrame.unionAll, rows) if rows else spark.createDataFrame([], schema)
 
 
 def read_region_map(spark: SparkSession, path: str) -> DataFrame:

@@ -32,8 +32,8 @@ def write_workbook(tables: DataFrame, path: str) -> None:
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """JSON text, a directory per chart and region."""
-    documents.select("chart", "geo", "value").write.mode("overwrite").partitionBy("chart", "geo").text(path)
+    """JSON text, a directory per chart and region; other regions' documents stay."""
+    replace_partitions(documents.select("chart", "geo", "value"), path, ["chart", "geo"], "text")
 
 
 def write_observations(df: DataFrame, path: str) -> None:
@@ -43,7 +43,11 @@ def write_observations(df: DataFrame, path: str) -> None:
 def latest_version(spark: SparkSession, path: str, source: str) -> DataFrame:
     """Rows of a source's newest version; only that version's partition is scanned."""
     stored = spark.read.parquet(path).filter(F.col("source") == source)
-    return stored.filter(F.col("as_of") == stored.agg(F.max("as_of")).scalar())
+    order = [c for c in ("as_of", "data_until") if c in stored.columns]
+    newest = stored.agg(F.max(F.struct(*order))).scalar()
+    for c in order:
+        stored = stored.filter(F.col(c).eqNullSafe(newest[c]))
+    return stored
 
 
 def retained_versions(versions: DataFrame) -> DataFrame:

@@ -80,3 +80,10 @@ def test_periods(spark):
     assert one(spark, P.month_number(F.col("c")), c="sep") == 9
     ends = [one(spark, P.quarter_data_until(F.col("c")), c=f"2024 Q{q}") for q in (1, 2, 3, 4)]
     assert ends == [day(2024, 4, 1), day(2024, 7, 1), day(2024, 10, 1), day(2025, 1, 1)]
+
+
+def test_only_numbers_become_numbers(spark):
+    texts = ["12.3%", " 1,234 ", "12F", "NaN", "Infinity", "1e3", "-.5", "12,34", "", None, "7 ", "1,234,567.5"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    found = [r["n"] for r in df.select("k", N.to_number(F.col("t")).alias("n")).orderBy("k").collect()]
+    assert found == [12.3, 1234.0, None, None, None, 1000.0, -0.5, None, None, None, 7.0, 1234567.5]

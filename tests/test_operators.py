@@ -288,3 +288,39 @@ def test_replace_from_year_and_freshness(spark, rows):
     counted = spark.createDataFrame([("a", 26), ("b", 18)], "source string, counted int")
     expected = spark.createDataFrame([("a", 26), ("b", 17), ("c", 3)], "source string, expected int")
     assert rows(I.shape_drift(counted, expected)) == [("b", 18, 17), ("c", None, 3)]
+
+
+def test_display_table_fails_on_a_stray_column(spark):
+    df = spark.createDataFrame([("a", 2023, 2), ("a", 2024, 5)], "s string, y int, v int")
+    with pytest.raises(Exception, match="without a column: 2024"):
+        R.long_to_wide(df, "s", "y", "v", [2023]).collect()
+
+
+def test_replace_from_year_with_empty_feed_and_rows_without_year(spark, rows):
+    schema = "year int, n int"
+    stored = spark.createDataFrame([(2020, 1), (2021, 2), (None, 3)], schema)
+    assert rows(I.replace_from_year(stored, stored.filter("false"), "year")) == rows(stored)
+    assert rows(I.replace_from_year(stored, spark.createDataFrame([(2021, 9)], schema), "year")) == sorted([(2020, 1), (2021, 9), (None, 3)], key=repr)
+    again = I.replace_from_year(stored, spark.createDataFrame([(2021, 9), (None, 8)], schema), "year")
+    assert rows(again) == sorted([(2020, 1), (2021, 9), (None, 8)], key=repr)
+
+
+def test_new_rows_knows_stored_rows_without_date(spark, rows):
+    schema = "day date, n int"
+    feed = spark.sql("select * from values (date'2024-01-02', 1), (null, 2), (null, 2) as t(day, n)")
+    assert rows(I.new_rows(feed, feed, date="day")) == []
+    assert rows(I.new_rows(feed, feed.limit(0), date="day")) == rows(feed)
+    assert rows(I.new_rows(spark.createDataFrame([], schema), feed, date="day")) == []
+
+
+def test_newer_sources_skips_a_scrape_of_the_same_data(spark, rows):
+    schema = "source string, as_of int, data_until int"
+    stored = spark.createDataFrame([("a", 1, 10), ("b", 1, 10), ("d", 5, 10)], schema)
+    landed = spark.createDataFrame([("a", 2, 10), ("b", 2, 11), ("c", 1, 10), ("d", 4, 11)], schema)
+    assert rows(I.newer_sources(landed, stored, end="data_until"), "source") == [("b",), ("c",)]
+    assert rows(I.newer_sources(landed, stored), "source") == [("a",), ("b",), ("c",)]
+
+
+def test_token_counts_with_many_repeats(spark, rows):
+    df = spark.createDataFrame([(1, ["a", "b", "a", ""] * 3), (1, ["a"]), (1, None)], "k int, t array<string>")
+    assert rows(M.token_counts(df, ["k"], "t"), "token", "occurrences", "samples") == [("a", 7, 2), ("b", 3, 1)]

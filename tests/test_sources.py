@@ -339,3 +339,30 @@ def test_feed_stream_adds_only_new_rows(spark, rows, tmp_path):
     land("20240103", "2024-01-03,d", "2024-01-02,c", "2024-01-02,c")
     assert load() == sorted(first + [("2024-01-02", "c"), ("2024-01-03", "d")])
     assert len(load()) == 6
+
+
+def test_records_of_both_layouts(spark, tmp_path, rows):
+    (tmp_path / "lines.json").write_text('{"a": 1}\n{"a": 2}\n\n{"a": 3}\n')
+    (tmp_path / "array.json").write_text('[\n  {"a": 4},\n  {"a":\n 5}\n]')
+    (tmp_path / "one.json").write_text('[{"a": 6}, {"a": 7}]')
+    assert rows(readers.read_records(spark, str(tmp_path), "a int")) == [(n,) for n in range(1, 8)]
+
+
+def test_documents_of_other_regions_stay(spark, tmp_path, rows):
+    for geo in ("BC", "AB", "BC"):
+        sinks.write_documents(spark.createDataFrame([("deaths", geo, f"{{{geo}}}")], "chart string, geo string, value string"), str(tmp_path))
+    assert rows(spark.read.text(str(tmp_path)), "chart", "geo", "value") == [("deaths", "AB", "{AB}"), ("deaths", "BC", "{BC}")]
+
+
+def test_latest_version_of_two_on_one_day(spark, tmp_path, rows):
+    df = spark.createDataFrame([(1,)], "n int")
+    for until in ("20240101", "20240201"):
+        sinks.write_version(df.withColumn("n", F.lit(int(until))), str(tmp_path), "s", "20240301", until)
+    assert rows(sinks.latest_version(spark, str(tmp_path), "s"), "n") == [(20240201,)]
+
+
+def test_unknown_compression_fails(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_BZIP2) as zf:
+        zf.writestr("m.csv", "a\n1\n")
+    with pytest.raises(Exception, match="packed by a method"):
+        archives.zip_members(spark, str(tmp_path / "*.zip"), ".csv").collect()

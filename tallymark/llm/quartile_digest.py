@@ -2,8 +2,9 @@
 
 The triplets of a text (neighbours, and with gaps, in a sliding window of five bytes) are counted in buckets; a digest
 holds for each bucket the quartile of its count among all buckets, and the length on a logarithmic scale. Two digests
-differ by the sum of their buckets' distances, where opposite quartiles count more, and by their lengths; the sum is
-bounded, so likeness is one minus its share of the most.
+differ by the sum of their buckets' distances, where opposite quartiles count more, and by their lengths. The
+difference is bounded by what two digests with nothing in common have on average, and likeness is one minus its share
+of that bound.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from tallymark.llm.shared import whole_text, written
 BUCKETS = 256
 #: Distance of two quartile codes by their difference.
 _STEP = np.array([0, 1, 2, 6])
-#: What a difference in length codes counts at most, each, and the most that two digests can differ by.
-LENGTH_MOST, LENGTH_STEP = 24, 4
-MOST = 6 * BUCKETS + LENGTH_MOST * LENGTH_STEP
+#: What a difference in length codes counts each, and up to which one.
+LENGTH_STEP, LENGTH_MOST = 4, 24
+#: The bound: independent quartile codes are 0 to 3 apart with chances 4, 6, 4 and 2 in 16.
+MOST = BUCKETS * (6 * 1 + 4 * 2 + 2 * 6) / 16
 #: Offsets of the second and third byte from the first.
 TRIPLETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 _FACTOR = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -60,10 +62,10 @@ def parsed(fingerprint: str) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """1 for equal digests, 0 for the most different ones."""
+    """1 for equal digests, 0 for those as different as unrelated ones, or more."""
     lengths = min(LENGTH_MOST, abs(int(a[0]) - int(b[0]))) * LENGTH_STEP
     apart = _STEP[np.abs(a[1:].astype(np.int8) - b[1:].astype(np.int8))].sum()
-    return 1 - float(apart + lengths) / MOST
+    return max(0.0, 1 - float(apart + lengths) / MOST)
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

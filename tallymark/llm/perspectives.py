@@ -43,15 +43,15 @@ def rotated(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
     own = F.length(rendered(F.col("speaker"), F.col("text"), True))
     order = [F.col("turn").asc_nulls_first(), "speaker", "text"]
     placed = running_sum(df, ["conv_id"], "chunk", order, other, "others")
-    # what a turn of the assistant's is longer by
-    return _by_participant(placed, order, own - other)
+    # what a turn of the assistant's is longer by; places rise with the order and tell equal turns apart
+    return _by_participant(placed, own - other)
 
 
-def _by_participant(placed: DataFrame, order: list, longer: Column) -> DataFrame:
+def _by_participant(placed: DataFrame, longer: Column) -> DataFrame:
     people = placed.filter(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("assistant")).distinct()
     each = placed.join(people, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
     mine = F.col("speaker") == F.col("assistant")
-    each = running_sum(each, ["conv_id", "assistant"], "chunk", order, F.when(mine, longer).otherwise(0), "longer")
+    each = running_sum(each, ["conv_id", "assistant"], "chunk", ["others"], F.when(mine, longer).otherwise(0), "longer")
     segment = F.when(mine, rendered(F.col("speaker"), F.col("text"), True)).otherwise(rendered(F.col("speaker"), F.col("text"), False))
     start = F.col("others") + F.col("longer")
     each = each.select("conv_id", "assistant", "turn", "speaker", segment.alias("segment"), start.cast("long").alias("start"), mine.alias("_mine"))

@@ -187,39 +187,35 @@ def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
 
 def read(segments: DataFrame) -> DataFrame:
     """One row per document, from the segments' bytes: doc_id, start (ids of all documents before it), ids."""
-    return _read(segments, "ids array<long>", lambda ids: pa.array(ids.astype(np.int64)), pa.list_(pa.int64()))
+    return _read(segments, "ids array<long>", lambda ids: (ids.tolist(),), [pa.list_(pa.int64())])
 
 
 def checked(segments: DataFrame) -> DataFrame:
     """One row per document, from the segments' bytes: doc_id, start, n_tokens, ids_crc32 of its ids."""
+    return _read(segments, "n_tokens long, ids_crc32 long", lambda ids: (len(ids), zlib.crc32(ids.astype("<u4"))), [pa.int64()] * 2)
 
-    def measure(ids: np.ndarray) -> tuple[int, int]:
-        return len(ids), zlib.crc32(ids.astype("<u4").tobytes())
 
-    return _read(segments, "n_tokens long, ids_crc32 long", measure, None)
-
-
-def _read(segments: DataFrame, schema: str, measure, kind) -> DataFrame:
-    # where a segment starts: the ids of the parts before its own, and of the segments before it in its part
-    parts = segments.groupBy("part").agg(F.sum("ids").alias("ids"))
-    before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("part", before.alias("before"))
-    inside = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = segments.select("part", "place", "ids").select("part", "place", inside.alias("inside")).join(parts, "part")
-    starts = starts.select("part", "place", (F.col("inside") + F.col("before")).alias("start"))
+def _read(segments: DataFrame, schema: str, measure, kinds: list[pa.DataType]) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 held = Segment(batch.column("content")[k].as_py())
-                firsts = held.firsts
-                # a slice of documents at a time: no more than a segment's ids are decoded at once
                 ids = held.read(0, held.ids)
-                found = [measure(ids[a:b]) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
-                begin = pa.array(firsts[:-1] + batch.column("start")[k].as_py(), pa.int64())
-                values = [pa.array([x.to_pylist() for x in found], kind)] if kind else [pa.array(v, pa.int64()) for v in zip(*found, strict=True)]
-                names = [c.split()[0] for c in schema.split(", ")]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[k].values, begin, *values], names=["doc_id", "start", *names])
+                found = [measure(ids[a:b]) for a, b in zip(held.firsts[:-1], held.firsts[1:], strict=True)]
+                values = [pa.array(v, t) for v, t in zip(zip(*found, strict=True), kinds, strict=True)]
+                place = [pa.array([batch.column(c)[k].as_py()] * len(found), pa.int32()) for c in ("part", "place")]
+                columns = [*place, batch.column("doc_ids")[k].values, pa.array(held.firsts[:-1], pa.int64()), *values]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "place", "doc_id", "first", *names])
 
+    # where a segment starts: the ids of the parts before its own, and of the segments before it in its part
+    sizes = segments.select("part", "place", "ids")
+    parts = sizes.groupBy("part").agg(F.sum("ids").alias("ids"))
+    before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", before.alias("before"))
+    inside = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", "place", inside.alias("inside")).join(parts, "part").select("part", "place", (F.col("inside") + F.col("before")).alias("start"))
     id_kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
-    return segments.join(starts, ["part", "place"]).select("doc_ids", "content", "start").mapInArrow(decode, f"doc_id {id_kind}, start long, {schema}")
+    rows = segments.select("part", "place", "doc_ids", "content").mapInArrow(decode, f"part int, place int, doc_id {id_kind}, first long, {schema}")
+    return rows.join(starts, ["part", "place"]).select("doc_id", (F.col("start") + F.col("first")).alias("start"), *names)

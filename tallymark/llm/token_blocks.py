@@ -16,13 +16,15 @@ Layout of a segment, all little-endian unsigned 32-bit numbers but where noted:
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,25 +34,34 @@ MAGIC = 0x31524650
 #: Ids in a block (its last one may have fewer), ids in a segment, about, and the share of a block that must fit its width.
 BLOCK, SEGMENT, FITS = 1024, 1 << 18, 0.95
 END_ID = 2
+#: Texts encoded together.
+PART = 4096
 #: Chunks of text of which a worker keeps the ids, and the longest such chunk.
 KEPT, KEPT_LENGTH = 800_000, 48
-#: A space before white space or the end is no place to cut a text.
-UNSPLIT = re.compile(r" (?:\s|$)")
+#: White space but for the space and the line break, and the mark put before a text's first piece.
+ODD = r"[\x01\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+HEAD, APART = "\x01", ("\n", ",", ".")
+#: A comma or full stop that may belong to the mark before it.
+JOINED = r"(?:^|[^\pL\pN])[,.]"
+
 
 
 def packed(values: np.ndarray, width: int) -> bytes:
     """The low bits of the values, one after another."""
     if not width:
         return b""
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    size = 2 if width <= 16 else 4
+    bits = np.unpackbits(values.astype(f"<u{size}").view(np.uint8), bitorder="little").reshape(-1, 8 * size)
+    return np.packbits(bits[:, :width], axis=None, bitorder="little").tobytes()
 
 
 def unpacked(data: np.ndarray, count: int, width: int) -> np.ndarray:
     if not width:
         return np.zeros(count, np.uint32)
-    bits = np.unpackbits(data, count=count * width, bitorder="little").reshape(count, width)
-    return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(1, dtype=np.uint32)
+    size = 2 if width <= 16 else 4
+    bits = np.zeros((count, 8 * size), np.uint8)
+    bits[:, :width] = np.unpackbits(data, count=count * width, bitorder="little").reshape(count, width)
+    return np.packbits(bits.ravel(), bitorder="little").view(f"<u{size}").astype(np.uint32)
 
 
 def block(ids: np.ndarray) -> bytes:
@@ -81,10 +92,10 @@ def unblock(data: np.ndarray, count: int) -> np.ndarray:
     return rest + low
 
 
-def segment(documents: list[np.ndarray]) -> bytes:
-    """The bytes of a segment that holds these documents' ids."""
-    ids = np.concatenate(documents).astype(np.uint32)
-    firsts = np.cumsum([0, *(len(d) for d in documents[:-1])])
+def segment(documents: list[list[np.ndarray]]) -> bytes:
+    """The bytes of a segment that holds these documents' ids, each given as some arrays."""
+    ids = np.concatenate([part for parts in documents for part in parts]).astype(np.uint32)
+    firsts = np.cumsum([0, *(sum(map(len, parts)) for parts in documents[:-1])])
     blocks = [block(ids[k : k + BLOCK]) for k in range(0, len(ids), BLOCK)]
     starts = np.cumsum([0, *map(len, blocks)])
     head = np.array([MAGIC, len(ids), len(documents), len(blocks), *firsts, *starts], "<u4")
@@ -114,37 +125,92 @@ class Segment:
 
 
 class Encoder:
-    """A tokenizers file. A space before a visible character always begins a new pre-token of its byte-level
-    pattern, so texts are cut there, and pieces met before are looked up."""
+    """A tokenizers file. Its byte-level pattern begins a new pre-token at a space before a visible character, at a lone
+    line break, and at a comma or full stop after a letter or digit: texts are cut there, and only distinct pieces go to
+    the library. Pieces are remembered for two generations, so that frequent ones stay and rare ones go."""
 
     def __init__(self, path: str):
+        # tasks are the unit of parallel work; threads beside them only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # a character of a token stands for a byte of text, but in added tokens
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, n in self.tokenizer.get_vocab().items():
+            self.width[n] = len(token)
+        for n, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.width[n] = len(token.content.encode())
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        # white space after a space is not visible; those texts go to the library whole
-        cut = [None if UNSPLIT.search(t) else t.split(" ") for t in texts]
-        known = self.known
-        unknown = {w for ws in cut if ws for w in ws[1:]} - known.keys()
-        if len(known) + len(unknown) > KEPT:
-            known.clear()
-            unknown = {w for ws in cut if ws for w in ws[1:]}
-        new = list(unknown)
-        known.update(zip(new, self._library([" " + w for w in new]), strict=True))
-        # the first piece has no space before it; whole texts are encoded alike
-        heads = self._library([t if ws is None else ws[0] for t, ws in zip(texts, cut, strict=True)])
-        out = []
-        for head, ws in zip(heads, cut, strict=True):
-            out.append(np.frombuffer(head if ws is None else head + b"".join(map(known.__getitem__, ws[1:])), np.uint32))
-        for w in new:
-            if len(w) > KEPT_LENGTH:
-                del known[w]
-        return out
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces, by whether they stand apart, begin a text or follow a space. Those that begin with white space
+        are put together to longer texts for the library, and cut again by the bytes of their tokens."""
+        full = {w: w.removeprefix(HEAD) if w[:1] in (*APART, HEAD) else " " + w for w in new}
+        found = {}
+        spaced = [w for w, x in full.items() if x[:1] in (" ", "\n") and x.strip()]
+        groups = [spaced[k : k + 256] for k in range(0, len(spaced), 256)]
+        for group, raw in zip(groups, self._library(["".join([full[w] for w in group]) for group in groups]), strict=True):
+            ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in map(full.__getitem__, group)])
+            reached = np.cumsum(self.width[np.frombuffer(raw, np.uint32)])
+            cuts = np.searchsorted(reached, ends)
+            if (reached[np.minimum(cuts, len(reached) - 1)] == ends).all():
+                start = 0
+                for w, end in zip(group, ((cuts + 1) * 4).tolist(), strict=True):
+                    found[w] = raw[start:end]
+                    start = end
+        rest = [w for w in full if w not in found]
+        found.update(zip(rest, self._library([full[w] for w in rest]), strict=True))
+        return found
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text. Texts have no nulls."""
+        whole, joined = _whole(texts)
+        rest, joined = texts.filter(pc.invert(whole)), joined.filter(pc.invert(whole))
+        apart = pc.replace_substring(pc.replace_substring(rest, ",", " ,"), ".", " .")
+        marked = pc.replace_substring(pc.if_else(joined, rest, apart), "\n", " \n")
+        cut = pc.split_pattern(pc.binary_join_element_wise(HEAD, marked, ""), " ")
+        ends = cut.offsets.to_numpy()[1:] - cut.offsets.to_numpy()[0]
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        young, old = self.young, self.old
+        found = {w: young.get(w) or old.get(w) for w in words}
+        found.update(self._pieces([w for w, ids in found.items() if ids is None]))
+        young.update((w, ids) for w, ids in found.items() if len(w) <= KEPT_LENGTH)
+        if len(young) > KEPT // 2:
+            self.young, self.old = {}, young
+
+        # lay the pieces' ids out in the order of their occurrences
+        known = [found[w] for w in words]
+        sizes = np.array([len(ids) // 4 for ids in known], np.int64)
+        flat = np.frombuffer(b"".join(known), np.uint32)
+        at = coded.indices.to_numpy()
+        lengths = sizes[at]
+        stops = np.cumsum(lengths)
+        shift = (np.cumsum(sizes) - sizes)[at] - (stops - lengths)
+        laid = flat[np.repeat(shift, lengths) + np.arange(stops[-1] if len(stops) else 0)]
+        stops = np.concatenate([[0], stops])[ends]
+        parts = iter(np.split(laid, stops[:-1])) if len(stops) else iter(())
+        others = iter(self._library(texts.filter(whole).to_pylist()))
+        return [np.frombuffer(next(others), np.uint32) if w else next(parts) for w in whole.to_pylist()]
+
+
+def _whole(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Texts that can't be cut: white space in a row, at either end or of other kinds, or the mark of a text's head. And
+    those whose commas and full stops can't be cut off."""
+    odd = pc.match_substring_regex(texts, ODD)
+    for two in ("  ", " \n", "\n ", "\n\n"):
+        odd = pc.or_(odd, pc.match_substring(texts, two))
+    for edge in (" ", "\n"):
+        odd = pc.or_(odd, pc.or_(pc.starts_with(texts, edge), pc.ends_with(texts, edge)))
+    joined = pc.match_substring_regex(texts, JOINED)
+    for two in (" ,", " ."):  # there the mark would look like one that stands apart
+        odd = pc.or_(odd, pc.and_(joined, pc.match_substring(texts, two)))
+    return odd, joined
 
 
 @lru_cache(maxsize=2)
@@ -159,18 +225,18 @@ def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
     Texts are sorted by range once. Segments of a part follow each other by place, parts by number."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, held, names, size, place = encoder(tokenizer), [], [], 0, 0
+        use, held, names, size, place, last = encoder(tokenizer), [], [], 0, 0, np.array([end_id], np.uint32)
 
         def close() -> pa.RecordBatch:
             columns = [pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([size], pa.int64()), pa.array([names], pa.list_(id_type)), pa.array([segment(held)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["part", "place", "ids", "doc_ids", "content"])
 
         for batch in batches:
-            for start in range(0, len(batch), 2048):
-                some = batch.slice(start, 2048)
+            for start in range(0, len(batch), PART):
+                some = batch.slice(start, PART)
                 part, id_type = some.column("part")[0].as_py(), some.column("doc_id").type
-                for name, ids in zip(some.column("doc_id").to_pylist(), use.encode_all(some.column("text").to_pylist()), strict=True):
-                    held.append(np.append(ids, np.uint32(end_id)))
+                for name, ids in zip(some.column("doc_id").to_pylist(), use.encode_all(some.column("text")), strict=True):
+                    held.append([ids, last])
                     names.append(name)
                     size += len(ids) + 1
                     if size >= SEGMENT:

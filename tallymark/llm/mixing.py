@@ -99,9 +99,10 @@ def mixed(docs: DataFrame, seed: int = 0, block: int = BLOCK, weights: tuple[int
     pieces = pieces.select("row", "source", "block", low.alias("low"), high.alias("high"))
     slots = schedule(sources, block).select(F.col("source").alias("_source"), F.col("block").alias("_block"), "epoch", "words")
     meets = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))
-    took = pieces.join(slots, meets).withColumn("took", F.least("high", "words") - F.col("low")).filter("took > 0")
+    # slots unfold from one row per source, which the optimizer takes for their size
+    took = pieces.join(slots.hint("merge"), meets).withColumn("took", F.least("high", "words") - F.col("low")).filter("took > 0")
     took = took.groupBy("row", "epoch").agg(F.sum("took").alias("taken")).withColumnRenamed("row", "_row")
-    out = laid.join(took, F.col("row") == F.col("_row"), "left").drop("_row")
+    out = laid.join(took.hint("merge"), F.col("row") == F.col("_row"), "left").drop("_row")
     sources = sources.select(F.col("source").alias("_source"), "source_size", "target")
     out = out.join(sources, F.col("source").eqNullSafe(F.col("_source")))
     return out.select("row", "doc_id", "source", "size", "source_size", "target", "epoch", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -114,8 +114,9 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capa
     leaf = written(leaves(docs, doc_id, text), "leaves")
     table = written(directory(leaf.select("key").distinct(), capacity), "directory")
 
-    # texts of keys that occur more than once, collapsed where they are, then at their owners
-    again = leaf.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # texts of keys that occur more than once, collapsed where they are, then at their owners; both sides of the join
+    # are plain exchanges, so that adaptive execution can split a key with very many texts
+    again = written(leaf.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "again")
     bare = F.translate(whole_text(text), BLANKS, "")
     texts = docs.select(F.xxhash64(bare).alias("key"), bare.alias("bare")).join(again, "key", "left_semi")
     entries = texts.mapInArrow(collapsed, "key long, bare string")

@@ -137,7 +137,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
     schema = f"doc_id {kind.simpleString()}, part int, {_ROW}, first_text string, last_text string"
     whole = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
-    ordered = whole.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    ordered = whole.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     done = written(ordered.mapInArrow(neighbours, schema), "neighbours")
     ends = done.filter(F.col("last_text").isNotNull()).select("doc_id", "part", "first_text", "last_text")
     # only the numbers of the tasks that had rows are listed in one place

@@ -247,7 +247,7 @@ def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
 
     kind = docs.schema[doc_id].dataType.simpleString()
     whole = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
-    ordered = whole.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    ordered = whole.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     return written(ordered.mapInArrow(encode, f"part int, place int, ids long, doc_ids array<{kind}>, content binary"), "segments")
 
 

@@ -16,35 +16,37 @@ LEAST_SCORE = 0.2
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is known; those without letters, or like no learned language, go."""
     fit = language.fitted(docs, language.remainder() != 0)
-    columns = tuple(c for c in docs.columns if c != "doc_id")
-    kept = language.predicted(docs, fit, keep=columns).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*docs.columns)
+    # other columns travel under numbers, so that none is taken for one of the prediction's
+    names = {c: c if c in ("doc_id", "text") else f"_{k}" for k, c in enumerate(docs.columns)}
+    numbered = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    kept = language.predicted(numbered, fit, keep=tuple(n for n in names.values() if n != "doc_id"))
+    kept = kept.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts."""
-    kept = exact_dedup.duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """Keep one document of each group of equal texts. Rows that repeat its id as well stay with it."""
+    kept = exact_dedup.duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near-duplicates: the one that names it."""
-    kept = lsh_forest.join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = lsh_forest.join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each source's share of words: a row per round that takes some of a document; the one that a round ends
     in is cut after its last word that the round takes. Documents without words have no share."""
-    took = mixing.mixed(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    both = docs.join(took, F.col("doc_id").eqNullSafe(F.col("_id")))
-    words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("_taken").cast("int")), " ")
-    text = F.when(F.col("_taken") < F.col("_size"), cut).otherwise(F.col("text"))
-    both = both.withColumn("text", text)
+    took = mixing.mixed(docs).filter("taken > 0").select(F.col("doc_id").alias("took_id"), "size", "taken")
+    both = docs.join(took, docs["doc_id"].eqNullSafe(took["took_id"]))
+    words = F.split(F.regexp_replace(docs["text"], r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    cut = F.array_join(F.slice(words, F.lit(1), took["taken"].cast("int")), " ")
+    changed = {"text": F.when(took["taken"] < took["size"], cut).otherwise(docs["text"])}
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return both.select(*docs.columns)
+        changed["n_chars"] = F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)
+    return both.select(*(changed.get(c, docs[f"`{c}`"]).alias(c) for c in docs.columns))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

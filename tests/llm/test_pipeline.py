@@ -65,8 +65,8 @@ def test_stages_equal_plain_python(spark, documents, tmp_path):
     assert out.filter("not same").count() == 0
 
 
-def test_each_stage_keeps_the_columns(spark, documents):
-    docs = corpus(documents)[0]
+def test_each_stage_keeps_the_columns(spark, documents, clashing):
+    docs = clashing(corpus(documents)[0]).selectExpr("*", "1 as score", "'x' as lang_pred", "2 as kept_id", "3 as `a.b`")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert sorted(stage(spark, docs, "").dtypes) == sorted(docs.dtypes), name
         assert stage(spark, documents([]), "").count() == 0, name

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,19 +32,36 @@ BLOCKS = (
     "p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr td th thead tbody tfoot caption pre hr br address figcaption summary option label legend hgroup center"
 ).split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
-#: Words in a class, id or role that mark a part as no article text.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed)?|promos?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay"
-    r"|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footers?|masthead|header|toolbar|share|sharing|social|related|recommended|newsletter|subscribe"
-    r"|comments?|disqus|replies|respond|login|search|pagination|pager|complementary|contentinfo|skip)(?:$|[\s_-])",
-    re.I,
+#: A class, id or role that marks a part as no article text: one of these names, alone or with words that such names go with. Words
+#: that speak of a page (no-sidebar, comments-open) or of a topic (category-social) are none of them.
+_NAME = (
+    "ads? adverts? advertisements? advertising banners? sponsor(?:ed)? promos? cookies? consent gdpr notices? alerts? popups? modal overlay"
+    " nav navbar navigation menus? breadcrumbs? sidebars? footers? toolbar share sharing social related recommended newsletter subscribe"
+    " comments? disqus replies respond login search pagination pager complementary contentinfo skip"
+).replace(" ", "|")
+_BEFORE = "site|page|main|top|bottom|left|right|global|primary|secondary|mobile|desktop|post|entry|article|google|user|web"
+_AFTER = (
+    "areas?|bars?|blocks?|box(?:es)?|buttons?|containers?|content|forms?|icons?|inner|items?|links?|lists?|media|messages?|module|panel|articles?|posts?"
+    "|sections?|signup|slots?|stories|thread|units?|widgets?|wrap|wrapper|primary|secondary|main|top|bottom|mobile|desktop"
 )
+MARKS = re.compile(rf"(?:(?:{_BEFORE})[_-])*(?:{_NAME})(?:[_-](?:{_NAME}|{_AFTER}))*(?:[_-]?\d+(?:x\d+)?)?", re.I)
+#: The same for the top of a site; a header in an article is its own.
+TOPS = re.compile(r"(?:(?:site|global|main|top)[_-])?(?:header|masthead)(?:[_-](?:inner|wrap|wrapper|container))?", re.I)
+#: What an opening element ends that may go without an end tag, if no list, table or part lies between.
+ENDS = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"},
+    **dict.fromkeys(("thead", "tbody", "tfoot"), {"caption", "thead", "tbody", "tfoot", "tr", "td", "th"}),
+}
+SCOPES = {*PARTS, "ul", "ol", "dl", "menu"}
+TRACKED = {*PARTS, *APART, *BLOCKS} - set(VOID)
+#: Blocks that may stand in a paragraph; all others end it.
+INLINE = {"button", "label", "option"}
 _RAW = "|".join(RAW)
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|$)|<(?P<close>/)?(?P<name>[a-zA-Z][\w:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z!?/][^>]*>",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -53,8 +71,32 @@ def lines(page: str) -> tuple[list[str], list[bool], bool]:
     inside: list[bool] = []
     text: list[str] = []
     depth = 0  # of articles
-    skipped, nested = "", 0  # the element that is left out, and how often it is open
-    seen, at = False, 0
+    open_: list[str] = []  # elements by which parts end
+    count: Counter[str] = Counter()
+    skip = 0  # how many elements are open with the one that is left out, which is the last of them
+    seen, named, at = False, False, 0
+
+    def end(n: int) -> None:
+        nonlocal skip
+        count.subtract(open_[n:])
+        del open_[n:]
+        if n < skip:
+            skip = 0
+
+    def end_implied(name: str) -> None:
+        if open_ and open_[-1] == "p" and name in TRACKED and name not in INLINE:
+            end(len(open_) - 1)
+        ended = ENDS.get(name)
+        if not ended or not any(count[x] for x in ended):
+            return
+        k = last = len(open_)
+        while k and open_[k - 1] not in SCOPES:
+            k -= 1
+            if open_[k] in ended:
+                last = k
+            elif last < len(open_):
+                break
+        end(last)
 
     def end_line(gap: bool = False) -> None:
         line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
@@ -67,7 +109,7 @@ def lines(page: str) -> tuple[list[str], list[bool], bool]:
             inside.extend([False] * WINDOW)
 
     for m in _TOKEN.finditer(page):
-        if not skipped:
+        if not skip:
             text.append(page[at : m.start()])
         at = m.end()
         name = (m["name"] or "").lower()
@@ -75,38 +117,55 @@ def lines(page: str) -> tuple[list[str], list[bool], bool]:
             continue
         opens = not m["close"]
         article = name in ("article", "main")
-        if skipped:
-            if name == skipped:
-                nested += 1 if opens else -1
-                if nested == 0:
-                    skipped = ""
-                continue
-            if not (article and opens and not depth):
-                continue
-            skipped, nested = "", 0  # an unclosed menu ends where the article begins
         empty = name in VOID or m["rest"].rstrip().endswith("/")
-        if opens and not empty and (name in APART and not (name == "header" and depth) or name not in ("html", "body", "p") and _marked(m["rest"])):
+        if opens:
+            end_implied(name)
+        elif count[name]:
+            was = skip
+            k = len(open_) - 1
+            while open_[k] != name:
+                k -= 1
+            end(k)
+            if was and not skip and k == was - 1:
+                continue  # the end of the part itself
+        if skip:
+            # a part that is left out does not hold the article; an unclosed menu ends where it begins. Articles in an article are comments
+            if not (article and opens and (not depth or name == "main" or not named)):
+                if opens and not empty and (name in TRACKED or name == open_[skip - 1]):
+                    open_.append(name)
+                    count[name] += 1
+                continue
+            skip = 0
+        leaves = opens and not empty and not article and (name in APART and not (name == "header" and depth) or _marked(name, m["rest"], depth > 0))
+        if opens and not empty and (leaves or name in TRACKED):
+            open_.append(name)
+            count[name] += 1
+        if leaves:
             # inside the article its own parts are lines of it
             end_line(gap=not depth)
-            skipped, nested = name, 1
+            skip = len(open_)
         elif article and not empty:
             end_line(gap=not depth)
             depth = depth + 1 if opens else max(0, depth - 1)
-            seen = seen or opens
+            seen, named = seen or opens, named or opens and name == "article"
             if not depth:
                 end_line(gap=True)
         elif name in PARTS:
             end_line(gap=not depth)
         elif name in APART or name in BLOCKS:
             end_line()
-    if not skipped:
+    if not skip:
         text.append(page[at:])
     end_line()
     return out, inside, seen
 
 
-def _marked(attributes: str) -> bool:
-    return bool(attributes) and any(MARKS.search(a or b or c) for a, b, c in _NAMED.findall(attributes))
+def _marked(name: str, attributes: str, inside: bool) -> bool:
+    """Whether the names of an element say that it is no article text."""
+    if not attributes or name in ("html", "body", "p") or name == "header" and inside:
+        return False
+    words = [w for a, b, c in _NAMED.findall(attributes) for w in (a or b or c).split()]
+    return any(MARKS.fullmatch(w) or not inside and TOPS.fullmatch(w) for w in words)
 
 
 def between(lengths: np.ndarray, window: int = WINDOW, height: int = HEIGHT) -> list[tuple[int, int]]:

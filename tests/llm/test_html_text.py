@@ -37,3 +37,25 @@ def test_tables(spark, rows, clashing):
     pages = spark.createDataFrame([(1, "u", f"<p>{LONG}</p>"), (None, None, None), (1, "u", f"<p>{LONG}</p>")], schema)
     assert rows(H.extracted(clashing(pages)), "page_id", "url", "text") == sorted([(1, "u", LONG), (None, None, ""), (1, "u", LONG)], key=repr)
     assert rows(H.extracted(spark.createDataFrame([], schema))) == []
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<main class="site-main no-sidebar"><p>{LONG}</p></main>', LONG),
+        (f'<article class="post-12 category-social"><p>{LONG}</p></article>', LONG),
+        (f'<article class="comments-open comments"><p>{LONG}</p></article>', LONG),
+        (f'<div class="content has-sidebar"><p>{LONG}</p></div>', LONG),
+        (f'<main><div class="sidebar"><article><p>{LONG}</p></article></div></main>', LONG),
+        ('<article><header class="entry-header"><h1>Head</h1></header><p>x</p><section id="comments"><article>no</article></section><p>y</p></article>', "Head x y"),
+        ('<article><header class="header"><h1>Head</h1></header><p>x</p></article>', "Head x"),
+        ('<article><ul><li class="share">tweet<ul><li>no</ul><li>one<li>two</ul><p>x</p></article>', "one two x"),
+        ('<article><ul><li>one<li class="share">tweet</ul><p>x</p></article>', "one x"),
+        (f'<table><tr><td class="header">no<td>{LONG}</table><p>{LONG}</p>', f"{LONG} {LONG}"),
+        ('<article><div><div class="ad">no<p>no</div><p>x</p></div></article><p>no</p>', "x"),
+        ('<article><section><div class="ad">no</section><p>x</p></article>', "x"),
+        ('<article><div class="social-share">no</div><div class="ad-slot-2">no</div><div data-id="share">yes</div></article>', "yes"),
+    ],
+)
+def test_marks_leave_the_article(page, text):
+    assert H.main_text(page) == text

@@ -3,8 +3,8 @@
 Markup is stripped to lines: a block element begins a line, an element that sets a part of the page apart leaves a gap
 of empty lines around it, and what can't be article text (scripts, menus, forms, notices, comments, ...) leaves a gap
 only. The lengths of the lines are summed over a sliding window. A surge is where the sum rises from nothing, a dive
-where it falls back to nothing; the text between a surge and its dive is kept if its sum gets high enough between them.
-Where the page names its article, only lines in it have a length.
+where it falls back to nothing; the text between a surge and its dive is kept if its sum gets high enough between them,
+or if it lies in the same container as text that is kept. Where the page names its article, only lines in it have a length.
 """
 
 from __future__ import annotations
@@ -54,6 +54,7 @@ ENDS = {
 }
 SCOPES = {*PARTS, "ul", "ol", "dl", "menu"}
 TRACKED = {*PARTS, *APART, *BLOCKS} - set(VOID)
+HEADLINES = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Blocks that may stand in a paragraph; all others end it.
 INLINE = {"button", "label", "option"}
 _RAW = "|".join(RAW)
@@ -65,10 +66,15 @@ _NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'
 _SPACE = re.compile(r"\s+")
 
 
-def lines(page: str) -> tuple[list[str], list[bool], bool]:
-    """Lines of a page, empty ones where it has a gap; whether each is in a named article; whether there is any."""
+def lines(page: str) -> tuple[list[str], list[bool], bool, list[int], list[int], set[int]]:
+    """Lines of a page, empty ones where it has a gap; whether each is in a named article; whether there is any; the
+    container of each, the container around each container (the page itself is 0); the lines with a headline."""
     out: list[str] = []
     inside: list[bool] = []
+    homes: list[int] = []
+    around = [0]
+    headlines: set[int] = set()
+    within: list[int] = []  # the innermost container at each open element
     text: list[str] = []
     depth = 0  # of articles
     open_: list[str] = []  # elements by which parts end
@@ -79,7 +85,7 @@ def lines(page: str) -> tuple[list[str], list[bool], bool]:
     def end(n: int) -> None:
         nonlocal skip
         count.subtract(open_[n:])
-        del open_[n:]
+        del open_[n:], within[n:]
         if n < skip:
             skip = 0
 
@@ -102,11 +108,24 @@ def lines(page: str) -> tuple[list[str], list[bool], bool]:
         line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         text.clear()
         if line:
+            if open_ and open_[-1] in HEADLINES:
+                headlines.add(len(out))
             out.append(line)
             inside.append(depth > 0)
+            homes.append(within[-1] if within else 0)
         if gap and (not out or out[-1]):
             out.extend([""] * WINDOW)
             inside.extend([False] * WINDOW)
+            homes.extend([0] * WINDOW)
+
+    def begin(name: str) -> None:
+        home = within[-1] if within else 0
+        if name in PARTS and name not in ("html", "body"):
+            around.append(home)
+            home = len(around) - 1
+        open_.append(name)
+        within.append(home)
+        count[name] += 1
 
     for m in _TOKEN.finditer(page):
         if not skip:
@@ -116,6 +135,8 @@ def lines(page: str) -> tuple[list[str], list[bool], bool]:
         if not name:
             continue
         opens = not m["close"]
+        if not skip and name in TRACKED:
+            end_line()  # before the tag changes where it lies
         article = name in ("article", "main")
         empty = name in VOID or m["rest"].rstrip().endswith("/")
         if opens:
@@ -132,17 +153,16 @@ def lines(page: str) -> tuple[list[str], list[bool], bool]:
             # a part that is left out does not hold the article; an unclosed menu ends where it begins. Articles in an article are comments
             if not (article and opens and (not depth or name == "main" or not named)):
                 if opens and not empty and (name in TRACKED or name == open_[skip - 1]):
-                    open_.append(name)
-                    count[name] += 1
+                    begin(name)
                 continue
             skip = 0
         leaves = opens and not empty and not article and (name in APART and not (name == "header" and depth) or _marked(name, m["rest"], depth > 0))
-        if opens and not empty and (leaves or name in TRACKED):
-            open_.append(name)
-            count[name] += 1
         if leaves:
             # inside the article its own parts are lines of it
             end_line(gap=not depth)
+        if opens and not empty and (leaves or name in TRACKED):
+            begin(name)
+        if leaves:
             skip = len(open_)
         elif article and not empty:
             end_line(gap=not depth)
@@ -152,12 +172,12 @@ def lines(page: str) -> tuple[list[str], list[bool], bool]:
                 end_line(gap=True)
         elif name in PARTS:
             end_line(gap=not depth)
-        elif name in APART or name in BLOCKS:
+        elif name == "br" or name == "hr":
             end_line()
     if not skip:
         text.append(page[at:])
     end_line()
-    return out, inside, seen
+    return out, inside, seen, homes, around, headlines
 
 
 def _marked(name: str, attributes: str, inside: bool) -> bool:
@@ -181,11 +201,43 @@ def between(lengths: np.ndarray, window: int = WINDOW, height: int = HEIGHT) ->
     return [r for r, top in zip(ranges, tops, strict=True) if top >= min(height, max(tops))]
 
 
+def joined(ranges: list[tuple[int, int]], every: list[tuple[int, int]], homes: list[int], around: list[int], headlines: set[int]) -> list[tuple[int, int]]:
+    """Add the low ranges of the same text to the kept ones: a part boundary or something left out set them apart.
+
+    A low range belongs to kept text if its container holds some or lies in the container of some, if both containers
+    stand side by side in one that is not the page itself, if kept text stands on both sides of it in the container
+    around it, or if it is a headline right before kept text."""
+    kept = {r for r in ranges}
+    own = [False] * len(around)
+    for a, b in ranges:
+        for x in homes[a:b]:
+            own[x] = True
+    holds, under = list(own), list(own)
+    for k in range(len(around) - 1, 0, -1):  # a container is numbered after the one around it
+        holds[around[k]] = holds[around[k]] or holds[k]
+    for k in range(1, len(around)):
+        under[k] = under[k] or under[around[k]]
+    last = max((k for k, r in enumerate(every) if r in kept), default=-1)
+    first = min((k for k, r in enumerate(every) if r in kept), default=0)
+    out = []
+    follows = False  # whether the next range is kept
+    for k in range(len(every) - 1, -1, -1):
+        a, b = every[k]
+        follows = (a, b) in kept or any(
+            holds[x] or under[x] or holds[around[x]] and (around[x] > 0 or first < k < last) for x in set(homes[a:b])
+        ) or follows and any(n in headlines for n in range(a, b))
+        if follows:
+            out.append((a, b))
+    return out[::-1]
+
+
 def main_text(page: str) -> str:
-    found, inside, named = lines(page)
+    found, inside, named, homes, around, headlines = lines(page)
     lengths = np.array([len(x) if not named or i else 0 for x, i in zip(found, inside, strict=True)], np.int64)
     # a named article is kept whole, however little it holds
     ranges = between(lengths, height=0 if named else HEIGHT)
+    if not named:
+        ranges = joined(ranges, between(lengths, height=0), homes, around, headlines)
     return " ".join(x for a, b in ranges for x, n in zip(found[a:b], lengths[a:b], strict=True) if n)
 
 

@@ -59,3 +59,19 @@ def test_tables(spark, rows, clashing):
 )
 def test_marks_leave_the_article(page, text):
     assert H.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div><p>{LONG}</p><div class="ad">no</div><p>Short last line.</p></div>', f"{LONG} Short last line."),
+        (f'<body><div><p>{LONG}</p><div class="ad">no</div><p>One.</p><div class="ad">no</div><p>Two.</p></div><div>label</div>', f"{LONG} One. Two."),
+        (f"<body><div><h1>Head</h1></div><div><p>{LONG}</p></div><div>label</div>", f"Head {LONG}"),
+        (f"<body><div><div>Head</div><div><p>{LONG}</p></div><div>Last.</div></div><div>label</div>", f"Head {LONG} Last."),
+        (f"<body><div>label</div><div><p>{LONG}</p><figure>Caption</figure><p>Short.</p></div>", f"{LONG} Caption Short."),
+        (f"<body><p>{LONG}</p><div>nested</div><p>Short.</p>", f"{LONG} nested Short."),
+        (f"<body><div>{LONG}</div><div>Short.</div><div>{LONG}</div>", f"{LONG} Short. {LONG}"),
+    ],
+)
+def test_low_ranges_of_the_same_text_stay(page, text):
+    assert H.main_text(page) == text

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm import exact_dedup, language, lsh_forest, mixing, sentencepieces
 from tallymark.llm.queries import tokenizer
-from tallymark.llm.shared import written
+from tallymark.llm.shared import keyed, written
 
 #: Predictions below this are rejected: neither the family nor the language is told apart.
 LEAST_SCORE = 0.2
@@ -24,29 +24,44 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
+def key_of(docs: DataFrame) -> str:
+    """A name for the row key that no column has."""
+    return next(n for n in (f"row_{k}" for k in range(len(docs.columns) + 1)) if n not in map(str.lower, docs.columns))
+
+
+def staying(docs: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    kept = found.filter("stays").select(F.col("row").alias("kept_row"))
+    rows = docs.join(kept, docs[key] == kept["kept_row"], "left_semi")
+    return rows.drop(key)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts. Rows that repeat its id as well stay with it."""
-    kept = exact_dedup.duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """Keep one document of each group of equal texts, and one row of it if rows are repeated."""
+    key = key_of(docs)
+    docs = keyed(docs, key)
+    return staying(docs, key, exact_dedup.duplicates(docs, row=key))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near-duplicates: the one that names it."""
-    kept = lsh_forest.join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """Keep one document of each class of near-duplicates: the one that names it, and one row of it."""
+    key = key_of(docs)
+    docs = keyed(docs, key)
+    return staying(docs, key, lsh_forest.join(docs, row=key))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each source's share of words: a row per round that takes some of a document; the one that a round ends
     in is cut after its last word that the round takes. Documents without words have no share."""
-    took = mixing.mixed(docs).filter("taken > 0").select(F.col("doc_id").alias("took_id"), "size", "taken")
-    both = docs.join(took, docs["doc_id"].eqNullSafe(took["took_id"]))
+    key, columns, schema = key_of(docs), docs.columns, docs.schema
+    docs = keyed(docs, key)
+    took = mixing.mixed(docs, row=key).filter("taken > 0").select(F.col("place").alias("took_row"), F.col("size").alias("took_size"), F.col("taken").alias("took_words"))
+    both = docs.join(took, docs[key] == took["took_row"])
     words = F.split(F.regexp_replace(docs["text"], r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    cut = F.array_join(F.slice(words, F.lit(1), took["taken"].cast("int")), " ")
-    changed = {"text": F.when(took["taken"] < took["size"], cut).otherwise(docs["text"])}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)
-    return both.select(*(changed.get(c, docs[f"`{c}`"]).alias(c) for c in docs.columns))
+    cut = F.array_join(F.slice(words, F.lit(1), took["took_words"].cast("int")), " ")
+    changed = {"text": F.when(took["took_words"] < took["took_size"], cut).otherwise(docs["text"])}
+    if "n_chars" in columns:
+        changed["n_chars"] = F.length(changed["text"]).cast(schema["n_chars"].dataType)
+    return both.select(*(changed.get(c, docs[f"`{c}`"]).alias(c) for c in columns))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

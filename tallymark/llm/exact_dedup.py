@@ -28,13 +28,14 @@ CAPACITY = 1 << 16
 REMEMBERED = 1 << 25
 
 
-def leaves(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A slim row per document: id, code points, key, digest of the normalised text. Null counts as empty."""
+def leaves(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """A slim row per document: id, code points, key, digest of the normalised text; its row key if there is one. Null
+    counts as empty."""
     whole = whole_text(text)
     bare = F.translate(whole, BLANKS, "")
     return docs.select(
         F.col(doc_id).alias("doc_id"), F.length(whole).cast("long").alias("size"),
-        F.xxhash64(bare).alias("key"), F.sha2(bare, 256).alias("text_sha256"),
+        F.xxhash64(bare).alias("key"), F.sha2(bare, 256).alias("text_sha256"), *([F.col(row).alias("row")] if row else []),
     )
 
 
@@ -104,14 +105,15 @@ def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, slot.
+def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, row: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, slot; with a row key also row and
+    stays, which is true for one row of each group, the first by key of those that are kept.
 
     Texts are equal when identical without white space. The row with most code points stays, then the smallest id;
     of repeated rows with that same id each counts in group_size and each is marked as kept. A null text counts as
     empty, a null id comes after all others. bucket and slot are null where the key occurs once. Only the two named
     columns are read, so further columns may have any name. An empty table gives no rows."""
-    leaf = written(leaves(docs, doc_id, text), "leaves")
+    leaf = written(leaves(docs, doc_id, text, row), "leaves")
     table = written(directory(leaf.select("key").distinct(), capacity), "directory")
 
     # texts of keys that occur more than once, collapsed where they are, then at their owners; both sides of the join
@@ -130,12 +132,15 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capa
     chains = owned.mapInArrow(chained, "bucket long, key long, text_sha256 string, slot int")
 
     best = F.struct("size", F.expr("-doc_id").alias("less"))
-    groups = leaf.groupBy("key", "text_sha256").agg(F.count("*").alias("group_size"), F.max_by("doc_id", best).alias("keep_id")).filter("group_size > 1")
-    index = written(groups.join(chains, ["key", "text_sha256"]).select("bucket", "key", "slot", "text_sha256", "group_size", "keep_id"), "index")
+    first_row = [F.min(F.struct(F.expr("-size"), F.isnull("doc_id"), "doc_id", "row"))["row"].alias("first_row")] if row else []
+    groups = leaf.groupBy("key", "text_sha256").agg(F.count("*").alias("group_size"), F.max_by("doc_id", best).alias("keep_id"), *first_row).filter("group_size > 1")
+    first_row = ["first_row"] if row else []
+    index = written(groups.join(chains, ["key", "text_sha256"]).select("bucket", "key", "slot", "text_sha256", "group_size", "keep_id", *first_row), "index")
 
     found = leaf.join(index, ["key", "text_sha256"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "bucket", "slot",
+        *(["row", (F.col("group_size").isNull() | (F.col("row") == F.col("first_row"))).alias("stays")] if row else []),
     )

@@ -41,8 +41,8 @@ def matched_length(threshold: str, recall: float, trees: int = TREES, depth: int
     return length
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str, width: int, values: int) -> DataFrame:
-    """Per row: doc_id, number of distinct shingles, 128-bit digest of the set, signature."""
+def sketches(docs: DataFrame, doc_id: str, text: str, width: int, values: int, row: str | None = None) -> DataFrame:
+    """Per row: doc_id, number of distinct shingles, 128-bit digest of the set, signature; its row key if there is one."""
     rng = np.random.default_rng(values)
     factor = rng.integers(1, 2**63, values, dtype=np.uint64) | np.uint64(1)
     shift = rng.integers(0, 2**63, values, dtype=np.uint64)
@@ -55,14 +55,15 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int, values: int) -
                 digests.append(digest(found))
                 signatures.append(signature(found, factor, shift))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
-                names=["doc_id", "shingles", "rep", "signature"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), *(batch.column(c) for c in key)],
+                names=["doc_id", "shingles", "rep", "signature", *key],
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).mapInArrow(
-        sketch, f"doc_id {kind}, shingles int, rep binary, signature binary"
-    )
+    key = ["row"] if row else []
+    kinds = [f"row {docs.schema[row].dataType.simpleString()}"] if row else []
+    columns = [F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"), *([F.col(row).alias("row")] if row else [])]
+    return docs.select(*columns).mapInArrow(sketch, ", ".join([f"doc_id {kind}, shingles int, rep binary, signature binary", *kinds]))
 
 
 def digest(found: np.ndarray) -> bytes:
@@ -146,18 +147,21 @@ def verified(sets: list[np.ndarray], prefixes: np.ndarray, side: np.ndarray | No
 def join(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: str = THRESHOLD,
     recall: float = RECALL, trees: int = TREES, depth: int = DEPTH,
+    row: str | None = None,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the smallest id of its class), links, shingles.
+    """One row per row of docs: doc_id, class_id (the smallest id of its class), links, shingles; with a row key also row
+    and stays, which is true for one row of each class, the first by key of those with that id.
 
     links counts the other rows whose set of shingles has at least the threshold's similarity, copies included. Words
     are runs without white space; a text of fewer words than the width has one shingle of them all, an empty or null
     text has none and stands alone. Repeated rows count as copies. A null id takes part; it is the class's id only if
     no other row of the class has one. Only the two named columns are read."""
     length = matched_length(threshold, recall, trees, depth)
-    sketch = written(sketches(docs, doc_id, text, width, trees * length), "sketches")
+    sketch = written(sketches(docs, doc_id, text, width, trees * length, row), "sketches")
+    first_row = [F.min(F.struct(F.isnull("doc_id"), "doc_id", "row")).alias("first_row")] if row else []
     sets = written(
         sketch.filter("shingles > 0").groupBy("rep")
-        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("shingles").alias("shingles"), F.first("signature").alias("signature")),
+        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("shingles").alias("shingles"), F.first("signature").alias("signature"), *first_row),
         "sets",
     )
 
@@ -196,15 +200,16 @@ def join(
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(checked.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     classes = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    ids = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    classes = classes.join(ids, "root").join(links, "rep", "left").select(
-        "rep", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
+    ids = classes.groupBy("root").agg(F.min("first_id").alias("class_id"), *([F.min("first_row")["row"].alias("class_row")] if row else []))
+    classes = classes.drop("first_row").join(ids, "root").join(links, "rep", "left").select(
+        "rep", "class_id", *(["class_row"] if row else []), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
     )
-    out = sketch.select("doc_id", "shingles", F.when(F.col("shingles") > 0, F.col("rep")).alias("rep")).join(classes, "rep", "left")
+    out = sketch.select("doc_id", "shingles", *(["row"] if row else []), F.when(F.col("shingles") > 0, F.col("rep")).alias("rep")).join(classes, "rep", "left")
     alone = F.col("shingles") == 0
     return out.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.col("shingles").cast("long").alias("shingles"),
+        *(["row", (alone | (F.col("row") == F.col("class_row"))).alias("stays")] if row else []),
     )
 
 

@@ -75,22 +75,23 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     return ranked.select("position", "source", "rank", "epoch", "block", words.cast("long").alias("words"))
 
 
-def mixed(docs: DataFrame, seed: int = 0, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = 0, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, row: str | None = None) -> DataFrame:
     """Which words the mix takes: row, doc_id, source, size, source_size, target, epoch, taken; a row per document and
     round that takes some of it (one with epoch null where none does). docs: doc_id, source, text.
 
     Words are runs without white space; a null text has none. The order within a source follows the md5 of seed and id,
     so reruns agree; equal ids are told apart by their text's digest, and rows equal in all three share their words out
-    in any order. A round takes a prefix of the source's shuffled words, so it cuts at most one document."""
+    in any order, or by their row key if docs has one, which then comes back as place. A round takes a prefix of the source's shuffled words, so it cuts at most one document."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    rows = written(docs.select("doc_id", "source", words_of().alias("size"), key.alias("key"), F.xxhash64("text").alias("digest")), "sizes")
+    rows = written(docs.select("doc_id", "source", words_of().alias("size"), key.alias("key"), F.xxhash64("text").alias("digest"), *([F.col(row).alias("place")] if row else [])), "sizes")
+    place = ["place"] if row else []
     n = rows.count()
     sources = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     # as many chunks as a chunk has rows, about
     digits = max(1, math.ceil(math.log(max(2, n), 16) / 2))
-    laid = running_sum(rows.withColumn("chunk", F.substring("key", 1, digits)), ["source"], "chunk", ["key", "digest"], F.col("size"), "start")
+    laid = running_sum(rows.withColumn("chunk", F.substring("key", 1, digits)), ["source"], "chunk", ["key", "digest", *place], F.col("size"), "start")
     laid = laid.withColumn("row", F.xxhash64("source", "start", "key", "digest", "size"))
-    laid = written(laid.select("row", "doc_id", "source", "size", "start"), "laid")
+    laid = written(laid.select("row", "doc_id", "source", "size", "start", *place), "laid")
 
     last = F.expr(f"(start + size - 1) div {block}")
     pieces = laid.filter("size > 0").select("*", F.explode(F.sequence(F.expr(f"start div {block}"), last)).alias("block"))
@@ -105,4 +106,4 @@ def mixed(docs: DataFrame, seed: int = 0, block: int = BLOCK, weights: tuple[int
     out = laid.join(took.hint("merge"), F.col("row") == F.col("_row"), "left").drop("_row")
     sources = sources.select(F.col("source").alias("_source"), "source_size", "target")
     out = out.join(sources, F.col("source").eqNullSafe(F.col("_source")))
-    return out.select("row", "doc_id", "source", "size", "source_size", "target", "epoch", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("row", "doc_id", "source", "size", "source_size", "target", "epoch", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *place)

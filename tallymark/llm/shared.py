@@ -36,6 +36,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """The frame with a column `name` that tells each of its stored rows from all others, the same at every reading: the
+    file and the place in it. A frame that is not just read from Parquet is written first."""
+    plan = df._jdf.queryExecution().analyzed()
+    stored = plan.getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in df.columns
+    if not (stored and "parquet" in plan.relation().toString().lower()):
+        names = [f"_{k}" for k in range(len(df.columns))]
+        df = written(df.toDF(*names), "rows").select(*(F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)), _place().alias(name))
+        return df
+    return df.select("*", _place().alias(name))
+
+
+def _place() -> Column:
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
 def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -73,6 +73,32 @@ def test_each_stage_keeps_the_columns(spark, documents, clashing):
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES][2] == "near_dedup"
 
 
+def test_repeated_rows_and_null_ids(spark, documents, prose, tmp_path):
+    """Each stage keeps, drops and cuts rows, not ids: with rows in memory and rows in files."""
+    a, b, c, d = (prose(n, n) for n in (40, 50, 60, 70))
+    near = " ".join(d.split()[:-1] + ["edited"])
+    texts, ids = [a, a, a, b, b + " ", c, d, near], [1, 1, None, None, None, None, None, None]
+    mem = documents(texts, ids=ids)
+    mem.repartition(3).write.parquet(f"{tmp_path}/rows")
+    for docs in (mem, spark.read.parquet(f"{tmp_path}/rows")):
+        exact = corpus_pipeline.exact_copies(spark, docs, "")
+        assert sorted((str(r["doc_id"]), r["text"]) for r in exact.collect()) == sorted([("1", a), ("None", b + " "), ("None", c), ("None", d), ("None", near)])
+        left = corpus_pipeline.near_copies(spark, docs, "").collect()
+        assert len(left) == 4 and sum(r["text"] in (d, near) for r in left) == 1 and sum(r["text"] == a for r in left) == 1
+
+    sources = ["s"] * 8 + ["t"] * 8
+    docs = documents(texts * 2, ids=ids * 2, sources=sources)
+    out = corpus_pipeline.mix(spark, docs, "").collect()
+    size = sum(len(t.split()) for t in texts)
+    target = brute_targets({"s": size, "t": size})
+    whole = {s: Counter(t for t in texts) for s in "st"}
+    for s in "st":
+        mine = [r["text"] for r in out if r["source"] == s]
+        assert sum(len(t.split()) for t in mine) == int(target[s] + 1e-9)
+        assert all(n <= 2 * whole[s][t] for t, n in Counter(mine).items() if t in whole[s])
+        assert sum(t not in whole[s] for t in mine) <= 2
+
+
 def test_clean_documents_stay(spark):
     folder = "/root/testdata/sf0.001"
     if not Path(folder).exists():

@@ -90,7 +90,9 @@ def mixed(docs: DataFrame, seed: int = 0, block: int = BLOCK, weights: tuple[int
     # as many chunks as a chunk has rows, about
     digits = max(1, math.ceil(math.log(max(2, n), 16) / 2))
     laid = running_sum(rows.withColumn("chunk", F.substring("key", 1, digits)), ["source"], "chunk", ["key", "digest", *place], F.col("size"), "start")
-    laid = laid.withColumn("row", F.xxhash64("source", "start", "key", "digest", "size"))
+    # numbered in the running sum's own order: rows that are equal in all of it still get different numbers
+    number = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("key", "digest", *place))
+    laid = laid.withColumn("row", F.struct("source", "chunk", number.alias("number")))
     laid = written(laid.select("row", "doc_id", "source", "size", "start", *place), "laid")
 
     last = F.expr(f"(start + size - 1) div {block}")

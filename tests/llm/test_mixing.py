@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.llm import mixing as M
+from tallymark.llm import queries
 
 
 def brute_targets(sizes, weights=(3, 1, 2)):
@@ -90,3 +91,11 @@ def test_reruns_agree_and_no_python(corpus, rows):
     docs = corpus[0]
     assert rows(M.mixed(docs)) == rows(M.mixed(docs.repartition(5)))
     assert not re.search("Python|Arrow|Pandas", M.mixed(docs)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_repeated_rows_without_words_stay_apart(spark, documents, tmp_path):
+    texts = [None, None, "", "", " ", "w", "w"]
+    docs = documents(texts, ids=[None, None, 3, 3, 3, 4, 4], sources=[None] * 2 + ["s"] * 5)
+    assert M.mixed(docs).select("row").distinct().count() == len(texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op9_mixing(spark, str(tmp_path)).count() == len(texts)

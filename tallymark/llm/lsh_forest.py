@@ -1,8 +1,8 @@
-"""Near-duplicate join: Jaccard similarity of word shingles by an LSH forest of MinHash signatures, verified exactly.
+"""Near-duplicate join: Jaccard similarity of word shingles by fixed MinHash banding, verified exactly.
 
-Each tree of the forest is a prefix trie over its own piece of the signatures; a node is all sets whose values agree to
-some depth. A match at the full depth is shortened value by value until sets at the threshold meet in some tree with
-the target recall, so nodes of that depth are the candidates. Then:
+The method is named after the LSH forest, but no prefix trie is built: the length that the forest would be shortened to
+is computed once from the threshold, the recall, the number of trees and their depth, and each tree is a band of so
+many values. Sets that agree in a whole band are candidates. Then:
 
 * Equal sets are one class from the start: their rows are counted, not compared.
 * Nodes are found by aggregates (count, digest of the members); nodes of one member go, and so do nodes with exactly
@@ -34,7 +34,8 @@ BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 
 
 def matched_length(threshold: str, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Shorten the prefix until two sets at the threshold meet in at least one tree with the target recall."""
+    """The band length: the longest prefix, from the depth down, at which two sets at the threshold meet in at least one tree with
+    the target recall."""
     length = depth
     while length > 1 and 1 - (1 - float(threshold) ** length) ** trees < recall:
         length -= 1

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import (
-    exact_dedup, html_text, language, lsh_forest, mixing, perspectives, quartile_digest, secret_scan, sentencepieces, sql, token_blocks,
+    collocations, exact_dedup, filter_audit, html_text, language, lsh_forest, mixing, perspectives, quartile_digest, secret_scan, sentencepieces, sql,
+    superminhash, token_blocks,
 )
 from tallymark.plans.registry import table
 
@@ -73,6 +74,18 @@ def op10_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
     return lsh_forest.join(table(spark, folder, "documents"))
 
 
+def op11_superminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.masks(table(spark, folder, "documents")), table(spark, folder, "labels"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +95,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_sentencepiece, op3_secret_scan, op4_token_blocks, op5_html_text, op6_perspectives, op7_language,
-        op8_quartile_digest, op9_mixing, op10_lsh_forest, pipeline,
+        op8_quartile_digest, op9_mixing, op10_lsh_forest, op11_superminhash, op12_filter_audit, op13_collocations, pipeline,
     )
 }
 SQL = dict(sql.SQL)

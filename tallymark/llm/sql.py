@@ -54,4 +54,86 @@ select p.doc_id, p.size::bigint as size, t.source_size, t.target,
 from p join t on p.source is not distinct from t.source
 """
 
-SQL = {"op1_exact_dedup": EXACT, "op6_perspectives": PERSPECTIVES, "op9_mixing": MIX}
+LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NEAR = rf"""
+with recursive w as materialized (select doc_id, regexp_extract_all({LOW}, '[^\x20\x09-\x0D]+') as w from documents),
+x as materialized (
+  select distinct doc_id, unnest(case when len(w) < 2 then [w[1]] else list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) end) as shingle
+  from w where len(w) > 0),
+n as (select doc_id, count(*) as n from x group by doc_id),
+common as (select a.doc_id as u, b.doc_id as v, count(*) as c from x a join x b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+links as materialized (
+  select u, v from common join n a on a.doc_id = u join n b on b.doc_id = v where 100 * c >= 80 * (a.n + b.n - c)),
+both_ways as materialized (select u, v from links union all select v, u from links),
+reached(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, e.v from reached r join both_ways e on r.other = e.u),
+c as (select doc_id, min(other) as component_id from reached group by doc_id)
+select c.doc_id, coalesce(n, 0) as n_shingles, component_id, c.doc_id = component_id as kept from c left join n on n.doc_id = c.doc_id
+"""
+
+AUDIT = r"""
+with t as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    min(doc_id) over (partition by coalesce(text, '')) as first_id
+  from documents),
+m as (
+  select t.doc_id, part, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as toxic,
+    case when len(w) < 200 then 'A' else '' end
+    || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+    || case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) then 'C' else '' end
+    || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end
+    || case when t.doc_id > first_id then 'E' else '' end as fails
+  from t left join labels l on t.doc_id = l.doc_id),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps as (select filter_order, unnest([1, 2, 3, 4, 5])::int as step from orders),
+s as (select *, filter_order[step] as own, filter_order[1:step - 1] as before from steps),
+counts as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from m group by all),
+j as (
+  select c.part, s.*, c.n, c.good, c.toxic, fails,
+    contains(fails, own) as mine, before <> '' and fails <> '' and regexp_matches(fails, '[' || before || '0]') as earlier
+  from counts c, s),
+r as (
+  select part, filter_order, step, own,
+    coalesce(sum(n) filter (not mine and not earlier), 0)::bigint as kept,
+    coalesce(sum(n) filter (mine and not earlier), 0)::bigint as removed,
+    coalesce(sum(n) filter (mine and earlier), 0)::bigint as redundant,
+    coalesce(sum(n) filter (fails = own), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (mine and not earlier), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (mine and not earlier), 0)::bigint as toxic_lost
+  from j group by all)
+select * exclude (own), sum(removed) over (partition by part, own)::bigint as shapley from r
+"""
+
+PHRASES = rf"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({LOW}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as materialized (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+totals as (select lang, sum(len(w))::bigint as n from w group by lang),
+grams as (
+  select lang, 1 as words, unnest(w) as phrase from w
+  union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) from w where len(w) > 1
+  union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) from w where len(w) > 2),
+f as materialized (select lang, words, phrase, count(*)::bigint as f from grams group by all having count(*) >= 10),
+c as (select *, string_split(phrase, ' ') as w from f where words > 1),
+around as (
+  select lang, phrase, max(f) as around from (
+    select lang, f, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) as phrase from c where words = 3) group by all),
+kept as (select c.* from c left join around r on c.lang = r.lang and c.phrase = r.phrase where words = 3 or around is null or 100 * around < 50 * c.f),
+cuts as (
+  select lang, phrase, f as a, unnest(range(1, words)) as k, w from kept),
+sides as (select lang, phrase, a, k, array_to_string(w[1:k], ' ') as lft, array_to_string(w[k + 1:], ' ') as rgt from cuts),
+scored as (
+  select s.lang, s.phrase, s.a, k, x.f as l, y.f as r, ((1000000::hugeint * a * a) // (x.f::hugeint * y.f))::bigint as score
+  from sides s join f x on x.lang = s.lang and x.phrase = lft join f y on y.lang = s.lang and y.phrase = rgt),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from lowest)
+select ranked.lang, rank, phrase, a, l, r, n, score from ranked join totals on ranked.lang = totals.lang where rank <= 2000
+"""
+
+SQL = {
+    "op1_exact_dedup": EXACT, "op6_perspectives": PERSPECTIVES, "op9_mixing": MIX, "op11_superminhash": NEAR, "op12_filter_audit": AUDIT,
+    "op13_collocations": PHRASES,
+}

@@ -33,11 +33,20 @@ BURST, HELD, VOCABULARY, MERGED = 1 << 16, 1 << 22, 1 << 20, 1 << 20
 CHUNK, PARTITION = 1 << 20, 1 << 23
 #: What a lang's candidates are dealt over before its best are ranked.
 DEALT = 256
+#: An odd factor and its inverse.
+_FACTOR, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SEPARATOR, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
 _SEPARATOR[list(b".,;:!?\n\x0b\x0c\r")] = True
 _BLANK[list(b" \t")] = True
 
 
+def scrambled(keys: np.ndarray, factor: np.uint64) -> np.ndarray:
+    """Spread the bits of paths; the inverse factor brings them back."""
+    x = keys.view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * factor
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
 class Container:
     """A hash container: counts of paths in some range. New ones wait until hashing them in pays."""
 
@@ -57,8 +66,9 @@ class Container:
         if self.waiting:
             keys = np.concatenate([self.keys, *(k for k, _ in self.waiting)])
             counts = np.concatenate([self.counts, *(c for _, c in self.waiting)])
-            both = pa.table({"k": keys, "n": counts}).group_by("k", use_threads=False).aggregate([("n", "sum")])
-            self.keys, self.counts, self.waiting = both["k"].to_numpy(), both["n_sum"].to_numpy(), []
+            # packed paths share most of their bits: scrambled, one to one, they hash well
+            both = pa.table({"k": scrambled(keys, _FACTOR), "n": counts}).group_by("k", use_threads=False).aggregate([("n", "sum")])
+            self.keys, self.counts, self.waiting = scrambled(both["k"].to_numpy(), _INVERSE), both["n_sum"].to_numpy(), []
             self.size = len(self.keys)
 
     def cut(self, low: int) -> int | None:

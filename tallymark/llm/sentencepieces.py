@@ -10,7 +10,7 @@ only where the piece before it and its own piece stay apart under the model's me
 boundary would have been merged away, so each boundary has one surviving last piece and the ids are the model's own.
 
 No piece has a word start after another character, so the boundary before each word is one where all paths meet. Words
-are therefore searched once per worker and their ids looked up afterwards.
+are therefore searched once per worker, thousands side by side in arrays, and their ids looked up afterwards.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,43 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, MERGES = 1, 2
 #: Words of which a worker keeps the ids, and the longest such word.
 KEPT_WORDS, KEPT_LENGTH = 800_000, 48
-#: Texts encoded together.
-PART = 2048
+#: Texts encoded together, and words searched side by side.
+PART, BESIDE = 2048, 32_768
+#: No piece ends so.
+MISSING = -2
 #: Texts whose words cannot be looked up one by one: runs of spaces, or the mark itself.
-UNSPLIT = re.compile(f"  |^ |{SPACE}")
+UNSPLIT = f"  |^ |{SPACE}"
+
+
+class Table:
+    """64-bit keys to ids, looked up many at a time by open addressing."""
+
+    def __init__(self, values: dict[int, int]):
+        self.bits = max(4, (8 * len(values)).bit_length())
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, MISSING, np.int32)
+        keys, ids = np.array(list(values), np.uint64), np.array(list(values.values()), np.int32)
+        at = self.places(keys)
+        while len(keys):
+            first = np.unique(at, return_index=True)[1]
+            first = first[self.values[at[first]] == MISSING]
+            self.keys[at[first]], self.values[at[first]] = keys[first], ids[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, ids, at = keys[rest], ids[rest], (at[rest] + 1) % len(self.keys)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        return (((keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The ids of keys, or MISSING."""
+        at = self.places(keys)
+        out, held = self.values[at], self.keys[at]
+        open_ = np.flatnonzero((held != keys) & (out > MISSING))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self.keys)
+            out[open_], held = self.values[at[open_]], self.keys[at[open_]]
+            open_ = open_[(held != keys[open_]) & (out[open_] > MISSING)]
+        return out
 
 
 class Pieces:
@@ -55,8 +89,17 @@ class Pieces:
         self.cut_at_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
+        # for many words at once: which pairs of ids stay apart, and what pieces can end with, by its hash
+        self.strings, self.sizes, self.apart = [p for p, _, _ in pieces], np.array([len(p) for p, _, _ in pieces]), {}
+        self.pairs_seen: dict[int, int] = {}
+        self.pair_table = Table({})
+        self.powers = np.array([pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(self.longest)], np.uint64)
+        self.suffixes = Table({self.hash(p): n for p, n in self.known.items()})
         self.shown = [self._shown(p, t) for p, _, t in pieces]
 
+    def hash(self, piece: str) -> int:
+        return sum(ord(c) * int(p) for c, p in zip(reversed(piece), self.powers, strict=False)) % 2**64
+
     @staticmethod
     def _shown(piece: str, kind: int) -> bytes:
         if kind == BYTE:
@@ -129,19 +172,92 @@ class Pieces:
         if len(text) > committed:
             yield self._ids(text, back, len(text), committed)
 
-    def learn(self, words: set[str]) -> None:
-        """Search words that follow a space. In sorted order each goes on where it parts from the one before it."""
-        back, score, last = {0: -1}, {0: 0.0}, ""
-        for word in sorted(words):
-            text, k = SPACE + word, 0
-            for x, y in zip(text, last, strict=False):
-                if x != y:
-                    break
-                k += 1
-            for i in range(k + 1, len(text) + 1):
-                self.step(text, i, back, score)
-            last = text
-            self.words[word] = np.array(self._ids(text, back, len(text), 0), np.int32).tobytes()
+    def learn(self, words: list[str]) -> None:
+        """Search words that follow a space. At each word's start all paths meet, so many words are searched side by side,
+        a boundary of each at a time."""
+        if self.kind != MERGES:
+            for word in words:
+                self.words[word] = self.encode_marked(SPACE + word).tobytes()
+            return
+        for k in range(0, len(words), BESIDE):
+            self._learn(words[k : k + BESIDE])
+
+    def _learn(self, words: list[str]) -> None:
+        words = sorted(words, key=len, reverse=True)
+        text = np.frombuffer("".join([SPACE + w for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.array([len(w) + 1 for w in words])
+        starts = np.cumsum(sizes) - sizes
+        # pieces that end at each character: what it and those before it hash to, as long as pieces can end so
+        room = np.arange(len(text)) - np.repeat(starts, sizes) + 1
+        ending, alive, h = [], np.arange(len(text)), np.zeros(len(text), np.uint64)
+        for size in range(1, self.longest + 1):
+            alive = alive[room[alive] >= size]
+            h[alive] += text[alive - size + 1] * self.powers[size - 1]
+            found = self.suffixes.get(h[alive])
+            alive = alive[found > MISSING]
+            if not len(alive):
+                break
+            ids = np.full(len(text), -1, np.int32)
+            ids[alive] = found[found > MISSING]
+            ending.append(ids)
+        piece = np.full(len(text), -1, np.int32)
+        total = len(self.scores)
+        for j in range(int(sizes[0])):
+            at = starts[: np.searchsorted(-sizes, -j, "left")] + j  # words of more than j characters
+            for size in range(min(j + 1, len(ending)), 0, -1):
+                ids = ending[size - 1][at]
+                fits = ids >= 0
+                here, ids = at[fits], ids[fits]
+                if size <= j and len(here):
+                    before = piece[here - size]
+                    # behind a character of no piece, the right piece has only itself to hold together
+                    stays = self.staying((before.astype(np.int64) + 1) * total + ids)
+                    here, ids = here[stays], ids[stays]
+                piece[here] = ids
+                at = at[piece[at] < 0]
+        size = np.where(piece >= 0, self.sizes[piece], 1)
+        # back from each word's end
+        rounds, word, at = [], np.arange(len(words)), starts + sizes - 1
+        odd = set()
+        while len(word):
+            ids = piece[at]
+            odd.update(word[ids < 0].tolist())
+            rounds.append((word, ids, text[at]))
+            at = at - size[at]
+            going = at >= starts[word]
+            word, at = word[going], at[going]
+        order = np.argsort(np.concatenate([w for w, _, _ in rounds][::-1]), kind="stable")
+        found = np.concatenate([i for _, i, _ in rounds][::-1])[order].astype(np.int32)
+        letter = np.concatenate([c for _, _, c in rounds][::-1])[order]
+        counts = np.zeros(len(words) + 1, np.int64)
+        for w, _, _ in rounds:
+            counts[1:][w] += 1
+        cuts, raw = np.cumsum(counts).tolist(), found.tobytes()
+        for n, w in enumerate(words):
+            a, b = cuts[n], cuts[n + 1]
+            if n in odd:  # a character that no piece has
+                ids = [x for i, c in zip(found[a:b].tolist(), letter[a:b].tolist(), strict=True) for x in ([i] if i >= 0 else self.id_or_bytes(chr(c)))]
+                self.words[w] = np.array(ids, np.int32).tobytes()
+            else:
+                self.words[w] = raw[4 * a : 4 * b]
+        if len(self.apart) > 1.1 * len(self.pairs_seen):
+            self.pairs_seen = dict(self.apart)
+            self.pair_table = Table(self.pairs_seen)
+
+    def staying(self, pairs: np.ndarray) -> np.ndarray:
+        """Which pairs of ids, (left + 1) * number of pieces + right, stay apart."""
+        known = self.pair_table.get(pairs.astype(np.uint64))
+        unknown = np.flatnonzero(known == MISSING)
+        if len(unknown):
+            new, where = np.unique(pairs[unknown], return_inverse=True)
+            found = [self.apart.get(p) for p in new.tolist()]
+            for k, stays in enumerate(found):
+                if stays is None:
+                    left, right = divmod(int(new[k]), len(self.scores))
+                    parts = [self.strings[left - 1]] * (left > 0) + [self.strings[right]]
+                    found[k] = self.apart[int(new[k])] = int(self.merged("".join(parts)) == parts)
+            known[unknown] = np.array(found, np.int32)[where]
+        return known == 1
 
     def _meeting(self, back: dict, i: int, committed: int) -> int:
         """The last boundary that the paths of all boundaries in the window share."""
@@ -171,26 +287,41 @@ class Pieces:
         if not text:
             return np.zeros(0, np.int32)
         marked = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
+        return self.encode_marked(marked)
+
+    def encode_marked(self, marked: str) -> np.ndarray:
         chunks = re.findall(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+", marked) if self.cut_at_words else [marked]
         return np.array([n for chunk in chunks for run in self.search(chunk) for n in run], np.int32)
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts. Words between single spaces are looked up; those not met before are searched together."""
-        split = [t.split(" ") if self.cut_at_words and self.dummy_prefix and t and not UNSPLIT.search(t) else None for t in texts]
-        words = self.words
-        unknown = {w for ws in split if ws for w in ws} - words.keys()
-        if len(words) + len(unknown) > KEPT_WORDS:  # start over with the words of these texts
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a column one after another, and the offsets of its rows in them.
+
+        Words between single spaces are looked up; those not met before are searched together."""
+        plain = np.zeros(len(texts), bool)
+        if self.cut_at_words and self.dummy_prefix:
+            plain = ~np.asarray(pc.match_substring_regex(texts, UNSPLIT)) & (np.asarray(pc.binary_length(texts)) > 0)
+        split = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        found = split.flatten().dictionary_encode()
+        names, words = found.dictionary.to_pylist(), self.words
+        blobs = list(map(words.get, names))
+        unknown = [k for k, b in enumerate(blobs) if b is None]
+        short = [names[k] for k in unknown if len(names[k]) <= KEPT_LENGTH]
+        if len(words) + len(short) > KEPT_WORDS:  # start over with the new words of these texts
             words.clear()
-            unknown = {w for ws in split if ws for w in ws}
-        long = {w for w in unknown if len(w) > KEPT_LENGTH}
-        self.learn(unknown - long)
-        out = []
-        for text, ws in zip(texts, split, strict=True):
-            if ws is None or long and not long.isdisjoint(ws):
-                out.append(self.encode(text))
-            else:
-                out.append(np.frombuffer(b"".join(map(words.__getitem__, ws)), np.int32))
-        return out
+        self.learn(short)
+        for k in unknown:
+            blobs[k] = words[names[k]] if len(names[k]) <= KEPT_LENGTH else self.encode_marked(SPACE + names[k]).tobytes()
+        size = np.array([len(b) >> 2 for b in blobs], np.int64)
+        flat, starts = np.frombuffer(b"".join(blobs), np.int32), np.cumsum(size) - size
+        at = np.asarray(found.indices)
+        ends = np.concatenate([[0], np.cumsum(size[at])])  # of the ids of each word of the texts
+        ids = flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], size[at])] if len(at) else np.zeros(0, np.int32)
+        cuts = ends[np.concatenate([[0], np.cumsum(np.asarray(split.value_lengths()))]).astype(np.int64)]
+        if plain.all():
+            return ids, cuts
+        rows = iter(np.split(ids, cuts[1:-1])) if plain.any() else iter(())
+        rows = [next(rows) if p else self.encode(t) for p, t in zip(plain.tolist(), texts.to_pylist(), strict=True)]
+        return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of some ids: bytes of the pieces, without the prefix that encoding added."""
@@ -214,10 +345,8 @@ def model(path: str) -> Pieces:
     return Pieces([(p.piece, p.score, p.type) for p in proto.pieces], proto.trainer_spec.model_type, proto.normalizer_spec.add_dummy_prefix)
 
 
-def listed(found: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(found) + 1, np.int32)
-    np.cumsum([len(x) for x in found], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+def listed(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
 
 
 def encoded(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,8 +358,7 @@ def encoded(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str
             # a batch of long texts goes out in parts
             for start in range(0, len(batch), PART):
                 part = batch.slice(start, PART)
-                found = pieces.encode_all(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), listed(found)], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), listed(*pieces.encode_column(part.column("text")))], names=["doc_id", "ids"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).mapInArrow(encode, f"doc_id {kind}, ids array<int>")
@@ -262,12 +390,12 @@ def round_trip(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: s
             for start in range(0, len(batch), PART):
                 part = batch.slice(start, PART)
                 texts = part.column("text").to_pylist()
-                found = pieces.encode_all(texts)
-                back = [pieces.decode(ids) for ids in found]
+                ids, offsets = pieces.encode_column(part.column("text"))
+                back = [pieces.decode(ids[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
                 digests = [hashlib.sha256(t.encode()).hexdigest() for t in back]
                 same = [a == b.replace(SPACE, " ") for a, b in zip(back, texts, strict=True)]
-                columns = [pa.array(list(map(len, found)), pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), listed(found), *columns], names=["doc_id", "ids", "n_ids", "text_sha256", "same"])
+                columns = [pa.array(np.diff(offsets), pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), listed(ids, offsets), *columns], names=["doc_id", "ids", "n_ids", "text_sha256", "same"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     whole = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))

@@ -21,6 +21,20 @@ OBSERVATION = T.StructType(
     ]
 )
 
+# Sums of a source and year that can be added up later
+PARTIALS = T.StructType(
+    [T.StructField("source", T.StringType()), T.StructField("year", T.IntegerType())]
+    + _strings("geo_type", "geo", "series", "metric")
+    + [
+        T.StructField("total", T.DoubleType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("suppressed", T.LongType()),
+        T.StructField("lowest", T.DoubleType()),
+        T.StructField("highest", T.DoubleType()),
+        T.StructField("as_of", T.DateType()),
+    ]
+)
+
 POPULATION = T.StructType(
     [
         T.StructField("geo", T.StringType()),

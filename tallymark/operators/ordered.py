@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tallymark.operators.groups import join_groups
@@ -89,18 +90,52 @@ def month_header_years(
     return out.withColumn("year", (F.lit(base_year) - F.col("_back")).cast("int")).drop("_back")
 
 
+def smallest_period(labels: Sequence) -> int:
+    """The smallest number of places by which a sequence can be shifted onto itself; its length if there is none.
+
+    ``border[i]`` is the length of the longest proper prefix of the first ``i`` labels that ends them too."""
+    border, k = [0] * (len(labels) + 1), 0
+    for i in range(1, len(labels)):
+        while k and labels[i] != labels[k]:
+            k = border[k]
+        k += labels[i] == labels[k]
+        border[i + 1] = k
+    return len(labels) - border[-1]
+
+
+def steps_back(labels: Sequence) -> list[int]:
+    """Years back from the newest one for the labels of a header row, newest first.
+
+    Labels that repeat as a cycle, of which the oldest may be cut off, step back once a cycle. A row that is no such
+    cycle steps back where its first label comes up again."""
+    period = smallest_period(labels)
+    if period < len(labels):
+        return [i // period for i in range(len(labels))]
+    steps, seen = [], -1
+    for label in labels:
+        seen += label == labels[0]
+        steps.append(seen)
+    return steps
+
+
 def cycle_header_years(
     df: DataFrame, keys: Sequence[str], base_year: int, col_no: str = "col_no", header: str = "header"
 ) -> DataFrame:
-    """Year of every column under a sub-header that repeats once a year.
+    """Year of every column under a sub-header that repeats once a year, the newest year on the right.
 
-    The right-most label closes the newest year; each time it comes up again, one year is stepped back.
-    """
-    newest = df.groupBy(*keys).agg(F.max_by(header, col_no).alias("_cycle"))
-    marked = join_groups(df, newest, keys)
-    back = F.when(F.col(header) == F.col("_cycle"), 1).otherwise(0)
-    out = running_total(marked, keys, col_no, {"_back": back}, descending=True)
-    return out.withColumn("year", (F.lit(base_year) - (F.col("_back") - 1)).cast("int")).drop("_back", "_cycle")
+    The cycle is the smallest period of the labels from the right, so a label may occur several times in a year. A header
+    row is one group here, as it is one part of one page."""
+    rest = [c for c in df.columns if c not in keys]
+
+    @F.pandas_udf("array<int>")
+    def steps(labels: pd.Series) -> pd.Series:
+        return labels.map(lambda row: steps_back(list(row)))
+
+    cells = F.array_sort(F.collect_list(F.struct(F.negate(col_no).alias("_from_right"), F.struct(*rest).alias("_cell"))))
+    rows = df.groupBy(*keys).agg(cells.alias("_cells"))
+    rows = rows.withColumn("_back", steps(F.transform("_cells", lambda c: c["_cell"][header])))
+    rows = rows.select(*keys, F.explode(F.arrays_zip("_cells", "_back")).alias("_row"))
+    return rows.select(*keys, "_row._cells._cell.*", (F.lit(base_year) - F.col("_row._back")).cast("int").alias("year")).select(*df.columns, "year")
 
 
 def marker_header_years(

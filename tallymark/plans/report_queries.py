@@ -247,6 +247,47 @@ def dashboard_month_grid(spark: SparkSession, d: str) -> DataFrame:
     return feeds.dashboard_tables(pages, base_year, "monthly").drop("grid_no", "row_no")
 
 
+# Three columns a year, the first two under the same label.
+YEAR_LABELS = ("Orders", "Orders", "Percent")
+
+
+@query(f"""with {standins.MONTHLY_SQL},
+k as (select distinct series, geo from monthly), a as (select distinct year from monthly),
+c as (select series, geo, year, sum(n)::bigint as n, coalesce(sum(n) filter (month <= 6), 0)::bigint as half from monthly group by all),
+cells as (
+  select k.series, k.geo, a.year, unnest(['Orders', 'Orders', 'Percent']) as header,
+         unnest([coalesce(n::varchar, '*'), coalesce(half::varchar, '*'), coalesce((100 * half // n) || '%', '*')]) as raw_value,
+         unnest([n, half, 100 * half // n])::double as value
+  from k cross join a left join c on c.series = k.series and c.geo = k.geo and c.year = a.year)
+select upper(left(series, 1)) || lower(substr(series, 2)) || ': Orders by Year' as title, geo as label, header, "year"::integer as "year",
+       raw_value, value, raw_value = '*' as is_suppressed
+from cells""")
+def dashboard_year_grid(spark: SparkSession, d: str) -> DataFrame:
+    """A dashboard whose second header row repeats from year to year, with one label twice in a year."""
+    monthly = standins.monthly_orders(spark, d)
+    half = F.coalesce(F.sum(F.when(F.col("month") <= 6, F.col("n"))), F.lit(0)).alias("half")
+    counts = settled(monthly.groupBy("series", "geo", "year").agg(F.sum("n").alias("n"), half))
+    axis, last = R.shared_axis(counts, "year"), counts.agg(F.max("year")).scalar()
+    filled = R.fill_periods(counts, ["series", "geo"], "year", ["n", "half"], axis)
+    shown = F.when(F.col("n") == 0, F.array(*[F.lit("*")] * 3)).otherwise(
+        F.array(F.col("n").cast("string"), F.col("half").cast("string"), F.concat(F.expr("100 * half div n"), F.lit("%")))
+    )
+    cells = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("year", shown.alias("cells")))), lambda y: y["cells"]))
+    cell = lambda role, text: F.concat(F.lit(f'<div role="{role}">'), text, F.lit("</div>"))
+    rows = filled.groupBy("series", "geo").agg(F.concat(
+        F.lit('<div role="row">'), cell("rowheader", F.col("geo")), F.array_join(F.transform(cells, lambda c: cell("gridcell", c)), ""), F.lit("</div>"),
+    ).alias("row"), F.size(cells).alias("columns"))
+    labels = F.flatten(F.array_repeat(F.array(*[cell("columnheader", F.lit(c)) for c in YEAR_LABELS]), F.expr("int(first(columns) div 3)")))
+    page = F.concat(
+        F.lit('<main><div role="grid"><div role="row"><div role="columnheader">Year</div></div><div role="row">'),
+        cell("columnheader", F.lit("")), F.array_join(labels, ""), F.lit("</div>"), F.array_join(F.sort_array(F.collect_list("row")), ""), F.lit("</div></main>"),
+    )
+    pages = rows.groupBy("series").agg(page.alias("html")).select(
+        F.ascii("series").cast("long").alias("page_id"), F.initcap("series").alias("selection"), F.lit("Orders by Year").alias("title"), "html"
+    )
+    return feeds.dashboard_tables(pages, last, "yearly").drop("grid_no", "row_no")
+
+
 # Marts from printed tables ---------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 """Operators against brute force on small frames."""
 
 import itertools
+import random
 from collections import Counter
 
 import pytest
@@ -324,3 +325,28 @@ def test_newer_sources_skips_a_scrape_of_the_same_data(spark, rows):
 def test_token_counts_with_many_repeats(spark, rows):
     df = spark.createDataFrame([(1, ["a", "b", "a", ""] * 3), (1, ["a"]), (1, None)], "k int, t array<string>")
     assert rows(M.token_counts(df, ["k"], "t"), "token", "occurrences", "samples") == [("a", 7, 2), ("b", 3, 1)]
+
+
+def test_smallest_period_is_that_of_all_shifts():
+    rng = random.Random(3)
+    for _ in range(500):
+        labels = [rng.choice("ab") for _ in range(rng.randint(0, 9))]
+        shifts = [p for p in range(1, len(labels) + 1) if labels[p:] == labels[: len(labels) - p]]
+        assert O.smallest_period(labels) == (shifts[0] if shifts else 0)
+
+
+def test_cycles_with_repeated_labels(spark, rows):
+    """A label twice in a year, a cut-off oldest year, one label only, no cycle, NULL labels, several tables."""
+    tables = {
+        "twice": ("Percent N N Percent N N", [-1, -1, -1, 0, 0, 0]),
+        "cut": ("N Percent N N Percent", [-1, -1, 0, 0, 0]),
+        "one": ("N N N", [-2, -1, 0]),
+        "none": ("a b c", [0, 0, 0]),
+        "uneven": ("c a b a", [-1, -1, 0, 0]),
+    }
+    cells = [(t, n + 5 * (n > 1), h) for t, (labels, _) in tables.items() for n, h in enumerate(labels.split())] + [("null", 1, None), ("null", 2, None)]
+    df = spark.createDataFrame(cells, "page string, col_no int, header string").withColumn("other", F.lit("x")).repartition(3)
+    expected = [(t, n + 5 * (n > 1), 2024 + y) for t, (_, years) in tables.items() for n, y in enumerate(years)] + [("null", 1, 2023), ("null", 2, 2024)]
+    found = O.cycle_header_years(df, ["page"], 2024)
+    assert found.columns == ["page", "col_no", "header", "other", "year"]
+    assert rows(found, "page", "col_no", "year") == sorted(expected, key=repr)

@@ -12,7 +12,7 @@ from tallymark.operators import measures as M, reshape as R
 from tallymark.plans import feeds, harm_marts, standins
 from tallymark.plans.registry import query, table
 from tallymark.plans.settle import settled
-from tallymark.sources import reports
+from tallymark.sources import report_scan, reports
 
 TITLE = {rule: title for title, _, rule in reversed(reports.REPORT_TABLES)}
 
@@ -57,6 +57,10 @@ def _paragraphs(lines: DataFrame, keys: list[str], order: list[str], line: Colum
     return lines.groupBy(*keys).agg(F.concat(head, body).alias("line"))
 
 
+def _line_rows(texts: DataFrame) -> DataFrame:
+    return reports.report_lines(texts).withColumnRenamed("brand", "report")
+
+
 def _report(df: DataFrame, rule: str, axis: Column | None) -> DataFrame:
     years = F.lit("") if axis is None else F.concat(F.array_join(axis, " "), F.lit("\n"))
     text = F.concat(F.lit("Report\n\n" + TITLE[rule] + "\n"), years, F.col("line"), F.lit("\n\nEnd of report"))
@@ -93,13 +97,15 @@ def report_confirmed_counts(spark: SparkSession, d: str) -> DataFrame:
     return reports.read_tables(texts, "confirmed_suspected").select("brand", "manner", "year", "raw_value")
 
 
-@query(f"""with {BRAND_SQL},
+DRUG_SQL = f"""with {BRAND_SQL},
 g as (select distinct brand, year, l_returnflag from samples), t as (select distinct p_type from samples)
 select g.brand, g.year, {MANNER_SQL.format(c='g.l_returnflag')} as manner,
        upper(left(t.p_type, 1)) || lower(substr(t.p_type, 2)) as drug, {PRINTED_SQL} as raw_value
 from g cross join t left join samples s on s.brand = g.brand and s.year = g.year and s.l_returnflag = g.l_returnflag and s.p_type = t.p_type
-group by g.brand, g.year, g.l_returnflag, t.p_type""")
-def report_drug_counts(spark: SparkSession, d: str) -> DataFrame:
+group by g.brand, g.year, g.l_returnflag, t.p_type"""
+
+
+def _drug_reports(spark: SparkSession, d: str) -> DataFrame:
     """Drugs run across in joined capitals; a year is printed on the first of its manner lines only."""
     counts = _brand_counts(spark, d, F.col("p_type"), F.col("l_returnflag"))
     drugs = counts.agg(F.sort_array(F.collect_set(F.initcap("p_type")))).scalar()
@@ -112,18 +118,31 @@ def report_drug_counts(spark: SparkSession, d: str) -> DataFrame:
     year_text = F.concat(F.first("year").cast("string"), F.lit(" "))
     by_year = _paragraphs(lines, ["brand", "year"], ["l_returnflag"], F.concat(_manner(), F.lit(" "), "values"), year_text)
     head = F.concat(F.array_join(F.slice(drugs, 1, 2), ""), F.lit("\n"), F.array_join(F.slice(drugs, 3, F.size(drugs)), " "), F.lit("\n"))
-    texts = _report(_paragraphs(by_year, ["brand"], ["year"], F.col("line"), head), "manner_breakdown", None)
-    return reports.read_tables(texts, "manner_breakdown").select("brand", "year", "manner", "drug", "raw_value")
+    return _report(_paragraphs(by_year, ["brand"], ["year"], F.col("line"), head), "manner_breakdown", None)
 
 
-@query(f"""with {BRAND_SQL},
+@query(DRUG_SQL)
+def report_drug_counts(spark: SparkSession, d: str) -> DataFrame:
+    return reports.read_tables(_drug_reports(spark, d), "manner_breakdown").select("brand", "year", "manner", "drug", "raw_value")
+
+
+@query(DRUG_SQL)
+def report_drug_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same reports as rows of lines, dealt in blocks of a few lines."""
+    found = report_scan.manner_breakdown(_line_rows(_drug_reports(spark, d)), {TITLE["manner_breakdown"]: ""}, block_lines=16)
+    return found.withColumnRenamed("report", "brand").select("brand", "year", "manner", "drug", "raw_value")
+
+
+RACE_SQL = f"""with {BRAND_SQL},
 t as (select distinct brand, l_returnflag, l_linestatus, p_type from samples)
 select t.brand, {MANNER_SQL.format(c='t.l_returnflag')} as manner, case t.l_linestatus when 'F' then 'Female' else 'Male' end as sex,
        case t.p_type when 'PROMO' then 'PROMO&Other' else t.p_type end as race, a.year, {PRINTED_SQL} as raw_value
 from t cross join axis a left join samples s
   on s.brand = t.brand and s.l_returnflag = t.l_returnflag and s.l_linestatus = t.l_linestatus and s.p_type = t.p_type and s.year = a.year
-group by t.brand, t.l_returnflag, t.l_linestatus, t.p_type, a.year""")
-def report_race_counts(spark: SparkSession, d: str) -> DataFrame:
+group by t.brand, t.l_returnflag, t.l_linestatus, t.p_type, a.year"""
+
+
+def _race_reports(spark: SparkSession, d: str) -> DataFrame:
     """Race lines below manner and sex lines, one of them broken in two."""
     counts = _brand_counts(spark, d, F.col("l_returnflag"), F.col("l_linestatus"), F.col("p_type"))
     axis = R.shared_axis(counts, "year")
@@ -132,8 +151,19 @@ def report_race_counts(spark: SparkSession, d: str) -> DataFrame:
     sex = F.when(F.first("l_linestatus") == "F", "Female\n").otherwise("Male\n")
     by_sex = _paragraphs(lines, ["brand", "l_returnflag", "l_linestatus"], ["p_type"], F.concat(race, F.lit(" "), "values"), sex)
     by_manner = _paragraphs(by_sex, ["brand", "l_returnflag"], ["l_linestatus"], F.col("line"), F.concat(F.first(_manner()), F.lit(" ")))
-    texts = _report(_paragraphs(by_manner, ["brand"], ["l_returnflag"], F.col("line"), F.lit("")), "sex_race", axis)
-    return reports.read_tables(texts, "sex_race").select("brand", "manner", "sex", "race", "year", "raw_value")
+    return _report(_paragraphs(by_manner, ["brand"], ["l_returnflag"], F.col("line"), F.lit("")), "sex_race", axis)
+
+
+@query(RACE_SQL)
+def report_race_counts(spark: SparkSession, d: str) -> DataFrame:
+    return reports.read_tables(_race_reports(spark, d), "sex_race").select("brand", "manner", "sex", "race", "year", "raw_value")
+
+
+@query(RACE_SQL)
+def report_race_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same reports as rows of lines, dealt in blocks of a few lines."""
+    found = report_scan.sex_race(_line_rows(_race_reports(spark, d)), {TITLE["sex_race"]: ""}, block_lines=16)
+    return found.withColumnRenamed("report", "brand").select("brand", "manner", "sex", "race", "year", "raw_value")
 
 
 @query(f"""with {BRAND_SQL},

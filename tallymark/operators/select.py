@@ -46,6 +46,11 @@ def in_year(date: Column, year: int) -> Column:
     return (date >= F.lit(f"{year}-01-01").cast("date")) & (date < F.lit(f"{year + 1}-01-01").cast("date"))
 
 
+def since_year(date: Column, year: int) -> Column:
+    """Lower-bound year as a date, for the same reason."""
+    return date >= F.lit(f"{year}-01-01").cast("date")
+
+
 def has_code(label: Column, codes: Sequence[str] = DRUG_OFFENCE_CODES) -> Column:
     """True where the label carries one of the codes in square brackets."""
     return label.rlike(r"\[(" + "|".join(codes) + r")\]")

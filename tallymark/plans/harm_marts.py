@@ -171,9 +171,9 @@ def deaths_by_age_tables(counts: DataFrame, rates: DataFrame, label: str, geo: s
 
 
 def confirmed_totals(manner_rows: DataFrame) -> DataFrame:
-    """Confirmed deaths per year from the report's manner rows (``manner, year, raw_value``)."""
+    """Confirmed deaths per year from the report's manner rows (``manner, year, raw_value``, and ``geo`` if they have it)."""
     rows = S.without_labels(manner_rows, "manner", ["Total", "Suspected"])
-    return rows.groupBy("year").agg(F.sum(F.coalesce(N.dashes_as_zero(F.col("raw_value")), F.lit(0.0))).cast("bigint").alias("total"))
+    return rows.groupBy(*[c for c in ("geo", "year") if c in rows.columns]).agg(F.sum(F.coalesce(N.dashes_as_zero(F.col("raw_value")), F.lit(0.0))).cast("bigint").alias("total"))
 
 
 def deaths_by_place(place_rows: DataFrame, region_map: DataFrame) -> DataFrame:
@@ -184,16 +184,18 @@ def deaths_by_place(place_rows: DataFrame, region_map: DataFrame) -> DataFrame:
     return G.totals_by_authority(typed, region_map, "count", ["year"])
 
 
-def deaths_by_opioid_type(drug_rows: DataFrame, totals: DataFrame, population: DataFrame, geo: str) -> DataFrame:
+def deaths_by_opioid_type(drug_rows: DataFrame, totals: DataFrame, population: DataFrame, geo: str | None = None) -> DataFrame:
     """Deaths per drug and year: count, percent of the year's confirmed deaths, rate.
 
-    ``drug_rows``: ``year, drug, raw_value`` (manners are summed up); ``totals``: ``year, total``.
-    """
-    counts = drug_rows.groupBy("year", "drug").agg(
+    ``drug_rows``: ``year, drug, raw_value`` (manners are summed up); ``totals``: ``year, total``. Without a ``geo`` for
+    all rows both hold a column ``geo``, and each region has totals of its own."""
+    if geo is not None:
+        drug_rows, totals = drug_rows.withColumn("geo", F.lit(geo)), totals.withColumn("geo", F.lit(geo))
+    counts = drug_rows.groupBy("geo", "year", "drug").agg(
         F.sum(F.coalesce(N.dashes_as_zero(F.col("raw_value")), F.lit(0.0))).cast("bigint").alias("count")
     )
-    shared = counts.join(totals, "year", "left").select(
-        F.lit(geo).alias("geo"), "year", relabel(F.col("drug"), DRUG_LABELS).alias("series"), "count",
+    shared = counts.join(totals, ["geo", "year"], "left").select(
+        "geo", "year", relabel(F.col("drug"), DRUG_LABELS).alias("series"), "count",
         N.percent_or_zero(F.col("count"), F.col("total")).alias("percent"),
     )
     return _long(M.add_rate(shared, population, "count"), ["geo", "series", "year"])

@@ -108,7 +108,7 @@ def enabled_titles(spark: SparkSession, d: str) -> DataFrame:
 from orders where o_orderdate >= timestamp '1997-01-01' and o_orderstatus = 'F'
   and left(o_orderpriority, 1) in ('1', '4') group by all""")
 def code_list_filter(spark: SparkSession, d: str) -> DataFrame:
-    orders = S.slice_indicator(table(spark, d, "orders"), o_orderstatus="F")
+    orders = S.slice_indicator(table(spark, d, "orders").filter(S.since_year(F.col("o_orderdate"), 1997)), o_orderstatus="F")
     labelled = orders.select(
         standins.year("o_orderdate"), F.col("o_orderpriority").alias("series"),
         F.concat(F.lit("Priority ["), F.substring("o_orderpriority", 1, 1), F.lit("]")).alias("violation"),

@@ -217,7 +217,7 @@ def report_analogue_counts(spark: SparkSession, d: str) -> DataFrame:
     head = F.concat(F.array_join(F.sequence(first, last), " "), F.lit("\n"), letters, F.lit("\n"))
     texts = _report(_paragraphs(lines, ["brand"], ["p_type"], F.concat("p_type", F.lit(" "), "values"), head), "fentanyl_place", None)
     found = reports.report_tables(texts, {TITLE["fentanyl_place"]: "fentanyl_place"})
-    return reports.fentanyl_place(found, 1995).select("brand", "location", "year", "drug", "raw_value")
+    return reports.fentanyl_place(found, first).select("brand", "location", "year", "drug", "raw_value")
 
 
 @query(f"""with {BRAND_SQL},
@@ -230,8 +230,10 @@ def report_cause_counts(spark: SparkSession, d: str) -> DataFrame:
         *[F.sum(F.when(F.col("l_returnflag") == flag, F.col("n")).otherwise(0)).alias(flag) for flag in "AN"], F.sum("n").alias("all")
     )
     line = F.concat_ws(" ", "year", "A", "N", "all")
-    texts = _report(_paragraphs(counts, ["brand"], ["year"], line, F.lit("1995 – 2001\n\nYear Sole Combined Total\n")), "sole_or_combined", None)
-    return reports.read_tables(texts, "sole_or_combined", leftovers="1995 –").select("brand", "year", "series", "raw_value")
+    span = counts.agg(F.concat_ws(" – ", F.min("year"), F.max("year"))).scalar()
+    head = F.concat(span, F.lit("\n\nYear Sole Combined Total\n"))
+    texts = _report(_paragraphs(counts, ["brand"], ["year"], line, head), "sole_or_combined", None)
+    return reports.read_tables(texts, "sole_or_combined", leftovers=r"\d{4} –").select("brand", "year", "series", "raw_value")
 
 
 # Dashboards ---------------------------------------------------------------------------
@@ -354,17 +356,20 @@ def mart_deaths_by_place(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {BRAND_SQL},
-c as (select year, p_type, count(*)::bigint as n from samples where brand = 'Brand#3' group by all),
-t as (select year, sum(n)::bigint as total from c group by year),
+c as (select brand, year, p_type, count(*)::bigint as n from samples group by all),
+t as (select brand, year, sum(n)::bigint as total from c group by all),
 q as (select year(o_orderdate)::integer as year, count(distinct o_custkey)::bigint as population from orders group by all),
-m as (select p_type as series, year, n::double as n, total, population from c join t using (year) left join q using (year))
-select 'ALL' as geo, series, year, 'counts' as metric, n as value from m
-union all select 'ALL', series, year, 'percentages', round_even(n / total * 100.0, 2) from m
-union all select 'ALL', series, year, 'rates', round_even(n / population * 100000.0, 2) from m""")
+m as (select c.brand, p_type as series, c.year, n::double as n, total, population
+      from c join t on t.brand = c.brand and t.year = c.year left join q on q.year = c.year)
+select brand as geo, series, year, 'counts' as metric, n as value from m
+union all select brand, series, year, 'percentages', round_even(n / total * 100.0, 2) from m
+union all select brand, series, year, 'rates', round_even(n / population * 100000.0, 2) from m""")
 def mart_opioid_types(spark: SparkSession, d: str) -> DataFrame:
-    """Drug lines of one report: count, percent of the confirmed total and rate."""
-    counts = _brand_counts(spark, d, F.col("p_type"), F.col("l_returnflag")).filter(F.col("brand") == "Brand#3")
-    rows = counts.select("year", _manner().alias("manner"), F.col("p_type").alias("drug"), F.col("n").cast("string").alias("raw_value"))
+    """Drug lines of the reports, one per brand: count, percent of the confirmed total and rate."""
+    counts = _brand_counts(spark, d, F.col("p_type"), F.col("l_returnflag"))
+    rows = counts.select(
+        F.col("brand").alias("geo"), "year", _manner().alias("manner"), F.col("p_type").alias("drug"), F.col("n").cast("string").alias("raw_value")
+    )
     people = M.tally(table(spark, d, "orders").select("o_custkey", standins.year("o_orderdate")).distinct(), ["year"], name="population")
-    totals = harm_marts.confirmed_totals(rows)
-    return harm_marts.deaths_by_opioid_type(rows, totals, people.withColumn("geo", F.lit("ALL")), "ALL")
+    people = rows.select("geo", "year").distinct().join(people, "year")
+    return harm_marts.deaths_by_opioid_type(rows, harm_marts.confirmed_totals(rows), people)

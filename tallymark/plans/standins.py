@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallymark.operators.measures import tally
+from tallymark.operators.select import in_year
 from tallymark.plans.registry import table
 
 SMALL = 5  # counts below this are printed as suppressed
@@ -26,11 +27,13 @@ def sample_counts(spark: SparkSession, d: str, *extra: str) -> DataFrame:
     return tally(joined, ["year", "category", *extra], "n")
 
 
-def regional_sample_counts(spark: SparkSession, d: str, *extra: str) -> DataFrame:
-    """Samples per region, year and category (plus other part columns)."""
+def regional_sample_counts(spark: SparkSession, d: str, *extra: str, only: int | None = None) -> DataFrame:
+    """Samples per region, year and category (plus other part columns); of one year by a range that reaches the scan."""
     keys = ["year", "category", *extra]
     parts = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("category"), *extra)
-    facts = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", year("l_shipdate"))
+    lines = table(spark, d, "lineitem")
+    lines = lines if only is None else lines.filter(in_year(F.col("l_shipdate"), only))
+    facts = lines.select("l_partkey", "l_suppkey", year("l_shipdate"))
     typed = facts.join(parts, facts.l_partkey == parts.p_partkey)
     if extra:
         # names are too many for counts per supplier to be fewer than the rows themselves

@@ -148,7 +148,7 @@ def empty_charts(spark: SparkSession, d: str) -> DataFrame:
 select geo, year, category, count(*)::bigint as n from samples
 where geo = 'NATION_3' and year = 1997 and category = 'PROMO' group by all""")
 def drill_geo_year_category(spark: SparkSession, d: str) -> DataFrame:
-    return S.drill(standins.regional_sample_counts(spark, d), "NATION_3", 1997, "PROMO")
+    return S.drill(standins.regional_sample_counts(spark, d, only=1997), "NATION_3", 1997, "PROMO")
 
 
 @query(f"""with c as (

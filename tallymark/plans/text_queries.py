@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymark.functions import text as X
 from tallymark.operators import ordered as O, select as S
+from tallymark.operators.terms import term_counts, titled
 from tallymark.plans import standins
 from tallymark.plans.registry import query, table
 from tallymark.sources import grids, reports
@@ -183,3 +184,37 @@ def trimmed_rows(spark: SparkSession, d: str) -> DataFrame:
     """Title and footer rows cut off every table (a conversation is a table of turns)."""
     turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
     return S.trim_rows(turns, ["conv_id"], "turn", 1, 1)
+
+
+TERMS_SQL = """terms as (
+  select distinct word as term from (select unnest(string_split_regex(lower(text), '[^a-z]+')) as word from benchmark) where length(word) >= 5)"""
+
+
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    """Words of five letters and more of the benchmark, as a table of terms."""
+    words = F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")
+    return table(spark, d, "benchmark").select(words).filter(F.length("term") >= 5)
+
+
+@query(f"""with {TERMS_SQL},
+docs as (select coalesce(lang, 'und') as lang, lower(coalesce(text, '')) as text from documents),
+totals as (select lang, count(*)::bigint as total from docs group by lang),
+c as (select lang, term, count(*)::bigint as n from docs join terms on contains(text, term) group by all)
+select lang, term, n, total, round_even(n::double / total * 100.0, 2) as percent from c join totals using (lang)""")
+def term_counts_from_table(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per language that mention each term of a table."""
+    docs = table(spark, d, "documents").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return term_counts(docs, ["lang"], _terms(spark, d), "text")
+
+
+NAMES_SQL = """terms as (
+  select distinct split_part(p_name, ' ', 2) as term from part where p_retailprice >= (select max(p_retailprice) from part) - 1)"""
+
+
+@query(f"with {NAMES_SQL} select p_partkey, p_name from part where exists (select 1 from terms where contains(p_name, term))")
+def titles_by_term_table(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose title contains a term of a table (here: last words of the names with a top price)."""
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice")
+    top = parts.agg(F.max("p_retailprice")).scalar()
+    terms = parts.filter(F.col("p_retailprice") >= top - 1).select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("term"))
+    return titled(parts, terms, "p_name").select("p_partkey", "p_name")

@@ -271,7 +271,7 @@ def benzodiazepines(tables: DataFrame) -> DataFrame:
     return sex_race(tables).withColumn("title", F.lit(full))
 
 
-def fentanyl_place(tables: DataFrame, first_year: int = 2016) -> DataFrame:
+def fentanyl_place(tables: DataFrame, first_year: Column | int = 2016) -> DataFrame:
     """Analogue counts per place. The columns are analogue letters; every ``F`` opens the next year."""
     keys = _keys(tables)
     lines = _lines(F.col("body"))
@@ -283,7 +283,7 @@ def fentanyl_place(tables: DataFrame, first_year: int = 2016) -> DataFrame:
     # the year of column i is the number of F's up to and including it
     opened = F.size(F.filter(F.slice("_drugs", F.lit(1), F.col("_i") + 1), lambda o: o == "F"))
     return values.select(
-        *keys, "row_no", "location", (F.lit(first_year - 1) + opened).alias("year"),
+        *keys, "row_no", "location", (F.lit(first_year) - 1 + opened).alias("year"),
         F.get("_drugs", F.col("_i")).alias("drug"), "raw_value",
     ).filter("drug is not null")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -116,10 +115,9 @@ def match_saved_visuals(
 ) -> DataFrame:
     """Points for which every ``(filter_type, filter_value)`` row of a visual holds.
 
-    A visual is turned into one key: which dimensions it filters, and the wanted values. A point
-    offers its key for each combination of dimensions, and the two meet in one equi-join, so only
-    true matches are ever produced. The fan-out is fixed by the number of dimensions, not by data.
-    """
+    Visuals are entered in an index under one filter each, the one that the fewest points meet. A point looks up its own
+    values, one per dimension, and what it finds there is tested on the other filters. So no point is paired with a
+    visual unless it meets that visual's rarest filter, and the fan-out is the number of dimensions in use."""
     ordered = sorted(dims)
     distinct = filters.select("visual_id", "filter_type", "filter_value").distinct()
     wanted = {d: F.max(F.when(F.col("filter_type") == d, F.col("filter_value"))) for d in ordered}
@@ -128,22 +126,23 @@ def match_saved_visuals(
         distinct.groupBy("visual_id").agg(F.count("*").alias("_n"), *[c.alias(f"_{d}") for d, c in wanted.items()])
         # more filters than dimensions in use: two values asked of one dimension, or an unknown one
         .filter(F.col("_n") == used)
-        .select("visual_id", _filter_key([(d, F.col(f"_{d}")) for d in ordered]).alias("_key"))
     )
-    combos = [c for n in range(1, len(ordered) + 1) for c in combinations(ordered, n)]
-    # a missing dimension satisfies no filter, so combinations with one offer nothing
+    # a missing dimension meets no filter, so it offers nothing
     offers = F.array_compact(F.array(*[
-        F.when(reduce(and_, [F.col(d).isNotNull() for d in combo]), _filter_key([(d, F.col(d)) for d in combo]))
-        for combo in combos
+        F.when(F.col(d).isNotNull(), F.struct(F.lit(d).alias("_dim"), F.col(d).cast("string").alias("_value"))) for d in ordered
     ]))
+    asked = distinct.select(F.col("filter_type").alias("_dim"), F.col("filter_value").alias("_value")).distinct()
+    # combined per task: as many rows as a dimension has values
+    met = points.select(F.inline(offers)).groupBy("_dim", "_value").agg(F.count("*").alias("_points")).join(asked, ["_dim", "_value"])
+    filled = visuals.select("*", F.inline(F.array(*[F.struct(F.lit(d).alias("_dim"), F.col(f"_{d}").alias("_value")) for d in ordered]))).filter("_value is not null")
+    # a filter that no point meets rules its visual out
+    ranked = filled.join(met, ["_dim", "_value"], "left").withColumn("_rank", F.struct(F.coalesce("_points", F.lit(0)).alias("points"), "_dim", "_value"))
+    index = ranked.groupBy("visual_id", *[f"_{d}" for d in ordered]).agg(F.min("_rank").alias("_rank")).filter("_rank.points > 0")
+    index = index.select("visual_id", *[f"_{d}" for d in ordered], "_rank._dim", "_rank._value")
+    holds = reduce(and_, [F.col(f"_{d}").isNull() | F.coalesce(F.col(d).cast("string") == F.col(f"_{d}"), F.lit(False)) for d in ordered], F.lit(True))
+    values = [F.col(d) for d in ordered if d != point_id]
     return (
-        points.select(point_id, F.explode_outer(offers).alias("_key"))
-        .join(visuals, "_key")
+        points.select(point_id, *values, F.inline(offers))
+        .join(index, ["_dim", "_value"]).filter(holds)
         .select("visual_id", point_id)
     )
-
-
-def _filter_key(pairs: Sequence[tuple[str, Column]]) -> Column:
-    """Filters in a fixed order as one text; absent ones are left out."""
-    entries = [F.when(c.isNotNull(), F.struct(F.lit(d).alias("k"), c.cast("string").alias("v"))) for d, c in pairs]
-    return F.to_json(F.array_compact(F.array(*entries)))

@@ -106,10 +106,10 @@ def smallest_period(labels: Sequence) -> int:
 def steps_back(labels: Sequence) -> list[int]:
     """Years back from the newest one for the labels of a header row, newest first.
 
-    Labels that repeat as a cycle, of which the oldest may be cut off, step back once a cycle. A row that is no such
-    cycle steps back where its first label comes up again."""
+    Labels that repeat as a cycle, twice in full at least, step back once a cycle; the oldest may be cut off. In any
+    other row each return of the first label steps back."""
     period = smallest_period(labels)
-    if period < len(labels):
+    if 2 * period <= len(labels):
         return [i // period for i in range(len(labels))]
     steps, seen = [], -1
     for label in labels:
@@ -123,8 +123,8 @@ def cycle_header_years(
 ) -> DataFrame:
     """Year of every column under a sub-header that repeats once a year, the newest year on the right.
 
-    The cycle is the smallest period of the labels from the right, so a label may occur several times in a year. A header
-    row is one group here, as it is one part of one page."""
+    The cycle is the smallest period of the labels from the right, so a label may occur several times in a year. Where
+    none is seen twice, the right-most label closes a year. A header row is one group here, as it is one part of one page."""
     rest = [c for c in df.columns if c not in keys]
 
     @F.pandas_udf("array<int>")

@@ -340,7 +340,9 @@ def test_cycles_with_repeated_labels(spark, rows):
     tables = {
         "twice": ("Percent N N Percent N N", [-1, -1, -1, 0, 0, 0]),
         "cut": ("N Percent N N Percent", [-1, -1, 0, 0, 0]),
+        "long": ("Percent N N Percent N N Percent N".replace("Percent", "P"), [-2, -2, -1, -1, -1, 0, 0, 0]),
         "one": ("N N N", [-2, -1, 0]),
+        "chance": ("a c b a d a", [-2, -1, -1, -1, 0, 0]),
         "none": ("a b c", [0, 0, 0]),
         "uneven": ("c a b a", [-1, -1, 0, 0]),
     }

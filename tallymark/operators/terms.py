@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallymark.functions import numbers as N
 from tallymark.operators.groups import join_groups
 
-GRAM = 3
+GRAM = 5
 
 
 def grams(text: Column, length: int) -> Column:
@@ -27,8 +27,11 @@ def contained_terms(texts: DataFrame, terms: DataFrame, text: str = "text", term
     Terms shorter than a gram are looked up whole; an empty term is in every text. NULL texts and terms have no pairs."""
     distinct = texts.select(F.col(text).alias("text")).filter("text is not null").distinct().withColumn("key", F.md5("text"))
     wanted = terms.select(F.col(term).alias("term")).filter("term is not null").distinct()
+    # texts offer grams of the lengths that terms ask for: at most gram + 1 different ones
+    lengths = sorted(r["n"] for r in wanted.select(F.least(F.length("term"), F.lit(gram)).alias("n")).distinct().collect())
+    offered = [grams(F.col("text"), n) if n else F.array(F.lit("")) for n in lengths] or [F.array().cast("array<string>")]
     # texts go by a digest in the index; it only chooses what is tested
-    index = distinct.select("key", F.explode(F.concat(F.array(F.lit("")), *[grams(F.col("text"), n) for n in range(1, gram + 1)])).alias("gram"))
+    index = distinct.select("key", F.explode(F.concat(*offered)).alias("gram"))
     # grams of terms with the number of texts that have them; a gram of no text rules its term out
     own = F.when(F.length("term") <= gram, F.array("term")).otherwise(grams(F.col("term"), gram))
     asked = wanted.select("term", F.explode(own).alias("gram"))

@@ -54,7 +54,7 @@ def checked(df: DataFrame) -> DataFrame:
 # Producers -------------------------------------------------------------------------
 
 
-def indicator_observations(ind: DataFrame, as_of: Column, data_until: Column | None = None, source: str = "nationalHealthInfobase") -> DataFrame:
+def indicator_observations(ind: DataFrame, as_of: Column, data_until: Column | None = None, source: str = "nationalHarms") -> DataFrame:
     """Typed indicator rows (:func:`tallymark.plans.harm_marts.typed_indicators`)."""
     return observations(
         ind, source, geo_type=F.lit("region"), geo=F.col("geo"), year=F.col("year"), as_of=as_of, data_until=_or_null(data_until),
@@ -63,14 +63,14 @@ def indicator_observations(ind: DataFrame, as_of: Column, data_until: Column | N
     )
 
 
-def population_observations(people: DataFrame, as_of: Column, source: str = "nationalPopulationData") -> DataFrame:
+def population_observations(people: DataFrame, as_of: Column, source: str = "population") -> DataFrame:
     return observations(
         people, source, geo_type=F.lit("region"), geo=F.col("geo"), year=F.col("year"), period_type=F.lit("year"), as_of=as_of,
         series=F.lit("population"), metric=F.lit("people"), raw_value=F.col("population").cast("string"), value=F.col("population"),
     )
 
 
-def offence_observations(rows: DataFrame, as_of: Column, source: str = "publicCrime") -> DataFrame:
+def offence_observations(rows: DataFrame, as_of: Column, source: str = "drugOffences") -> DataFrame:
     """Police statistics (:func:`tallymark.plans.feeds.drug_offences`)."""
     return observations(
         rows, source, geo_type=F.lit("region"), geo=F.col("geo"), year=F.col("year"), period_type=F.lit("year"), as_of=as_of,
@@ -78,7 +78,7 @@ def offence_observations(rows: DataFrame, as_of: Column, source: str = "publicCr
     )
 
 
-def month_observations(rows: DataFrame, as_of: Column, name: str = "series", geo: Column | None = None, source: str = "onODPRN") -> DataFrame:
+def month_observations(rows: DataFrame, as_of: Column, name: str = "series", geo: Column | None = None, source: str = "monthlyWorkbook") -> DataFrame:
     """Monthly workbook rows (:func:`tallymark.plans.feeds.provincial_months`, ``unit_months`` with ``name="unit"``)."""
     unit = name == "unit"
     return observations(
@@ -88,7 +88,7 @@ def month_observations(rows: DataFrame, as_of: Column, name: str = "series", geo
     )
 
 
-def dashboard_observations(rows: DataFrame, as_of: Column, source: str = "bcCoronersReport") -> DataFrame:
+def dashboard_observations(rows: DataFrame, as_of: Column, source: str = "coronerDashboards") -> DataFrame:
     """Dashboard cells (:func:`tallymark.plans.feeds.dashboard_tables`): the title leads with the region."""
     return observations(
         rows, source, geo_type=F.lit("dashboard"), geo=F.trim(F.split_part("title", F.lit(":"), F.lit(1))), year=F.col("year"),
@@ -97,7 +97,7 @@ def dashboard_observations(rows: DataFrame, as_of: Column, source: str = "bcCoro
     )
 
 
-def fatality_observations(rows: DataFrame, value: str, as_of: Column, geo: str, source: str = "nsRatesFatalities") -> DataFrame:
+def fatality_observations(rows: DataFrame, value: str, as_of: Column, geo: str, source: str = "monthlyFatalities") -> DataFrame:
     """Monthly fatalities (:func:`tallymark.plans.feeds.fatalities`)."""
     return observations(
         rows, source, geo_type=F.lit("province"), geo=F.lit(geo), year=F.year("month_start"), month=F.month("month_start"),
@@ -105,7 +105,7 @@ def fatality_observations(rows: DataFrame, value: str, as_of: Column, geo: str,
     )
 
 
-def sample_observations(samples: DataFrame, as_of: Column, source: str = "bcDrugSense") -> DataFrame:
+def sample_observations(samples: DataFrame, as_of: Column, source: str = "drugChecks") -> DataFrame:
     """Drug-check samples, counted per region, month and category; samples without a date count in no period of their own."""
     counted = samples.groupBy("geo", "year", F.month("visit_date").alias("month"), "category").agg(F.count("*").alias("n"))
     return observations(

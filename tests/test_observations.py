@@ -146,15 +146,15 @@ def test_every_feed_yields_observations(spark, tmp_path):
     root = str(tmp_path / "t")
     for made in (
         O.indicator_observations(ind, day()), O.population_observations(people, day()), O.offence_observations(crime, day()), O.month_observations(months, day()),
-        O.month_observations(units, day(), "unit", source="onUnits"), O.dashboard_observations(grid, day()), O.fatality_observations(deaths, "n", day(), "Nova Scotia"),
+        O.month_observations(units, day(), "unit", source="healthUnits"), O.dashboard_observations(grid, day()), O.fatality_observations(deaths, "n", day(), "Nova Scotia"),
         O.sample_observations(samples, day()),
     ):
         O.publish(made, root)
     found = {(r["source"], r["geo"], r["year"], r["month"], r["value"], r["is_suppressed"]) for r in O.stored(spark, root).collect()}
     assert found == {
-        ("nationalHealthInfobase", "BC", 2024, None, 2339.0, False), ("nationalHealthInfobase", "BC", 2024, None, None, True),
-        ("nationalPopulationData", "BC", 2024, None, 5e6, False), ("publicCrime", "NS", 2020, None, 12.5, False), ("onODPRN", "Ontario", 2024, 3, None, True),
-        ("onUnits", "Peel", 2024, 3, 7.0, False), ("bcCoronersReport", "Fraser", 2024, None, 9.0, False), ("nsRatesFatalities", "Nova Scotia", 2024, 5, 3.0, False),
-        ("bcDrugSense", "Interior", 2024, 3, 1.0, False), ("bcDrugSense", "Unknown", None, None, 1.0, False),
+        ("nationalHarms", "BC", 2024, None, 2339.0, False), ("nationalHarms", "BC", 2024, None, None, True),
+        ("population", "BC", 2024, None, 5e6, False), ("drugOffences", "NS", 2020, None, 12.5, False), ("monthlyWorkbook", "Ontario", 2024, 3, None, True),
+        ("healthUnits", "Peel", 2024, 3, 7.0, False), ("coronerDashboards", "Fraser", 2024, None, 9.0, False), ("monthlyFatalities", "Nova Scotia", 2024, 5, 3.0, False),
+        ("drugChecks", "Interior", 2024, 3, 1.0, False), ("drugChecks", "Unknown", None, None, 1.0, False),
     }
     assert O.stored(spark, root).agg(F.max("as_of")).first()[0] == datetime.date(2024, 9, 30)

@@ -5,10 +5,11 @@ that holds more than its capacity of keys splits by one more bit, which doubles
 that agree in all bits of the directory stay together as an overflow chain). Since a bucket is a prefix of the key, a
 task that owns a range of buckets owns a range of keys. Only keys that occur more than once can hold copies: their
 texts go to the owners, which chain the entries of a key and compare bytes, so that texts which merely collide stay
-apart.
+apart. A group is a key and a place in its chain; no digest takes part in it.
 
-Copies of one text are collapsed where they are read before they go to an owner, so a text that fills a third of the
-table reaches it as a few entries; counts and the row that stays come from partial aggregates.
+Copies of one text are collapsed where they are read: each row notes the entry that stands for its text, and only
+entries go to an owner, so a text that fills a third of the table reaches it as a few. Counts and the row that stays
+are aggregated per entry, then per place in the chain.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +28,18 @@ from tallymark.llm.shared import BLANKS, whole_text, written
 CAPACITY = 1 << 16
 #: Bytes of texts that one task remembers while it collapses copies; beyond them it starts anew and sends a text again.
 REMEMBERED = 1 << 25
+#: Code points of different texts that one owner is meant to chain.
+OWNED = 1 << 26
 
 
-def leaves(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+def leaves(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None, hashed=F.xxhash64) -> DataFrame:
     """A slim row per document: id, code points, key, digest of the normalised text; its row key if there is one. Null
     counts as empty."""
     whole = whole_text(text)
     bare = F.translate(whole, BLANKS, "")
     return docs.select(
         F.col(doc_id).alias("doc_id"), F.length(whole).cast("long").alias("size"),
-        F.xxhash64(bare).alias("key"), F.sha2(bare, 256).alias("text_sha256"), *([F.col(row).alias("row")] if row else []),
+        hashed(bare).alias("key"), F.sha2(bare, 256).alias("text_sha256"), *([F.col(row).alias("row")] if row else []),
     )
 
 
@@ -66,27 +70,33 @@ def cell_of(bits: int):
 
 
 def collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop texts that this task has sent already. Remembers a bounded number of bytes."""
-    seen, held = set(), 0
+    """Give each row the entry of its text, and keep the text only in the row that the entry is named after. A task
+    remembers a bounded number of bytes; a text that it has forgotten gets another entry."""
+    task, entries, held, at = TaskContext.get().partitionId() << 40, {}, 0, 0
     for batch in batches:
-        first = []
-        for i, text in enumerate(batch.column("bare")):
+        numbers, texts = [], []
+        for text in batch.column("bare"):
             value = text.as_py()
-            if value in seen:
-                continue
-            first.append(i)
-            seen.add(value)
-            held += len(value)
-            if held > REMEMBERED:
-                seen, held = set(), 0
-        yield batch.take(pa.array(first, pa.int64()))
+            entry = entries.get(value)
+            texts.append(value if entry is None else None)
+            if entry is None:
+                if held > REMEMBERED:
+                    entries, held = {}, 0
+                entry = entries[value] = task + at
+                held += len(value)
+            numbers.append(entry)
+            at += 1
+        rest = [c for c in batch.schema.names if c != "bare"]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in rest), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], names=[*rest, "entry", "bare"],
+        )
 
 
 def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by key: number the different texts of each key by comparing their bytes."""
+    """Entries sorted by key: the place of each in the chain of its key's different texts, found by comparing bytes."""
     key, chain = None, []
     for batch in batches:
-        slots, rows = [], []
+        slots = []
         keys = batch.column("key").to_pylist()
         for i, text in enumerate(batch.column("bare")):
             value = text.as_buffer()
@@ -94,53 +104,57 @@ def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, chain = keys[i], []
             slot = next((n for n, known in enumerate(chain) if known.equals(value)), None)
             if slot is None:  # a text of this key not met before goes to the end of the chain
-                slots.append(len(chain))
-                rows.append(i)
+                slot = len(chain)
                 # a copy, so that the batch can go
                 chain.append(pa.py_buffer(value.to_pybytes()))
-        taken = pa.array(rows, pa.int64())
+            slots.append(slot)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("bucket").take(taken), batch.column("key").take(taken), batch.column("text_sha256").take(taken), pa.array(slots, pa.int32())],
-            names=["bucket", "key", "text_sha256", "slot"],
+            [batch.column("entry"), batch.column("bucket"), batch.column("key"), pa.array(slots, pa.int32())], names=["entry", "bucket", "key", "slot"],
         )
 
 
-def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, row: str | None = None) -> DataFrame:
+def duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, row: str | None = None, hashed=F.xxhash64,
+) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, slot; with a row key also row and
     stays, which is true for one row of each group, the first by key of those that are kept.
 
-    Texts are equal when identical without white space. The row with most code points stays, then the smallest id;
-    of repeated rows with that same id each counts in group_size and each is marked as kept. A null text counts as
-    empty, a null id comes after all others. bucket and slot are null where the key occurs once. Only the two named
-    columns are read, so further columns may have any name. An empty table gives no rows."""
-    leaf = written(leaves(docs, doc_id, text, row), "leaves")
+    Texts are equal when identical without white space, whatever `hashed` makes of them. The row with most code points
+    stays, then the smallest id, which may be of any type that has an order; of repeated rows with that same id each
+    counts in group_size and each is marked as kept. A null text counts as empty, a null id comes after all others.
+    bucket and slot are null where the key occurs once. Only the named columns are read, so further columns may have
+    any name. An empty table gives no rows."""
+    leaf = written(leaves(docs, doc_id, text, row, hashed), "leaves")
     table = written(directory(leaf.select("key").distinct(), capacity), "directory")
-
-    # texts of keys that occur more than once, collapsed where they are, then at their owners; both sides of the join
-    # are plain exchanges, so that adaptive execution can split a key with very many texts
-    again = written(leaf.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "again")
-    bare = F.translate(whole_text(text), BLANKS, "")
-    texts = docs.select(F.xxhash64(bare).alias("key"), bare.alias("bare")).join(again, "key", "left_semi")
-    entries = texts.mapInArrow(collapsed, "key long, bare string")
     first = table.select("bits").first()
     bits = first["bits"] if first else 1
-    owned = (
-        entries.withColumn("cell", cell_of(bits)).join(table.select("cell", "bucket"), "cell")
-        .select("bucket", "key", "bare", F.sha2("bare", 256).alias("text_sha256"))
-        .repartitionByRange("bucket", "key").sortWithinPartitions("key")
-    )
-    chains = owned.mapInArrow(chained, "bucket long, key long, text_sha256 string, slot int")
-
-    best = F.struct("size", F.expr("-doc_id").alias("less"))
-    first_row = [F.min(F.struct(F.expr("-size"), F.isnull("doc_id"), "doc_id", "row"))["row"].alias("first_row")] if row else []
-    groups = leaf.groupBy("key", "text_sha256").agg(F.count("*").alias("group_size"), F.max_by("doc_id", best).alias("keep_id"), *first_row).filter("group_size > 1")
-    first_row = ["first_row"] if row else []
-    index = written(groups.join(chains, ["key", "text_sha256"]).select("bucket", "key", "slot", "text_sha256", "group_size", "keep_id", *first_row), "index")
-
-    found = leaf.join(index, ["key", "text_sha256"], "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return found.select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "bucket", "slot",
-        *(["row", (F.col("group_size").isNull() | (F.col("row") == F.col("first_row"))).alias("stays")] if row else []),
-    )
+
+    # keys that occur more than once, with their bucket
+    again = leaf.groupBy("key").agg(F.count("*").alias("n"), F.max("size").alias("size")).filter("n > 1").withColumn("cell", cell_of(bits))
+    again = written(again.join(table.select("cell", "bucket"), "cell").select(F.col("key").alias("again"), "bucket", "size"), "again")
+    # a power of two of owners, each for the buckets that share its leading bits
+    share = min(bits, max(3, math.ceil(math.log2(max(1, (again.agg(F.sum("size")).first()[0] or 0) / OWNED)))))
+    whole = whole_text(text)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.length(whole).cast("long").alias("size"), *([F.col(row).alias("row")] if row else []), F.translate(whole, BLANKS, "").alias("bare"))
+    # both sides of the join are plain exchanges, so that adaptive execution can split a key with very many texts
+    texts = texts.withColumn("key", hashed("bare")).join(again, F.col("key") == F.col("again"), "inner").drop("again").drop(again["size"])
+    texts = texts.withColumn("text_sha256", F.sha2("bare", 256))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "bare")
+    copies = written(texts.mapInArrow(collapsed, f"{kinds}, entry long, bare string"), "entries")
+    owner = F.shiftright("bucket", bits - share).cast("int")
+    entries = copies.filter("bare is not null").select("entry", "bucket", "key", "bare").repartitionById(1 << share, owner).sortWithinPartitions("key")
+    chains = written(entries.mapInArrow(chained, "entry long, bucket long, key long, slot int"), "chains")
+
+    best = F.min(F.struct((-F.col("size")).alias("less"), F.isnull("doc_id").alias("none"), "doc_id", *(["row"] if row else []))).alias("best")
+    parts = copies.groupBy("entry").agg(F.count("*").alias("rows"), best)
+    groups = parts.join(chains, "entry").groupBy("key", "slot").agg(F.sum("rows").alias("group_size"), F.min("best").alias("best"))
+    index = written(chains.join(groups, ["key", "slot"]).select("entry", "slot", "group_size", "best"), "index")
+
+    found = copies.drop("bare").join(index, "entry")
+    alone = leaf.join(again, F.col("key") == F.col("again"), "left_anti")
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "bucket", "slot", *(["row", "stays"] if row else [])]
+    found = found.withColumn("keep_id", F.col("best.doc_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    alone = alone.withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True), "bucket": F.lit(None).cast("long"), "slot": F.lit(None).cast("int")})
+    if row:
+        found, alone = found.withColumn("stays", F.col("row") == F.col("best.row")), alone.withColumn("stays", F.lit(True))
+    return found.select(columns).unionAll(alone.select(columns))

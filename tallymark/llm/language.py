@@ -13,13 +13,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.shared import whole_text
 from tallymark.llm.shingles import pieces, utf8
 
-#: Labelled rows that the machines are fitted on, over all languages together.
+#: Different labelled texts that the machines are fitted on, over all languages together.
 SAMPLE = 2400
 FEATURES = 4096
 UNKNOWN = "und"
@@ -116,30 +116,45 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 5
 
 
-def fitted(docs: DataFrame, learns: Column, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Discriminator:
-    """Fit on the rows that may be learned from. Of each language the same number is taken, those with the smallest
-    hash of id and text; `sample` bounds the rows that reach the driver to about 1.5 times itself."""
+def fitted(docs: DataFrame, learns: Column, lang: str = "lang", text: str = "text", sample: int = SAMPLE) -> Discriminator:
+    """Fit on the rows that may be learned from, on at most `sample` different texts. Of each language the same number
+    is taken, those with the smallest hash of the text, so that repeated rows count once and each language has one at
+    least; beyond `sample` languages, those with the most different texts are learned."""
     labelled = docs.filter(learns & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    labelled = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
+    labelled = labelled.withColumn("place", F.pmod("hash", F.lit(1 << 30)) / (1 << 30))
+    texts = F.approx_count_distinct("hash")
+    languages = labelled.groupBy("lang").agg(texts.alias("n"), F.min("place").alias("least")).orderBy(F.desc("n"), "lang").limit(sample).collect()
+    if not languages:
         return Discriminator()
-    quota = max(20, sample // len(counts))
-    place = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 30)) / (1 << 30)
-    chosen = F.lit(False)
-    for code, n in counts.items():
-        chosen = chosen | ((F.col(lang) == code) & (place < 1.3 * quota / n))
-    rows = labelled.filter(chosen).select(F.col(lang).alias("lang"), place.alias("place"), F.col(text).alias("text"))
+    quota = max(1, sample // len(languages))
+    # a third more than the quota, as counts and places are those of hashes; the first of each language in any case
+    limits = [(r["lang"], max(r["least"], 1.3 * (quota + 3) / max(1, r["n"]))) for r in languages]
+    limits = docs.sparkSession.createDataFrame(limits, "of string, most double")
+    # at most `sample` rows
+    rows = labelled.join(F.broadcast(limits), (F.col("lang") == F.col("of")) & (F.col("place") <= F.col("most"))).select("lang", "hash", "place", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[str, int]] = set()  # about as many as the sample has rows
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            found = [features(data[a:b]).astype(np.float16).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), pa.array(found, pa.binary())], names=["lang", "place", "features"])
-
+            keys = list(zip(batch.column("lang").to_pylist(), batch.column("hash").to_pylist(), strict=True))
+            first = []
+            for i, key in enumerate(keys):
+                if key not in met:
+                    met.add(key)
+                    first.append(i)
+            found = [features(data[offsets[i] : offsets[i + 1]]).astype(np.float16).tobytes() for i in first]
+            taken = pa.array(first, pa.int64())
+            names = ["lang", "hash", "place"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in names), pa.array(found, pa.binary())], names=[*names, "features"])
+
+    once = rows.mapInArrow(count, "lang string, hash long, place double, features binary").groupBy("lang", "hash", "place").agg(F.any_value("features").alias("features"))
+    nearest = F.row_number().over(Window.partitionBy("lang").orderBy("place", "hash"))
     by_lang: dict[str, list] = {}
-    for r in rows.mapInArrow(count, "lang string, place double, features binary").collect():
-        by_lang.setdefault(r["lang"], []).append((r["place"], bytes(r["features"])))
-    vectors = {c: np.stack([np.frombuffer(f, np.float16) for _, f in sorted(v)[:quota]]).astype(np.float32) for c, v in sorted(by_lang.items())}
+    for r in once.withColumn("n", nearest).filter(F.col("n") <= quota).collect():
+        by_lang.setdefault(r["lang"], []).append((r["n"], bytes(r["features"])))
+    vectors = {c: np.stack([np.frombuffer(f, np.float16) for _, f in sorted(v)]).astype(np.float32) for c, v in sorted(by_lang.items())}
     out = Discriminator()
     for code in vectors:
         out.languages.setdefault(FAMILY.get(code, code), []).append(code)

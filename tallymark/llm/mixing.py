@@ -4,7 +4,8 @@ Each source's documents are shuffled and laid end to end, and cut into blocks of
 slots. Slot j of all slots, source after source, stands at the point whose van der Corput place is j: reversing the
 bits of j gives its position in the mix. So the points 0, 1/2, 1/4, 3/4, ... fall into the cumulative shares of the
 sources, any stretch of the mix has each source close to its share, and every source gets exactly its slots. Slots are
-ranked per source by position, and rank r takes block r of the source, from the first block again after the last.
+ranked per source by position, and rank r takes block r of the source, from the first block again after the last. A
+document stands in the mix where its blocks do: where its first one begins, and as far as its last one.
 
 All steps are DataFrame operations. Offsets and ranks are two-level sums, so a source that holds a third of all rows is
 summed in many tasks.
@@ -51,7 +52,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mix: position, source, rank, epoch, block, words. sources: source, source_size, target."""
+    """The mix: position, source, rank, epoch, block, words, points. sources: source, source_size, target. Positions are
+    below points, a power of two."""
     blocks = F.ceil(F.col("source_size") / block)
     whole = F.floor(F.col("target"))
     rounds = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0)
@@ -72,12 +74,14 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     ranked = ranked.withColumn("epoch", epoch).withColumn("block", F.col("rank") - F.col("epoch") * F.col("blocks"))
     start = F.col("block") * block
     words = F.least(F.lit(block), F.col("source_size") - start, F.col("whole") - F.col("epoch") * F.col("source_size") - start)
-    return ranked.select("position", "source", "rank", "epoch", "block", words.cast("long").alias("words"))
+    return ranked.select("position", "source", "rank", "epoch", "block", words.cast("long").alias("words"), F.lit(1 << bits).cast("long").alias("points"))
 
 
 def mixed(docs: DataFrame, seed: int = 0, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, row: str | None = None) -> DataFrame:
-    """Which words the mix takes: row, doc_id, source, size, source_size, target, epoch, taken; a row per document and
-    round that takes some of it (one with epoch null where none does). docs: doc_id, source, text.
+    """Which words the mix takes, and where in the mix they stand: row, doc_id, source, size, source_size, target, start,
+    epoch, taken, slots, first_position, last_position, points; a row per document and round that takes some of it (one
+    with epoch null where none does). docs: doc_id, source, text. slots counts the blocks of the schedule that hold words
+    of the document, the positions are those of the first and last of them, start is its place in its source's words.
 
     Words are runs without white space; a null text has none. The order within a source follows the md5 of seed and id,
     so reruns agree; equal ids are told apart by their text's digest, and rows equal in all three share their words out
@@ -100,12 +104,18 @@ def mixed(docs: DataFrame, seed: int = 0, block: int = BLOCK, weights: tuple[int
     low = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     pieces = pieces.select("row", "source", "block", low.alias("low"), high.alias("high"))
-    slots = schedule(sources, block).select(F.col("source").alias("_source"), F.col("block").alias("_block"), "epoch", "words")
+    slots = schedule(sources, block).select(F.col("source").alias("_source"), F.col("block").alias("_block"), "epoch", "words", "position", "points")
     meets = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))
     # slots unfold from one row per source, which the optimizer takes for their size
     took = pieces.join(slots.hint("merge"), meets).withColumn("took", F.least("high", "words") - F.col("low")).filter("took > 0")
-    took = took.groupBy("row", "epoch").agg(F.sum("took").alias("taken")).withColumnRenamed("row", "_row")
+    took = took.groupBy("row", "epoch").agg(
+        F.sum("took").alias("taken"), F.count("*").alias("slots"), F.min("position").alias("first_position"), F.max("position").alias("last_position"),
+        F.max("points").alias("points"),
+    ).withColumnRenamed("row", "_row")
     out = laid.join(took.hint("merge"), F.col("row") == F.col("_row"), "left").drop("_row")
     sources = sources.select(F.col("source").alias("_source"), "source_size", "target")
     out = out.join(sources, F.col("source").eqNullSafe(F.col("_source")))
-    return out.select("row", "doc_id", "source", "size", "source_size", "target", "epoch", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *place)
+    return out.select(
+        "row", "doc_id", "source", "size", "source_size", "target", "start", "epoch", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "slots")),
+        "first_position", "last_position", "points", *place,
+    )

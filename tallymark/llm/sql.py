@@ -47,11 +47,32 @@ t as (select source, source_size, least(2.0::double * source_size, coalesce(fina
 p as (
   select doc_id, source, size,
     coalesce(sum(size) over (partition by source order by key rows between unbounded preceding and 1 preceding), 0)::bigint as start
-  from d)
-select p.doc_id, p.size::bigint as size, t.source_size, t.target,
+  from d),
+q as (
+  select source, source_size, floor(target)::bigint as whole, ceil(source_size / 256)::bigint as blocks,
+    case when source_size > 0 then floor(target)::bigint // source_size else 0 end as rounds
+  from t),
+n as (select *, rounds * blocks + ceil((whole - rounds * source_size) / 256)::bigint as slots from q),
+u as (
+  select *, coalesce(sum(slots) over (order by source nulls last rows between unbounded preceding and 1 preceding), 0)::bigint as first,
+    greatest(1, ceil(log2(greatest(2, sum(slots) over ()))))::int as bits
+  from n),
+j as (select *, unnest(range(first, first + slots)) as j from u where slots > 0),
+v as (select *, list_sum([((j >> k) & 1) << (bits - 1 - k) for k in range(bits)])::bigint as position from j),
+r as (select *, row_number() over (partition by source order by position) - 1 as rank from v),
+b as (
+  select source, position, (rank % blocks) * 256 as start,
+    least(256, source_size - (rank % blocks) * 256, whole - (rank // blocks) * source_size - (rank % blocks) * 256) as words
+  from r),
+at as (
+  select p.doc_id, count(*)::bigint as slots, min(position) as first_position, max(position) as last_position
+  from p join b on p.source is not distinct from b.source and p.start < b.start + b.words and b.start < p.start + p.size
+  where p.size > 0 and b.words > 0
+  group by p.doc_id)
+select p.doc_id, p.size::bigint as size, t.source_size, t.target, coalesce(at.slots, 0)::bigint as slots, at.first_position, at.last_position,
   (greatest(0, least(p.start + p.size, floor(t.target)::bigint) - p.start)
    + greatest(0, least(p.start + p.size + t.source_size, floor(t.target)::bigint) - p.start - t.source_size))::bigint as taken
-from p join t on p.source is not distinct from t.source
+from p join t on p.source is not distinct from t.source left join at on at.doc_id = p.doc_id
 """
 
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -40,6 +40,70 @@ def test_the_sample_is_bounded(table):
     assert L.predicted(table, fit, keep=("lang",)).filter("lang <> lang_pred").count() < 40
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_a_language_of_repeated_rows_is_learned(documents, seed):
+    rng = random.Random(seed)
+    texts = [sentence(c, rng) for c in ("en", "de") for _ in range(40)] + [sentence("xx", rng)] * 5000
+    docs = documents(texts, langs=["en"] * 40 + ["de"] * 40 + ["xx"] * 5000)
+    fit = L.fitted(docs, F.lit(True), sample=60)
+    assert "xx" in fit.families
+    assert L.predicted(docs, fit, keep=("lang",)).filter("lang = 'xx' and lang_pred <> 'xx'").count() == 0
+
+
+@pytest.mark.parametrize(("languages", "sample"), [(130, 260), (130, 130), (130, 100)])
+def test_many_languages_stay_within_the_bound(documents, monkeypatch, languages, sample):
+    texts = [f"{chr(0x4E00 + 40 * k)}{chr(0x4E01 + 40 * k)} {n}" for k in range(languages) for n in range(3 + (k < 100)) for _ in range(2)]
+    langs = [f"l{k:03}" for k in range(languages) for n in range(3 + (k < 100)) for _ in range(2)]
+    rows = []
+    monkeypatch.setattr(L, "_against", lambda ours, others: rows.append(sum(map(len, ours)) + sum(map(len, others))) or np.zeros(L.FEATURES + 1, np.float32))
+    fit = L.fitted(documents(texts, langs=langs), F.lit(True), sample=sample)
+    assert len(fit.families) == min(languages, sample) and max(rows) <= sample
+    if sample < languages:
+        assert fit.families == [f"l{k:03}" for k in range(100)]
+
+
+def brute_prediction(fit, text):
+    """The same prediction by dictionaries of n-grams and plain sums."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    folded = [32, *(ord(chr(b).lower()) if chr(b).isalpha() and b < 128 else 32 if b < 128 else b for b in text.encode()), 32]
+    counts = {}
+    for n in (1, 2, 3):
+        for k in range(len(folded) - n + 1):
+            code = 0
+            for b in folded[k : k + n]:
+                code = (code * 257 + b) % 2**32
+            slot = ((code + n - 1) * 2654435761) % 2**32 >> 20
+            counts[slot] = counts.get(slot, 0) + 1
+    norm = sum(counts.values()) ** 0.5
+
+    def margin(w):
+        return sum(float(w[s]) * c**0.5 / norm for s, c in counts.items()) + float(w[-1])
+
+    def sure(m):
+        return 1 / (1 + 2.718281828459045 ** (-3 * max(-10.0, min(10.0, m))))
+
+    scores = {f: margin(w) for f, w in fit.between.items()}
+    family = max(fit.families, key=lambda f: scores.get(f, 0.0))
+    least = sure(scores[family]) if scores else 1.0
+    duels = {}
+    for (a, b), w in fit.within.items():
+        duels[a, b] = margin(w)
+        duels[b, a] = -duels[a, b]
+    mine = fit.languages[family]
+    ranked = max(mine, key=lambda a: (sum(duels[a, b] > 0 or duels[a, b] == 0 and a < b for b in mine if a != b), sum(duels[a, b] for b in mine if a != b), a))
+    return ranked, min([least, *(sure(duels[ranked, b]) for b in mine if b != ranked)])
+
+
+def test_equals_plain_python(table, documents):
+    fit = L.fitted(table, L.remainder() != 0)
+    texts = [r["text"] for r in table.limit(60).collect()] + ["The THE der Sch", "ñandú ção", "x", "12 é", "--", None, "\u0434\u0430 \u043d\u0435\u0442"]
+    found = {r["doc_id"]: r for r in L.predicted(documents(texts), fit).collect()}
+    for k, text in enumerate(texts):
+        lang, score = brute_prediction(fit, text)
+        assert found[k]["lang_pred"] == lang and found[k]["score"] == pytest.approx(score, abs=1e-4)
+
+
 def test_odd_rows(table, documents, rows, clashing):
     fit = L.fitted(table, L.remainder() != 0)
     texts = [None, "", "123 -- 45", "the " * 100_000, "the", "the", "é"]

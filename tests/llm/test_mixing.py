@@ -79,6 +79,42 @@ def test_schedule_is_spread_evenly(spark):
         assert all(r["rank"] == r["epoch"] * {"a": 400, "b": 900, "c": 10}[s] + r["block"] for r in slots if r["source"] == s)
 
 
+def brute_positions(texts, sources, block):
+    """Blocks of each document in the mix, by counting slots one after the other."""
+    sizes = sizes_of(texts, sources)
+    target = {s: int(t + 1e-9) for s, t in brute_targets(sizes).items()}
+    slots = []  # of all sources, one source after the other: source, block, words
+    for s in sorted(sizes, key=lambda x: (x is None, x or "")):
+        left, n = target[s], 0
+        while left > 0:
+            words = min(block, sizes[s] - n * block, left)
+            slots.append((s, n, words))
+            left, n = left - words, n + 1 if (n + 1) * block < sizes[s] else 0
+    bits = max(1, (max(2, len(slots)) - 1).bit_length())
+    points = sorted(int(f"{j:0{bits}b}"[::-1], 2) for j in range(len(slots)))
+    of = {int(f"{j:0{bits}b}"[::-1], 2): slots[j][0] for j in range(len(slots))}
+    queue = {s: [x for x in slots if x[0] == s] for s in sizes}
+    at = {p: queue[of[p]].pop(0) for p in points}
+    out = {}
+    for s in sizes:
+        start = 0
+        for k in sorted((k for k in range(len(texts)) if sources[k] == s), key=lambda k: hashlib.md5(f"0:{k}".encode()).hexdigest()):
+            n = len((texts[k] or "").split())
+            out[k] = [p for p, (x, b, words) in at.items() if x == s and max(start, b * block) < min(start + n, b * block + words)]
+            start += n
+    return out
+
+
+@pytest.mark.parametrize("block", [16, 256])
+def test_documents_stand_where_the_points_put_their_blocks(corpus, block):
+    docs, texts, sources = corpus
+    took = M.mixed(docs, block=block).groupBy("doc_id").agg(F.sum("slots").alias("n"), F.min("first_position").alias("a"), F.max("last_position").alias("b")).collect()
+    expected = brute_positions(texts, sources, block)
+    assert {r["doc_id"]: (r["n"], r["a"], r["b"]) for r in took} == {
+        k: (len(p), min(p, default=None), max(p, default=None)) for k, p in expected.items()
+    }
+
+
 def test_odd_tables(documents, rows, clashing):
     assert rows(M.mixed(documents([]))) == []
     twice = M.mixed(clashing(documents(["w w w", "w w w", None, ""], ids=[1, 1, None, 2], sources=["s"] * 4)))

@@ -99,6 +99,20 @@ def test_repeated_rows_and_null_ids(spark, documents, prose, tmp_path):
         assert sum(t not in whole[s] for t in mine) <= 2
 
 
+def test_mix_is_written_in_the_order_of_the_schedule(spark, documents, prose, monkeypatch):
+    """Each stretch of the written mix has the shares of the whole; sources laid one after the other would not."""
+    monkeypatch.setattr(corpus_pipeline, "STRETCH", 16)
+    sources = ["a"] * 300 + ["b"] * 300 + ["c"] * 300
+    docs = documents([prose(100, k) for k in range(900)], sources=sources)
+    out = [(r["source"], len(r["text"].split())) for r in corpus_pipeline.mix(spark, docs, "").collect()]
+    words = sum(n for _, n in out)
+    shares = {s: sum(n for x, n in out if x == s) / words for s in "abc"}
+    for k in range(0, len(out) - 150, 50):
+        part = out[k : k + 150]
+        for s in "abc":
+            assert abs(sum(n for x, n in part if x == s) / sum(n for _, n in part) - shares[s]) < 0.08
+
+
 def test_clean_documents_stay(spark):
     folder = "/root/testdata/sf0.001"
     if not Path(folder).exists():

@@ -11,6 +11,8 @@ from tallymark.llm.shared import keyed, written
 
 #: Predictions below this are rejected: neither the family nor the language is told apart.
 LEAST_SCORE = 0.2
+#: Points of the mix's schedule, of 256 words each, that one task writes.
+STRETCH = 1 << 14
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,18 +52,30 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each source's share of words: a row per round that takes some of a document; the one that a round ends
-    in is cut after its last word that the round takes. Documents without words have no share."""
+    """Take each source's share of words, in the order of the schedule: a row per round that takes some of a document,
+    where its first block stands; the one that a round ends in is cut after its last word that the round takes.
+    Documents without words have no share."""
     key, columns, schema = key_of(docs), docs.columns, docs.schema
     docs = keyed(docs, key)
-    took = mixing.mixed(docs, row=key).filter("taken > 0").select(F.col("place").alias("took_row"), F.col("size").alias("took_size"), F.col("taken").alias("took_words"))
+    took = mixing.mixed(docs, row=key).filter("taken > 0")
+    took = written(took.select(
+        F.col("place").alias("took_row"), F.col("size").alias("took_size"), F.col("taken").alias("took_words"), F.col("first_position").alias("took_at"),
+        F.col("start").alias("took_start"), F.col("points").alias("took_points"),
+    ), "took")
+    first = took.select("took_points").first()
+    # stretches of equally many points: the schedule spreads sources evenly, so no sample of positions is needed
+    stretches = max(1, (first["took_points"] if first else 0) // STRETCH)
     both = docs.join(took, docs[key] == took["took_row"])
     words = F.split(F.regexp_replace(docs["text"], r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
     cut = F.array_join(F.slice(words, F.lit(1), took["took_words"].cast("int")), " ")
     changed = {"text": F.when(took["took_words"] < took["took_size"], cut).otherwise(docs["text"])}
     if "n_chars" in columns:
         changed["n_chars"] = F.length(changed["text"]).cast(schema["n_chars"].dataType)
-    return both.select(*(changed.get(c, docs[f"`{c}`"]).alias(c) for c in columns))
+    # other columns travel under numbers, so that none is taken for the place in the mix
+    rows = both.select(*(changed.get(c, docs[f"`{c}`"]).alias(f"_{k}") for k, c in enumerate(columns)), took["took_at"].alias("at"), took["took_start"].alias("start"))
+    stretch = F.expr(f"cast(at * {stretches} div {first['took_points'] if first else 1} as int)")
+    rows = rows.repartitionById(stretches, stretch).sortWithinPartitions("at", "start")
+    return rows.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(columns)))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,10 +65,10 @@ def op8_quartile_digest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    """Words taken of each document over all rounds, and where in the mix they stand."""
+    """Words taken of each document over all rounds, and where in the mix they stand (-1: nowhere)."""
     took = mixing.mixed(table(spark, folder, "documents"))
     by_row = took.groupBy("row", "doc_id", "size", "source_size", "target").agg(
-        F.sum("taken").alias("taken"), F.sum("slots").alias("slots"), F.min("first_position").alias("first_position"), F.max("last_position").alias("last_position"),
+        F.sum("taken").alias("taken"), F.sum("slots").alias("slots"), *(F.coalesce(f(c), F.lit(-1)).alias(c) for f, c in ((F.min, "first_position"), (F.max, "last_position"))),
     )
     return by_row.drop("row")
 

@@ -64,15 +64,16 @@ b as (
   select source, position, (rank % blocks) * 256 as start,
     least(256, source_size - (rank % blocks) * 256, whole - (rank // blocks) * source_size - (rank % blocks) * 256) as words
   from r),
-at as (
+places as (
   select p.doc_id, count(*)::bigint as slots, min(position) as first_position, max(position) as last_position
   from p join b on p.source is not distinct from b.source and p.start < b.start + b.words and b.start < p.start + p.size
   where p.size > 0 and b.words > 0
   group by p.doc_id)
-select p.doc_id, p.size::bigint as size, t.source_size, t.target, coalesce(at.slots, 0)::bigint as slots, at.first_position, at.last_position,
+select p.doc_id, p.size::bigint as size, t.source_size, t.target, coalesce(places.slots, 0)::bigint as slots, coalesce(places.first_position, -1) as first_position,
+  coalesce(places.last_position, -1) as last_position,
   (greatest(0, least(p.start + p.size, floor(t.target)::bigint) - p.start)
    + greatest(0, least(p.start + p.size + t.source_size, floor(t.target)::bigint) - p.start - t.source_size))::bigint as taken
-from p join t on p.source is not distinct from t.source left join at on at.doc_id = p.doc_id
+from p join t on p.source is not distinct from t.source left join places on places.doc_id = p.doc_id
 """
 
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

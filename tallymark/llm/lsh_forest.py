@@ -1,15 +1,20 @@
-"""Near-duplicate join: Jaccard similarity of word shingles by fixed MinHash banding, verified exactly.
+"""Near-duplicate join: Jaccard similarity of word shingles by a MinHash LSH forest, verified exactly.
 
-The method is named after the LSH forest, but no prefix trie is built: the length that the forest would be shortened to
-is computed once from the threshold, the recall, the number of trees and their depth, and each tree is a band of so
-many values. Sets that agree in a whole band are candidates. Then:
+Each set has a signature per tree, of full depth. A tree is a prefix trie over the signatures of all sets: a node is a
+prefix, its members the sets that begin with it. Matching starts at the deepest prefixes and shortens them level by
+level; a level adds the pairs that share so long a prefix in some tree and no longer one in any. It ends when
+the estimated recall is met: each link that was found has its exact similarity, and with it the chance that such a pair
+meets at this level, so the links found stand for as many as the inverse of those chances sum up to. One link at the
+threshold is counted beside them, so that few links prove little; at the length where even pairs at the threshold meet
+with the target recall, matching ends in any case.
 
 * Equal sets are one class from the start: their rows are counted, not compared.
 * Nodes are found by aggregates (count, digest of the members); nodes of one member go, and so do nodes with exactly
   the members of a node of an earlier tree.
-* A node is dealt out in blocks of bounded rows and shingles. A task compares two blocks by a matrix product over
-  shingles, checks the similarity exactly, and counts a pair only in the first tree where it meets. It returns sums per
-  row and one link to a root per row, never pairs.
+* A node is dealt out in blocks of bounded rows and shingles. A first pass compares two blocks by their signatures and
+  keeps the members that have a pair not met before; only those get their shingles. A second one compares them by
+  a matrix product over shingles, checks the similarity exactly, and returns sums per row and one link to a root per
+  row, never pairs.
 * Classes are the connected components of those links.
 """
 
@@ -34,14 +39,30 @@ BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 
 
 def matched_length(threshold: str, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The band length: the longest prefix, from the depth down, at which two sets at the threshold meet in at least one tree with
-    the target recall."""
+    """The longest prefix, from the depth down, at which two sets at the threshold meet in at least one tree with the target recall."""
     length = depth
-    while length > 1 and 1 - (1 - float(threshold) ** length) ** trees < recall:
+    while length > 1 and meeting(float(threshold), length, trees) < recall:
         length -= 1
     return length
 
 
+def meeting(similarity: float, length: int, trees: int = TREES) -> float:
+    """The chance that two sets share a prefix of this length in some tree."""
+    return 1 - (1 - similarity**length) ** trees
+
+
+def estimated_recall(found: dict[int, int], length: int, threshold: str, trees: int = TREES) -> float:
+    """Links found, by hundredths of similarity, over the links that they stand for at this length; one link at the
+    threshold, which may have been missed, counts beside them."""
+    least = float(threshold)
+    links = {1.0: 0, least: 0}
+    for hundredth, n in found.items():
+        similarity = max(least, hundredth / 100)
+        links[similarity] = links.get(similarity, 0) + n
+    links[least] += 1
+    return sum(links.values()) / sum(n / meeting(s, length, trees) for s, n in links.items())
+
+
 def sketches(docs: DataFrame, doc_id: str, text: str, width: int, values: int, row: str | None = None) -> DataFrame:
     """Per row: doc_id, number of distinct shingles, 128-bit digest of the set, signature; its row key if there is one."""
     rng = np.random.default_rng(values)
@@ -114,25 +135,61 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verified(sets: list[np.ndarray], prefixes: np.ndarray, side: np.ndarray | None, copies: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted links and the smallest linked row for each row of a block, or of two blocks if side tells them apart.
+def known(signatures: np.ndarray, left: np.ndarray, right: np.ndarray, tree: int, level: int) -> np.ndarray:
+    """Whether each pair of rows, which share a prefix of this level in this tree, met before: at a deeper level in any tree, or
+    at this one in an earlier tree. signatures: rows by trees by depth."""
+    out = np.zeros(len(left), bool)
+    for start in range(0, len(left), 1 << 15):
+        one, other = left[start : start + (1 << 15)], right[start : start + (1 << 15)]
+        same = signatures[one] == signatures[other]
+        met = same[:, :tree, :level].all(axis=2).any(axis=1)
+        if level < signatures.shape[2]:
+            met |= same[:, :, : level + 1].all(axis=2).any(axis=1)
+        out[start : start + (1 << 15)] = met
+    return out
+
 
-    prefixes: each row's nodes in the earlier trees; a pair that meets there is left to them."""
+def fresh(signatures: np.ndarray, tree: int, level: int, side: np.ndarray | None) -> np.ndarray:
+    """The rows of a block, or of two blocks if side tells them apart, that are in a pair which did not meet before."""
+    n = len(signatures)
+    if n <= 16:
+        left, right = np.triu_indices(n, 1)
+        if side is not None:
+            crossing = side[left] != side[right]
+            left, right = left[crossing], right[crossing]
+        new = ~known(signatures, left, right, tree, level)
+        return np.unique(np.concatenate([left[new], right[new]]))
+    new = ~np.eye(n, dtype=bool) if side is None else side[:, None] != side[None, :]
+    for t in range(signatures.shape[1]):
+        length = level if t < tree else level + 1
+        if length <= signatures.shape[2]:
+            names = np.ascontiguousarray(signatures[:, t, :length]).view(f"V{4 * length}").ravel()
+            code = np.unique(names, return_inverse=True)[1]
+            new &= code[:, None] != code[None, :]
+    return np.flatnonzero(new.any(axis=1))
+
+
+def verified(
+    sets: list[np.ndarray], signatures: np.ndarray, side: np.ndarray | None, copies: np.ndarray, threshold: Fraction, tree: int, level: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted links and the smallest linked row for each row of a block, or of two blocks if side tells them apart,
+    and the similarity of each link in hundredths, rounded down. Pairs that met before are left out."""
     n = len(sets)
     sizes = np.array([len(x) for x in sets])
     a, b = threshold.numerator, threshold.denominator
     if n == 2:
-        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        left, right = (np.array([0]), np.array([1])) if common * (a + b) >= a * (sizes[0] + sizes[1]) else (np.zeros(0, int), np.zeros(0, int))
+        common = np.zeros((2, 2), np.int64)
+        common[0, 1] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
     else:
-        near = intersections(sets) * (a + b) >= a * (sizes[:, None] + sizes[None, :])
-        left, right = np.nonzero(np.triu(near, 1))
+        common = intersections(sets)
+    left, right = np.nonzero(np.triu(common * (a + b) >= a * (sizes[:, None] + sizes[None, :]), 1))
     if side is not None:
         crossing = side[left] != side[right]
         left, right = left[crossing], right[crossing]
-    for tree in range(prefixes.shape[1]):
-        later = prefixes[left, tree] != prefixes[right, tree]
-        left, right = left[later], right[later]
+    new = ~known(signatures, left, right, tree, level)
+    left, right = left[new], right[new]
+    shared = common[left, right].astype(np.int64)
+    hundredths = shared * 100 // (sizes[left] + sizes[right] - shared)
     links = np.bincount(left, copies[right], n) + np.bincount(right, copies[left], n)
     roots = np.arange(n)
     while len(left):
@@ -142,7 +199,7 @@ def verified(sets: list[np.ndarray], prefixes: np.ndarray, side: np.ndarray | No
         np.minimum.at(roots, left, low)
         np.minimum.at(roots, right, low)
         roots = roots[roots]
-    return links.astype(np.int64), roots
+    return links.astype(np.int64), roots, hundredths
 
 
 def join(
@@ -157,8 +214,8 @@ def join(
     are runs without white space; a text of fewer words than the width has one shingle of them all, an empty or null
     text has none and stands alone. Repeated rows count as copies. A null id takes part; it is the class's id only if
     no other row of the class has one. Only the two named columns are read."""
-    length = matched_length(threshold, recall, trees, depth)
-    sketch = written(sketches(docs, doc_id, text, width, trees * length, row), "sketches")
+    shortest = matched_length(threshold, recall, trees, depth)
+    sketch = written(sketches(docs, doc_id, text, width, trees * depth, row), "sketches")
     first_row = [F.min(F.struct(F.isnull("doc_id"), "doc_id", "row")).alias("first_row")] if row else []
     sets = written(
         sketch.filter("shingles > 0").groupBy("rep")
@@ -166,37 +223,27 @@ def join(
         "sets",
     )
 
-    # a prefix of a signature piece names a node; sizes say that sets below this many shingles have only equal partners
+    # sizes say that sets below this many shingles have only equal partners
     limit = Fraction(threshold)
     least = next((n for n in range(1, 1000) if Fraction(n, n + 1) >= limit), 1000)
-    prefix = [F.struct(F.lit(t).alias("tree"), F.substring("signature", 4 * length * t + 1, 4 * length).alias("prefix")) for t in range(trees)]
-    meets = sets.filter(F.col("shingles") >= least).select("rep", "shingles", F.explode(F.array(*prefix)).alias("node")).select("rep", "shingles", "node.*")
-    nodes = meets.groupBy("tree", "prefix").agg(
-        F.count("*").alias("rows"), F.sum("shingles").alias("held"),
-        F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"),
-    ).filter("rows > 1")
-    nodes = nodes.groupBy("rows", "x", "y").agg(F.min(F.struct("tree", "prefix", "held")).alias("node")).select("node.*", "rows")
-    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
-    nodes = nodes.withColumn("blocks", blocks)
-    members = written(meets.join(nodes, ["tree", "prefix"]).select("rep", "tree", "prefix", "blocks"), "members")
-
-    needed = sets.join(members.select("rep").distinct(), "rep", "left_semi").select(F.col("first_id").alias("_first"))
+    path = [F.struct(F.lit(t).alias("tree"), F.substring("signature", 4 * depth * t + 1, 4 * depth).alias("path")) for t in range(trees)]
+    paths = sets.filter(F.col("shingles") >= least).select("rep", "shingles", F.explode(F.array(*path)).alias("at")).select("rep", "shingles", "at.*")
+    # what is alone at the shortest prefix is alone at every longer one
+    shared = F.substring("path", 1, 4 * shortest).alias("prefix")
+    crowded = paths.groupBy("tree", shared).count().filter("count > 1").drop("count")
+    tries = paths.withColumn("prefix", shared).join(crowded, ["tree", "prefix"], "left_semi").drop("prefix")
+    tries = written(tries, "tries")
     named = docs.select(F.col(doc_id).alias("_id"), whole_text(text).alias("text"))
-    texts = named.join(needed, F.col("_id").eqNullSafe(F.col("_first")), "left_semi").select("text")
-    found = shingle_sets(texts, width).groupBy("rep").agg(F.first("found").alias("found"))
 
-    block = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int")
-    placed = members.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    placed = placed.select(
-        "rep", "tree", "prefix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        (F.col("block") > F.col("other")).alias("side"),
-    )
-    carried = found.join(sets.select("rep", "copies", "signature"), "rep")
-    checked = (
-        placed.join(carried, "rep").repartition("tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j", "rep")
-        .mapInArrow(lambda batches: block_links(batches, length, limit), "rep binary, links long, root binary")
-    )
-    checked = written(checked, "checked")
+    checked, found = None, {}
+    for level in range(depth, shortest - 1, -1):
+        links = written(level_links(tries, sets, named, level, trees, depth, width, limit), f"level-{level}")
+        checked = links if checked is None else checked.unionByName(links)
+        for r in links.filter("hundredth is not null").groupBy("hundredth").agg(F.sum("links").alias("n")).collect():  # at most 101 rows
+            found[r["hundredth"]] = found.get(r["hundredth"], 0) + r["n"]
+        if estimated_recall(found, level, threshold, trees) >= recall:
+            break
+    checked = checked.filter("hundredth is null")
 
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(checked.select(F.col("rep").alias("u"), F.col("root").alias("v")))
@@ -214,37 +261,98 @@ def join(
     )
 
 
-def block_links(batches: Iterator[pa.RecordBatch], length: int, threshold: Fraction) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by node and pair of blocks: verify each pair of blocks when its rows are complete."""
-    current, rows = None, []
+def level_links(
+    tries: DataFrame, sets: DataFrame, named: DataFrame, level: int, trees: int, depth: int, width: int, limit: Fraction,
+) -> DataFrame:
+    """What one level of the tries adds: rep, links and root per set of a block; hundredth and links for the similarities."""
+    at = tries.select("rep", "shingles", "tree", F.substring("path", 1, 4 * level).alias("prefix"))
+    nodes = at.groupBy("tree", "prefix").agg(
+        F.count("*").alias("rows"), F.sum("shingles").alias("held"),
+        F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"),
+    ).filter("rows > 1")
+    nodes = nodes.groupBy("rows", "x", "y").agg(F.min(F.struct("tree", "prefix", "held")).alias("node")).select("node.*", "rows")
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
+    members = at.join(nodes.select("tree", "prefix", blocks.alias("blocks")), ["tree", "prefix"]).select("rep", "tree", "prefix", "blocks")
+
+    block = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int")
+    placed = members.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    placed = placed.select(
+        "rep", "tree", "prefix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        (F.col("block") > F.col("other")).alias("side"),
+    )
+    key = ["tree", "prefix", "i", "j"]
+    dealt = placed.join(sets.select("rep", "signature"), "rep").repartition(*key).sortWithinPartitions(*key, "rep")
+    kinds = "rep binary, tree int, prefix binary, i int, j int, side boolean"
+    new = written(dealt.mapInArrow(lambda batches: block_fresh(batches, trees, depth, level), kinds), "fresh")
+
+    needed = sets.join(new.select("rep").distinct(), "rep", "left_semi").select(F.col("first_id").alias("_first"))
+    texts = named.join(needed, F.col("_id").eqNullSafe(F.col("_first")), "left_semi").select("text")
+    held = shingle_sets(texts, width).groupBy("rep").agg(F.first("found").alias("found"))
+    carried = held.join(sets.select("rep", "copies", "signature"), "rep")
+    return (
+        new.join(carried, "rep").repartition(*key).sortWithinPartitions(*key, "rep")
+        .mapInArrow(lambda batches: block_links(batches, trees, depth, level, limit), "rep binary, links long, root binary, hundredth int")
+    )
 
-    def close() -> pa.RecordBatch | None:
-        if len(rows) < 2:
-            return None
-        reps = [r[0] for r in rows]
-        sets = [np.frombuffer(r[1], np.uint64) for r in rows]
-        tree = current[0]
-        if tree:
-            signatures = np.frombuffer(b"".join(r[2][: 4 * length * tree] for r in rows), f"S{4 * length}").reshape(len(rows), tree)
-            prefixes = np.stack([np.unique(signatures[:, t], return_inverse=True)[1] for t in range(tree)], axis=1)
-        else:
-            prefixes = np.zeros((len(rows), 0), int)
-        side = np.array([r[4] for r in rows])
-        links, roots = verified(sets, prefixes, side if current[2] != current[3] else None, np.array([r[3] for r in rows]), threshold)
-        kept = np.flatnonzero(links)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([reps[k] for k in kept], pa.binary()), pa.array(links[kept], pa.int64()), pa.array([reps[roots[k]] for k in kept], pa.binary())],
-            names=["rep", "links", "root"],
-        )
 
+def by_block(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows sorted by node and pair of blocks: (tree, prefix, i, j) with the rows of each, once they are complete."""
+    current, rows = None, []
     for batch in batches:
         keys = zip(*(batch.column(c).to_pylist() for c in ("tree", "prefix", "i", "j")), strict=True)
-        values = zip(*(batch.column(c).to_pylist() for c in ("rep", "found", "signature", "copies", "side")), strict=True)
+        values = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
         for key, value in zip(keys, values, strict=True):
             if key != current:
-                if (done := close()) is not None and len(done):
-                    yield done
+                if len(rows) > 1:
+                    yield current, rows
                 current, rows = key, []
             rows.append(value)
-    if (done := close()) is not None and len(done):
-        yield done
+    if len(rows) > 1:
+        yield current, rows
+
+
+def stacked(signatures: list[bytes], trees: int, depth: int) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint32).reshape(len(signatures), trees, depth)
+
+
+def block_fresh(batches: Iterator[pa.RecordBatch], trees: int, depth: int, level: int) -> Iterator[pa.RecordBatch]:
+    """The members of each pair of blocks that have a pair not met before."""
+    names = ["rep", "tree", "prefix", "i", "j", "side"]
+    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
+    out: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    for (tree, prefix, i, j), rows in by_block(batches, ("rep", "signature", "side")):
+        side = np.array([r[2] for r in rows]) if i != j else None
+        for k in fresh(stacked([r[1] for r in rows], trees, depth), tree, level, side):
+            out.append((rows[k][0], tree, prefix, i, j, rows[k][2]))
+        if len(out) >= 4096:
+            yield batch()
+            out = []
+    if out:
+        yield batch()
+
+
+def block_links(batches: Iterator[pa.RecordBatch], trees: int, depth: int, level: int, threshold: Fraction) -> Iterator[pa.RecordBatch]:
+    """Links, roots and similarities of each pair of blocks."""
+    names, kinds = ["rep", "links", "root", "hundredth"], [pa.binary(), pa.int64(), pa.binary(), pa.int32()]
+    out: list[tuple] = []
+    total = np.zeros(101, np.int64)
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    for (tree, _, i, j), rows in by_block(batches, ("rep", "found", "signature", "copies", "side")):
+        sets = [np.frombuffer(r[1], np.uint64) for r in rows]
+        side = np.array([r[4] for r in rows]) if i != j else None
+        links, roots, hundredths = verified(sets, stacked([r[2] for r in rows], trees, depth), side, np.array([r[3] for r in rows]), threshold, tree, level)
+        total += np.bincount(hundredths, minlength=101)
+        out.extend((rows[k][0], int(links[k]), rows[roots[k]][0], None) for k in np.flatnonzero(links))
+        if len(out) >= 4096:
+            yield batch()
+            out = []
+    out.extend((None, int(total[h]), None, int(h)) for h in np.flatnonzero(total))
+    if out:
+        yield batch()

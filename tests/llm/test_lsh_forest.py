@@ -128,3 +128,64 @@ def test_repeated_rows_null_ids_and_no_rows(documents, rows, prose):
     found = lsh_forest.join(documents([text, text, text, None], ids=[3, 3, None, None]))
     assert rows(found, "doc_id", "class_id", "links") == sorted([(3, 3, 2), (3, 3, 2), (None, 3, 2), (None, None, 0)], key=repr)
     assert rows(lsh_forest.join(documents([]))) == [] and Counter(rows(lsh_forest.join(documents([""])), "class_id", "links")) == {(0, 0): 1}
+
+
+def test_estimated_recall_counts_what_links_stand_for():
+    assert lsh_forest.estimated_recall({}, 6, "0.8") == pytest.approx(lsh_forest.meeting(0.8, 6))
+    few, many = lsh_forest.estimated_recall({99: 10}, 6, "0.8"), lsh_forest.estimated_recall({99: 10_000}, 6, "0.8")
+    assert lsh_forest.meeting(0.8, 6) < few < lsh_forest.RECALL < many <= 1
+    low = lsh_forest.estimated_recall({80: 10_000}, 6, "0.8")
+    assert low == pytest.approx(lsh_forest.meeting(0.8, 6)) and lsh_forest.estimated_recall({80: 10_000}, 4, "0.8") >= lsh_forest.RECALL
+
+
+@pytest.mark.parametrize(("edits", "expected"), [(0, [6]), (11, [6, 5, 4])])
+def test_prefixes_are_shortened_as_far_as_the_links_found_ask(documents, rows, prose, monkeypatch, edits, expected):
+    """Links of very similar sets prove the deepest level; links near the threshold ask for shorter prefixes."""
+    levels, level_links = [], lsh_forest.level_links
+
+    def noted(tries, sets, named, level, *rest):
+        levels.append(level)
+        return level_links(tries, sets, named, level, *rest)
+
+    monkeypatch.setattr(lsh_forest, "level_links", noted)
+    texts = []
+    for k in range(6):
+        words = prose(600, k).split()
+        for n in range(12):
+            new = list(words)
+            for e in range(edits):
+                new[n + 50 * e] = f"edit{n}"
+            texts.append(" ".join([*new, f"end{n}"]))
+    assert rows(lsh_forest.join(documents(texts)), "doc_id", "class_id", "links", "shingles") == brute(texts)
+    assert levels == expected
+
+
+def test_a_level_keeps_only_pairs_that_did_not_meet_before():
+    rng = np.random.default_rng(7)
+    for n in (2, 5, 40):
+        signatures = rng.integers(0, 2, (n, 3, 4)).astype(np.uint32)
+        for tree in range(3):
+            for level in range(1, 5):
+                side = rng.integers(0, 2, n).astype(bool)
+                for sides in (None, side):
+                    pairs = [(a, b) for a in range(n) for b in range(a + 1, n) if sides is None or side[a] != side[b]]
+                    common = [[next((k for k in range(4) if signatures[a, t, k] != signatures[b, t, k]), 4) for t in range(3)] for a, b in pairs]
+                    new = [max(c) <= level and max(c[:tree], default=0) < level for c in common]
+                    left, right = np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
+                    assert (~lsh_forest.known(signatures, left, right, tree, level)).tolist() == new
+                    assert lsh_forest.fresh(signatures, tree, level, sides).tolist() == sorted({x for p, keep in zip(pairs, new, strict=True) if keep for x in p})
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9, 0.95])
+def test_recall_at_several_similarities(documents, similarity):
+    """200 pairs each a little above a similarity: at least 0.9 of them are linked (in fact about all)."""
+    rng = random.Random(int(similarity * 100))
+    texts = []
+    for k in range(200):
+        words = [f"w{k}x{rng.randrange(10**6)}" for _ in range(rng.randint(100, 400))]
+        n = len(words) - 4
+        edited = max(0, int((1 - similarity) * n / (1 + similarity)))  # of n shingles, so many are new in the edited text
+        texts += [" ".join(words), " ".join([*words[: len(words) - edited], *(f"e{k}x{j}" for j in range(edited))])]
+    found = lsh_forest.join(documents(texts)).collect()
+    linked = sum(r["links"] for r in found) // 2
+    assert linked == sum(links for _, _, links, _ in brute(texts)) // 2 or linked >= 0.99 * 200

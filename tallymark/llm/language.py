@@ -22,6 +22,8 @@ from tallymark.llm.shingles import pieces, utf8
 #: Different labelled texts that the machines are fitted on, over all languages together.
 SAMPLE = 2400
 FEATURES = 4096
+#: Bytes of a text whose n-grams are counted at a time.
+SLICE = 1 << 18
 UNKNOWN = "und"
 
 # Families of common languages by code. A language without an entry is a family of its own.
@@ -47,15 +49,19 @@ _FOLD[65:91] = np.arange(97, 123)
 
 def features(data: np.ndarray) -> np.ndarray:
     """Counts of a text's byte n-grams of one to three bytes, damped and of unit length."""
-    x = _FOLD[np.concatenate([[32], data, [32]])]
-    counts = np.zeros(FEATURES, np.float32)
-    code = x.copy()
-    for n in range(3):
-        if n:
-            code = code[:-1] * np.uint32(257) + x[n:]
-        hashed = ((code + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(20)
-        counts += np.bincount(hashed, minlength=FEATURES)
-    counts = np.sqrt(counts)
+    counts = np.zeros(FEATURES, np.int64)
+    size = len(data) + 2
+    # a slice at a time, with the two bytes after it that its n-grams reach into
+    for start in range(0, size, SLICE):
+        part = data[max(0, start - 1) : start + SLICE + 1].astype(np.uint8)
+        x = _FOLD[np.concatenate([[32] if not start else [], part, [32] if start + SLICE + 2 >= size else []]).astype(np.uint8)]
+        code = x
+        for n in range(3):
+            if n:
+                code = code[:-1] * np.uint32(257) + x[n:]
+            hashed = ((code[:SLICE] + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(20)
+            counts += np.bincount(hashed, minlength=FEATURES)
+    counts = np.sqrt(counts.astype(np.float32))
     return counts / np.linalg.norm(counts)
 
 
@@ -182,7 +188,7 @@ def predicted(docs: DataFrame, fit: Discriminator, doc_id: str = "doc_id", text:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("_text"))
+            data, offsets = utf8(batch.column(read))
             lettered = batch.column("_lettered").to_pylist()
             codes, scores = [], []
             for start, end in pieces(offsets):
@@ -195,6 +201,8 @@ def predicted(docs: DataFrame, fit: Discriminator, doc_id: str = "doc_id", text:
 
     whole = whole_text(text)
     names = ["doc_id", *keep]
-    df = docs.select(F.col(doc_id).alias("doc_id"), *keep, whole.alias("_text"), whole.rlike(r"\p{L}").alias("_lettered"))
+    # a text that is kept goes to the workers once
+    read = text if text in keep and dict(docs.dtypes)[text] == "string" else "_text"
+    df = docs.select(F.col(doc_id).alias("doc_id"), *keep, *([whole.alias("_text")] if read == "_text" else []), whole.rlike(r"\p{L}").alias("_lettered"))
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
     return df.mapInArrow(predict, f"{kinds}, lang_pred string, score double")

@@ -38,11 +38,12 @@ _NAME = (
     "ads? adverts? advertisements? advertising banners? sponsor(?:ed)? promos? cookies? consent gdpr notices? alerts? popups? modal overlay"
     " nav navbar navigation menus? breadcrumbs? sidebars? footers? toolbar share sharing social related recommended newsletter subscribe"
     " comments? disqus replies respond login search pagination pager complementary contentinfo skip"
+    " (?:more|other|latest|popular|trending)[_-](?:stories|articles|news|posts|reading)"
 ).replace(" ", "|")
-_BEFORE = "site|page|main|top|bottom|left|right|global|primary|secondary|mobile|desktop|post|entry|article|google|user|web"
+_BEFORE = "site|page|main|top|bottom|left|right|global|primary|secondary|mobile|desktop|post|entry|article|google|user|web|readers?|visitors?|blog|inline|sticky"
 _AFTER = (
     "areas?|bars?|blocks?|box(?:es)?|buttons?|containers?|content|forms?|icons?|inner|items?|links?|lists?|media|messages?|module|panel|articles?|posts?"
-    "|sections?|signup|slots?|stories|thread|units?|widgets?|wrap|wrapper|primary|secondary|main|top|bottom|mobile|desktop"
+    "|sections?|signup|slots?|stories|thread|units?|widgets?|wrap|wrapper|primary|secondary|main|left|right|top|bottom|mobile|desktop"
 )
 MARKS = re.compile(rf"(?:(?:{_BEFORE})[_-])*(?:{_NAME})(?:[_-](?:{_NAME}|{_AFTER}))*(?:[_-]?\d+(?:x\d+)?)?", re.I)
 #: The same for the top of a site; a header in an article is its own.
@@ -150,13 +151,16 @@ def lines(page: str) -> tuple[list[str], list[bool], bool, list[int], list[int],
             if was and not skip and k == was - 1:
                 continue  # the end of the part itself
         if skip:
-            # a part that is left out does not hold the article; an unclosed menu ends where it begins. Articles in an article are comments
-            if not (article and opens and (not depth or name == "main" or not named)):
+            # a part that is left out does not hold the article; an unclosed menu ends where it begins. Once an article was named, those in such parts are others
+            if not (article and opens and (name == "main" or not named)):
                 if opens and not empty and (name in TRACKED or name == open_[skip - 1]):
                     begin(name)
                 continue
             skip = 0
-        leaves = opens and not empty and not article and (name in APART and not (name == "header" and depth) or _marked(name, m["rest"], depth > 0))
+        # an article in an article is a comment on it
+        nested = name == "article" and count["article"] > 0
+        apart = name in APART and not (name == "header" and depth) or _marked(name, m["rest"], depth > 0)
+        leaves = opens and not empty and (nested or not article and apart)
         if leaves:
             # inside the article its own parts are lines of it
             end_line(gap=not depth)
@@ -182,7 +186,7 @@ def lines(page: str) -> tuple[list[str], list[bool], bool, list[int], list[int],
 
 def _marked(name: str, attributes: str, inside: bool) -> bool:
     """Whether the names of an element say that it is no article text."""
-    if not attributes or name in ("html", "body", "p") or name == "header" and inside:
+    if not attributes or name in ("html", "body") or name == "header" and inside:
         return False
     words = [w for a, b, c in _NAMED.findall(attributes) for w in (a or b or c).split()]
     return any(MARKS.fullmatch(w) or not inside and TOPS.fullmatch(w) for w in words)

@@ -75,3 +75,41 @@ def test_marks_leave_the_article(page, text):
 )
 def test_low_ranges_of_the_same_text_stay(page, text):
     assert H.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="sidebar-right"><p>{LONG}</p></div><article><p>x</p></article>', "x"),
+        (f'<article><p>x</p><div class="sidebar-left"><p>{LONG}</p></div><p>y</p></article>', "x y"),
+        (f'<body><div><p>{LONG}</p></div><div class="sidebar-right"><p>no {LONG}</p></div>', LONG),
+    ],
+)
+def test_sidebars_are_left_out(page, text):
+    assert H.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<article><p>x</p></article><div class="reader-comments"><p>{LONG}</p><article><p>{LONG}</p></article></div>', "x"),
+        (f'<article><p>x</p><article><p>{LONG}</p></article><p>y</p></article>', "x y"),
+        (f'<article><p>x</p><article><p>{LONG}</p><article><p>answer</p></article></article><article><p>no</p></article></article><p>no</p>', "x"),
+        (f'<main><article><p>x</p></article></main><section class="more-stories"><article><p>{LONG}</p></article></section>', "x"),
+        (f'<article><p>x</p></article><section class="more-stories"><h2>More</h2><article><p>{LONG}</p></article><article>no</article></section>', "x"),
+    ],
+)
+def test_reader_comments_and_other_stories_are_left_out(page, text):
+    assert H.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>x</p><p class="ad">no</p><p>y</p></article>', "x y"),
+        ('<article><p>x<p class="ad">no<p>y</article>', "x y"),
+        (f'<body><div><p>{LONG}</p><p class="advert">no</p><p>y</p></div>', f"{LONG} y"),
+    ],
+)
+def test_adverts_in_paragraphs_are_left_out(page, text):
+    assert H.main_text(page) == text

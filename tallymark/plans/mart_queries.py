@@ -41,17 +41,20 @@ RATES_SQL = "\nunion all select geo, substance, series, year, 'rates', round_eve
 
 
 def _counts(spark: SparkSession, d: str, *keys: Column) -> DataFrame:
-    """Line items per region, year, substance and the given keys; facts are reduced before each join."""
+    """Line items per region, year, substance and the given keys.
+
+    Line items are nearly unique in part and supplier, so they are not counted before the joins: they stream past hashed
+    parts, and a task holds its share of the parts, never of the line items."""
     lines = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", standins.year("l_shipdate"), "l_linestatus", "l_returnflag")
-    facts = M.tally(lines, ["l_partkey", "l_suppkey", "year", "l_linestatus", "l_returnflag"])
-    parts = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("category"))
-    typed = M.tally(facts.join(parts, facts.l_partkey == parts.p_partkey), ["l_suppkey", "year", "category", "l_linestatus", "l_returnflag"], "n")
     suppliers = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    nations = standins.nation_names(spark, d)
-    placed = typed.join(suppliers, typed.l_suppkey == suppliers.s_suppkey)
-    named = placed.join(nations, placed.s_nationkey == nations.n_nationkey)
+    placed = lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey).drop("l_suppkey", "s_suppkey")
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("category"))
+    typed = placed.join(parts.hint("shuffle_hash"), placed.l_partkey == parts.p_partkey)
     substance = F.when(F.col("l_linestatus") == "F", "Opioids").otherwise("Stimulants").alias("substance")
-    return M.tally(named, ["geo", "year", substance, *keys], "n")
+    counted = M.tally(typed, ["s_nationkey", "year", substance, *keys])
+    nations = standins.nation_names(spark, d)
+    named = counted.join(nations, counted.s_nationkey == nations.n_nationkey)
+    return M.tally(named, [c for c in ("geo", *counted.columns) if c not in ("s_nationkey", "n")], "n")
 
 
 def _landed(spark: SparkSession, d: str, series: Column, measures: dict[str, str], crude: bool = False) -> DataFrame:

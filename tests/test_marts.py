@@ -227,3 +227,35 @@ def test_regions(samples, rows):
 def test_supply_series(samples):
     long = S.supply_series(S.supply_by_category(samples, R.year_axis(2023, 2024)), "supply", "bc", "category")
     assert long.filter("metric = 'percentages' and year = 2023 and series = 'Stimulant'").first().value == 100.0
+
+
+def test_line_items_are_not_held_before_the_joins(spark, rows, tmp_path):
+    """Line items are nearly unique in part and supplier: they are neither counted nor sorted by them, whatever is broadcast."""
+    from datetime import date
+
+    from tallymark.plans.mart_queries import _counts
+
+    items = [(p, s, date(2020 + p % 2, 1, 1), f, r) for p in (1, 2, 2, 3, 9, None) for s, f, r in ((1, "F", "R"), (2, "O", "A"), (7, "F", "N"), (None, "F", "N"))]
+    tables = {
+        "lineitem": (items, "l_partkey bigint, l_suppkey bigint, l_shipdate date, l_linestatus string, l_returnflag string"),
+        "part": ([(1, "x"), (2, "y"), (2, "z"), (3, None)], "p_partkey bigint, p_type string"),
+        "supplier": ([(1, 0), (2, 1), (2, 1), (3, 0)], "s_suppkey bigint, s_nationkey int"),
+        "nation": ([(0, "A"), (1, "B")], "n_nationkey int, n_name string"),
+    }
+    for name, (found, ddl) in tables.items():
+        spark.createDataFrame(found, ddl).write.parquet(str(tmp_path / f"{name}.parquet"))
+    expected = {}
+    for part, supplier, day, status, _ in items:
+        for nation in [n for k, n in tables["supplier"][0] if k == supplier]:
+            for category in [c for k, c in tables["part"][0] if k == part]:
+                key = ("AB"[nation], day.year, "Opioids" if status == "F" else "Stimulants", category)
+                expected[key] = expected.get(key, 0) + 1
+    for threshold in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            found = _counts(spark, str(tmp_path), F.col("category").alias("series"))
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "keys=[l_partkey" not in plan and "keys=[l_suppkey" not in plan and "Sort [l_partkey" not in plan
+            assert rows(found, "geo", "year", "substance", "series", "n") == sorted(((*k, n) for k, n in expected.items()), key=repr)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -37,3 +37,13 @@ def test_titles_and_counts(spark, rows):
     found = rows(T.term_counts(df, ["k"], terms, "title"), "k", "term", "n", "total", "percent")
     assert found == sorted([("g", "Deaths", 2, 2, 100.0), ("g", "age", 2, 2, 100.0), (None, "Deaths", 1, 1, 100.0)], key=repr)
     assert T.contained_terms(df.limit(0), terms, "title").isEmpty() and T.contained_terms(df, terms.limit(0), "title").isEmpty()
+
+
+def test_a_text_is_not_moved_once_per_term(spark):
+    """Texts go by a digest where only their terms are asked for, and the grams of texts meet a few terms without a shuffle."""
+    df = spark.createDataFrame([(k, f"alpha beta gamma {k}") for k in range(5)], "k int, text string")
+    terms = spark.createDataFrame([("alpha",), ("beta",), ("gamma",)], "term string")
+    for found in (T.term_counts(df, ["k"], terms, "text"), T.titled(df, terms, "text")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(text#" not in plan and "hashpartitioning(gram#" not in plan
+    assert {(r["k"], r["term"], r["n"]) for r in T.term_counts(df, ["k"], terms, "text").collect()} == {(k, t, 1) for k in range(5) for t in ("alpha", "beta", "gamma")}

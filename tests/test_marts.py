@@ -235,7 +235,7 @@ def test_line_items_are_not_held_before_the_joins(spark, rows, tmp_path):
 
     from tallymark.plans.mart_queries import _counts
 
-    items = [(p, s, date(2020 + p % 2, 1, 1), f, r) for p in (1, 2, 2, 3, 9, None) for s, f, r in ((1, "F", "R"), (2, "O", "A"), (7, "F", "N"), (None, "F", "N"))]
+    items = [(p, s, date(2020 + (p or 0) % 2, 1, 1), f, r) for p in (1, 2, 2, 3, 9, None) for s, f, r in ((1, "F", "R"), (2, "O", "A"), (7, "F", "N"), (None, "F", "N"))]
     tables = {
         "lineitem": (items, "l_partkey bigint, l_suppkey bigint, l_shipdate date, l_linestatus string, l_returnflag string"),
         "part": ([(1, "x"), (2, "y"), (2, "z"), (3, None)], "p_partkey bigint, p_type string"),

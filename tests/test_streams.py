@@ -88,3 +88,39 @@ def test_records_are_forgotten_after_their_time(feed):
     feed.land(46, [ROWS[0], ROWS[3]])
     feed.run(forgotten="30 days")
     assert feed.stored() == times([ROWS[0], ROWS[3]], 2, 1)
+
+
+def test_records_of_a_share_go_together(feed):
+    """Records that share an entry of the state are counted and forgotten one by one."""
+    feed.land(1, [ROWS[0], ROWS[0], ROWS[2], ROWS[3]])
+    feed.run(forgotten="30 days", shares=1)
+    feed.land(20, [ROWS[3], ROWS[3], ROWS[2]])
+    feed.run(forgotten="30 days", shares=1)
+    assert feed.stored() == times(plain(ROWS)[:3], 2, 1, 2)
+    feed.land(45, [ROWS[3]])
+    feed.run(forgotten="30 days", shares=1)
+    feed.land(46, [ROWS[0], ROWS[2], ROWS[3]])
+    feed.run(forgotten="30 days", shares=1)
+    assert feed.stored() == times(plain(ROWS)[:3], 3, 1, 2)
+
+
+def test_one_call_for_all_records_of_a_share():
+    import pandas as pd
+
+    class State:
+        exists, kept = False, None
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+    state = State()
+    part = pd.DataFrame({"record": ["a", "b", "a"], "ms": [5, 7, 9], "n": [2, 1, 3]})
+    out = list(counted.surplus((0,), iter([part]), state))
+    assert [tuple(sorted(zip(x["record"], x["copies"], strict=True))) for x in out] == [(("a", 3), ("b", 1))] and state.at == 8
+    assert list(counted.surplus((0,), iter([part.head(1)]), state))[0].to_numpy().tolist() == [["a", 1]]

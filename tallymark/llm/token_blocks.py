@@ -178,25 +178,38 @@ class Encoder:
         coded = cut.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         young, old = self.young, self.old
-        found = {w: young.get(w) or old.get(w) for w in words}
+        known = list(map(young.get, words))
+        # most are young: only the others are looked up, encoded and kept
+        others = {words[k]: k for k, ids in enumerate(known) if ids is None}
+        found = {w: old.get(w) for w in others}
         found.update(self._pieces([w for w, ids in found.items() if ids is None]))
+        for w, k in others.items():
+            known[k] = found[w]
         young.update((w, ids) for w, ids in found.items() if len(w) <= KEPT_LENGTH)
         if len(young) > KEPT // 2:
             self.young, self.old = {}, young
 
         # lay the pieces' ids out in the order of their occurrences
-        known = [found[w] for w in words]
-        sizes = np.array([len(ids) // 4 for ids in known], np.int64)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         flat = np.frombuffer(b"".join(known), np.uint32)
-        at = coded.indices.to_numpy()
-        lengths = sizes[at]
-        stops = np.cumsum(lengths)
-        shift = (np.cumsum(sizes) - sizes)[at] - (stops - lengths)
-        laid = flat[np.repeat(shift, lengths) + np.arange(stops[-1] if len(stops) else 0)]
+        places, stops = positions(sizes, coded.indices.to_numpy())
+        laid = flat[places]
         stops = np.concatenate([[0], stops])[ends]
         parts = iter(np.split(laid, stops[:-1])) if len(stops) else iter(())
-        others = iter(self._library(texts.filter(whole).to_pylist()))
-        return [np.frombuffer(next(others), np.uint32) if w else next(parts) for w in whole.to_pylist()]
+        uncut = iter(self._library(texts.filter(whole).to_pylist()))
+        return [np.frombuffer(next(uncut), np.uint32) if w else next(parts) for w in whole.to_pylist()]
+
+
+def positions(sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of these sizes lie one after another: the places of the elements of those at ``at``, and where each of them ends.
+    Places are 32-bit numbers unless there are too many: they are the largest arrays of an encoder, and half as wide are faster."""
+    most = max(int(sizes.sum()), int(sizes @ np.bincount(at, minlength=len(sizes))))
+    kind = np.int32 if most < 1 << 31 else np.int64
+    sizes = sizes.astype(kind)
+    lengths = sizes[at]
+    stops = np.cumsum(lengths, dtype=kind)
+    shift = (np.cumsum(sizes, dtype=kind) - sizes)[at] - (stops - lengths)
+    return np.repeat(shift, lengths) + np.arange(stops[-1] if len(stops) else 0, dtype=kind), stops
 
 
 def _whole(texts: pa.Array) -> tuple[pa.Array, pa.Array]:

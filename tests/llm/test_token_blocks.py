@@ -67,3 +67,22 @@ def test_files_hold_all_documents_in_order(documents, rows, clashing, monkeypatc
     assert sum(map(len, read.values())) == at and all(x[-1] == 2 for x in read.values())
     assert rows(T.checked(T.write(documents([]), PATH))) == []
     assert rows(T.checked(T.write(documents(["a"], ids=[None]), PATH)), "doc_id", "start") == [(None, 0)]
+
+
+def test_places_are_narrow_unless_there_are_too_many():
+    sizes, at = np.array([2, 0, 3]), np.array([2, 0, 1, 2], np.int32)
+    places, stops = T.positions(sizes, at)
+    assert places.dtype == np.int32 and places.tolist() == [2, 3, 4, 0, 1, 2, 3, 4] and stops.tolist() == [3, 5, 5, 8]
+    assert [x.tolist() for x in T.positions(np.zeros(0, np.int64), np.zeros(0, np.int32))] == [[], []]
+
+
+def test_only_pieces_that_are_not_known_are_kept_anew():
+    use, text = T.Encoder(PATH), pa.array(["some plain words, and more."])
+    first = use.encode_all(text)[0].tolist()
+
+    class Kept(dict):
+        def update(self, items):
+            assert not list(items)
+
+    use.young = Kept(use.young)
+    assert use.encode_all(text)[0].tolist() == first == library("some plain words, and more.")

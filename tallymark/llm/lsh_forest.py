@@ -15,6 +15,8 @@ with the target recall, matching ends in any case.
   keeps the members that have a pair not met before; only those get their shingles. A second one compares them by
   a matrix product over shingles, checks the similarity exactly, and returns sums per row and one link to a root per
   row, never pairs.
+* Nodes of several blocks that share members, as those of one group of near copies in every tree do, are one clump if
+  that deals fewer rows: its sets are dealt once, not once per tree, and a pair of it counts if it meets in any tree.
 * Classes are the connected components of those links.
 """
 
@@ -25,7 +27,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.components import components
@@ -135,42 +137,60 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def known(signatures: np.ndarray, left: np.ndarray, right: np.ndarray, tree: int, level: int) -> np.ndarray:
+def known(signatures: np.ndarray, left: np.ndarray, right: np.ndarray, tree: int, level: int, clump: np.ndarray | None = None) -> np.ndarray:
     """Whether each pair of rows, which share a prefix of this level in this tree, met before: at a deeper level in any tree, or
-    at this one in an earlier tree. signatures: rows by trees by depth."""
+    at this one in an earlier tree or within a clump. signatures: rows by trees by depth; clump: a number per row, -1 if it is
+    in none. The tree after the last stands for a clump: its pairs count as known if they do not meet at this level at all."""
     out = np.zeros(len(left), bool)
+    trees, depth = signatures.shape[1:]
     for start in range(0, len(left), 1 << 15):
         one, other = left[start : start + (1 << 15)], right[start : start + (1 << 15)]
         same = signatures[one] == signatures[other]
         met = same[:, :tree, :level].all(axis=2).any(axis=1)
-        if level < signatures.shape[2]:
+        if tree == trees:
+            met = ~met
+        elif clump is not None:
+            met |= (clump[one] == clump[other]) & (clump[one] >= 0)
+        if level < depth:
             met |= same[:, :, : level + 1].all(axis=2).any(axis=1)
         out[start : start + (1 << 15)] = met
     return out
 
 
-def fresh(signatures: np.ndarray, tree: int, level: int, side: np.ndarray | None) -> np.ndarray:
+def fresh(signatures: np.ndarray, tree: int, level: int, side: np.ndarray | None, clump: np.ndarray | None = None) -> np.ndarray:
     """The rows of a block, or of two blocks if side tells them apart, that are in a pair which did not meet before."""
-    n = len(signatures)
+    n, trees, depth = signatures.shape
     if n <= 16:
         left, right = np.triu_indices(n, 1)
         if side is not None:
             crossing = side[left] != side[right]
             left, right = left[crossing], right[crossing]
-        new = ~known(signatures, left, right, tree, level)
+        new = ~known(signatures, left, right, tree, level, clump)
         return np.unique(np.concatenate([left[new], right[new]]))
     new = ~np.eye(n, dtype=bool) if side is None else side[:, None] != side[None, :]
-    for t in range(signatures.shape[1]):
-        length = level if t < tree else level + 1
-        if length <= signatures.shape[2]:
-            names = np.ascontiguousarray(signatures[:, t, :length]).view(f"V{4 * length}").ravel()
-            code = np.unique(names, return_inverse=True)[1]
-            new &= code[:, None] != code[None, :]
+
+    def together(t: int, length: int) -> np.ndarray:
+        names = np.ascontiguousarray(signatures[:, t, :length]).view(f"V{4 * length}").ravel()
+        code = np.unique(names, return_inverse=True)[1]
+        return code[:, None] == code[None, :]
+
+    if tree == trees:
+        meet = np.zeros((n, n), bool)
+        for t in range(trees):
+            meet |= together(t, level)
+        new &= meet
+    elif clump is not None:
+        new &= (clump[:, None] != clump[None, :]) | (clump < 0)[:, None]
+    for t in range(trees):
+        length = level if t < tree < trees else level + 1
+        if length <= depth:
+            new &= ~together(t, length)
     return np.flatnonzero(new.any(axis=1))
 
 
 def verified(
     sets: list[np.ndarray], signatures: np.ndarray, side: np.ndarray | None, copies: np.ndarray, threshold: Fraction, tree: int, level: int,
+    clump: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weighted links and the smallest linked row for each row of a block, or of two blocks if side tells them apart,
     and the similarity of each link in hundredths, rounded down. Pairs that met before are left out."""
@@ -186,7 +206,7 @@ def verified(
     if side is not None:
         crossing = side[left] != side[right]
         left, right = left[crossing], right[crossing]
-    new = ~known(signatures, left, right, tree, level)
+    new = ~known(signatures, left, right, tree, level, clump)
     left, right = left[new], right[new]
     shared = common[left, right].astype(np.int64)
     hundredths = shared * 100 // (sizes[left] + sizes[right] - shared)
@@ -271,18 +291,28 @@ def level_links(
         F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"),
     ).filter("rows > 1")
     nodes = nodes.groupBy("rows", "x", "y").agg(F.min(F.struct("tree", "prefix", "held")).alias("node")).select("node.*", "rows")
-    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
-    members = at.join(nodes.select("tree", "prefix", blocks.alias("blocks")), ["tree", "prefix"]).select("rep", "tree", "prefix", "blocks")
+    nodes = written(nodes.withColumn("blocks", blocks_of("rows", "held")), "nodes")
+    members = at.join(nodes.select("tree", "prefix", "blocks"), ["tree", "prefix"])
+    clumped = clumps(members, nodes, trees)
+    if clumped is None:
+        signed = sets.select("rep", "signature", F.lit(None).cast("binary").alias("clump"))
+        members = members.select("rep", "tree", "prefix", "blocks")
+    else:
+        signed = sets.select("rep", "signature").join(clumped.select("rep", "clump"), "rep", "left")
+        # a large node of a clump is dealt with the clump, and not once more by itself
+        alone = members.join(clumped.select("rep", "clump"), "rep", "left").filter("blocks = 1 or clump is null")
+        members = alone.select("rep", "tree", "prefix", "blocks").unionByName(
+            clumped.select("rep", F.lit(trees).alias("tree"), F.col("clump").alias("prefix"), "blocks")
+        )
 
     block = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int")
-    placed = members.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    placed = placed.select(
-        "rep", "tree", "prefix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        (F.col("block") > F.col("other")).alias("side"),
-    )
+    placed = members.join(signed, "rep").withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     key = ["tree", "prefix", "i", "j"]
-    dealt = placed.join(sets.select("rep", "signature"), "rep").repartition(*key).sortWithinPartitions(*key, "rep")
-    kinds = "rep binary, tree int, prefix binary, i int, j int, side boolean"
+    dealt = placed.select(
+        "rep", "signature", "clump", "tree", "prefix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        (F.col("block") > F.col("other")).alias("side"),
+    ).repartition(*key).sortWithinPartitions(*key, "rep")
+    kinds = "rep binary, tree int, prefix binary, i int, j int, side boolean, clump binary"
     new = written(dealt.mapInArrow(lambda batches: block_fresh(batches, trees, depth, level), kinds), "fresh")
 
     needed = sets.join(new.select("rep").distinct(), "rep", "left_semi").select(F.col("first_id").alias("_first"))
@@ -295,6 +325,30 @@ def level_links(
     )
 
 
+def blocks_of(rows: str, held: str) -> Column:
+    return F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(held) / BLOCK_SHINGLES)).cast("int")
+
+
+def clumps(members: DataFrame, nodes: DataFrame, trees: int) -> DataFrame | None:
+    """(rep, clump, blocks) of the sets in nodes of several blocks that are dealt as clumps: the nodes that share members,
+    directly or by others, unless dealing them one by one moves fewer rows. None if no node has several blocks."""
+    large = nodes.filter("blocks > 1")
+    if large.isEmpty():
+        return None
+    node = F.concat(F.encode(F.lpad(F.col("tree").cast("string"), 6, "0"), "utf-8"), F.col("prefix"))
+    held = members.filter("blocks > 1").groupBy("rep").agg(F.first("shingles").alias("shingles"), F.collect_set(node).alias("nodes"))
+    held = held.select("rep", "shingles", F.array_min("nodes").alias("first"), "nodes")
+    links = held.select(F.col("first").alias("u"), F.explode("nodes").alias("v")).distinct()
+    roots = components(links)  # a row per node that shares members with another one
+    named = large.withColumn("node", node).join(roots, "node", "left").withColumn("clump", F.coalesce("root", "node"))
+    named = written(named.select("node", "clump", (F.col("rows") * F.col("blocks")).alias("dealt")), "clumps")
+    held = held.join(named.select(F.col("node").alias("first"), "clump"), "first").select("rep", "shingles", "clump")
+    sizes = held.groupBy("clump").agg(F.count("*").alias("rows"), F.sum("shingles").alias("shingles")).withColumn("blocks", blocks_of("rows", "shingles"))
+    alone = named.groupBy("clump").agg(F.sum("dealt").alias("dealt"))
+    fewer = sizes.join(alone, "clump").filter("rows * blocks <= dealt").select("clump", "blocks")
+    return written(held.select("rep", "clump").join(fewer, "clump"), "clumped")
+
+
 def by_block(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
     """Rows sorted by node and pair of blocks: (tree, prefix, i, j) with the rows of each, once they are complete."""
     current, rows = None, []
@@ -315,19 +369,27 @@ def stacked(signatures: list[bytes], trees: int, depth: int) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), np.uint32).reshape(len(signatures), trees, depth)
 
 
+def numbered(clumps: list[bytes | None]) -> np.ndarray | None:
+    """A number per clump, -1 for none; None if no row is in one."""
+    if not any(clumps):
+        return None
+    numbers = {c: n for n, c in enumerate(dict.fromkeys(c for c in clumps if c))}
+    return np.array([numbers[c] if c else -1 for c in clumps])
+
+
 def block_fresh(batches: Iterator[pa.RecordBatch], trees: int, depth: int, level: int) -> Iterator[pa.RecordBatch]:
     """The members of each pair of blocks that have a pair not met before."""
-    names = ["rep", "tree", "prefix", "i", "j", "side"]
-    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
+    names = ["rep", "tree", "prefix", "i", "j", "side", "clump"]
+    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
     out: list[tuple] = []
 
     def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    for (tree, prefix, i, j), rows in by_block(batches, ("rep", "signature", "side")):
+    for (tree, prefix, i, j), rows in by_block(batches, ("rep", "signature", "side", "clump")):
         side = np.array([r[2] for r in rows]) if i != j else None
-        for k in fresh(stacked([r[1] for r in rows], trees, depth), tree, level, side):
-            out.append((rows[k][0], tree, prefix, i, j, rows[k][2]))
+        for k in fresh(stacked([r[1] for r in rows], trees, depth), tree, level, side, numbered([r[3] for r in rows])):
+            out.append((rows[k][0], tree, prefix, i, j, rows[k][2], rows[k][3]))
         if len(out) >= 4096:
             yield batch()
             out = []
@@ -344,10 +406,12 @@ def block_links(batches: Iterator[pa.RecordBatch], trees: int, depth: int, level
     def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    for (tree, _, i, j), rows in by_block(batches, ("rep", "found", "signature", "copies", "side")):
+    for (tree, _, i, j), rows in by_block(batches, ("rep", "found", "signature", "copies", "side", "clump")):
         sets = [np.frombuffer(r[1], np.uint64) for r in rows]
         side = np.array([r[4] for r in rows]) if i != j else None
-        links, roots, hundredths = verified(sets, stacked([r[2] for r in rows], trees, depth), side, np.array([r[3] for r in rows]), threshold, tree, level)
+        links, roots, hundredths = verified(
+            sets, stacked([r[2] for r in rows], trees, depth), side, np.array([r[3] for r in rows]), threshold, tree, level, numbered([r[5] for r in rows])
+        )
         total += np.bincount(hundredths, minlength=101)
         out.extend((rows[k][0], int(links[k]), rows[roots[k]][0], None) for k in np.flatnonzero(links))
         if len(out) >= 4096:

@@ -189,3 +189,57 @@ def test_recall_at_several_similarities(documents, similarity):
     found = lsh_forest.join(documents(texts)).collect()
     linked = sum(r["links"] for r in found) // 2
     assert linked == sum(links for _, _, links, _ in brute(texts)) // 2 or linked >= 0.99 * 200
+
+
+def test_large_nodes_of_one_group_are_dealt_once_for_all_trees(documents, rows, prose, monkeypatch):
+    """Near copies share large nodes in every tree: their sets go to pairs of blocks once, not once per tree."""
+    monkeypatch.setattr(lsh_forest, "BLOCK_ROWS", 16)
+    written, dealt = lsh_forest.written, []
+
+    def noted(df, name):
+        out = written(df, name)
+        if name == "fresh":
+            dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(lsh_forest, "written", noted)
+    texts = []
+    for group in (3, 4):
+        words = prose(150, group).split()
+        texts += [" ".join(words[:k] + [f"edit{k}"] + words[k + 1 :]) for k in range(0, 150, 2)]
+        texts += [" ".join(words[:k] + [f"more{k}"] + words[k + 1 : -k]) for k in range(1, 30)]
+    texts += corpus(prose, 6, 5)
+    assert rows(lsh_forest.join(documents(texts)), "doc_id", "class_id", "links", "shingles") == brute(texts)
+    n, blocks = len(texts), -(-104 // 16) + 1
+    assert sum(dealt) <= 2 * n * blocks
+
+
+def test_a_clump_has_the_pairs_that_meet_in_any_tree():
+    rng = np.random.default_rng(8)
+    for n in (2, 5, 40):
+        signatures = rng.integers(0, 2, (n, 3, 4)).astype(np.uint32)
+        clump = rng.integers(-1, 2, n)
+        for level in range(1, 5):
+            for side in (None, rng.integers(0, 2, n).astype(bool)):
+                pairs = [(a, b) for a in range(n) for b in range(a + 1, n) if side is None or side[a] != side[b]]
+                left, right = np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
+                common = [[next((k for k in range(4) if signatures[a, t, k] != signatures[b, t, k]), 4) for t in range(3)] for a, b in pairs]
+                for tree in range(4):
+                    apart = [clump[a] < 0 or clump[a] != clump[b] for a, b in pairs]
+                    new = [max(c) == level for c in common] if tree == 3 else [max(c) <= level and max(c[:tree], default=0) < level and x for c, x in zip(common, apart, strict=True)]
+                    assert (~lsh_forest.known(signatures, left, right, tree, level, clump)).tolist() == new
+                    expected = sorted({x for p, keep in zip(pairs, new, strict=True) if keep for x in p})
+                    assert lsh_forest.fresh(signatures, tree, level, side, clump).tolist() == expected
+
+
+def test_nodes_that_share_few_sets_are_no_clump(spark, monkeypatch):
+    """Two nodes of the same sets are dealt together; nodes of a chain, which would be more blocks together, stay apart."""
+    monkeypatch.setattr(lsh_forest, "BLOCK_ROWS", 4)
+    sets = {(0, b"a"): range(8), (1, b"a"): range(1, 9), (0, b"b"): range(100, 108), (1, b"b"): range(107, 115), (2, b"b"): range(114, 122), (2, b"c"): range(200, 203)}
+    members = spark.createDataFrame(
+        [(f"{r:03}".encode(), 1, t, p, -(-len(m) // 4)) for (t, p), m in sets.items() for r in m], "rep binary, shingles int, tree int, prefix binary, blocks int"
+    )
+    nodes = members.groupBy("tree", "prefix").count().selectExpr("tree", "prefix", "count as rows", "cast(ceil(count / 4) as int) as blocks")
+    found = {bytes(r["rep"]): (bytes(r["clump"]), r["blocks"]) for r in lsh_forest.clumps(members, nodes, 3).collect()}
+    assert sorted(found) == [f"{r:03}".encode() for r in range(9)] and {b for _, b in found.values()} == {3} and len(set(found.values())) == 1
+    assert lsh_forest.clumps(members, nodes.filter("blocks = 1"), 3) is None

@@ -34,6 +34,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, MERGES = 1, 2
 #: Words of which a worker keeps the ids, and the longest such word.
 KEPT_WORDS, KEPT_LENGTH = 800_000, 48
+#: Places in which a worker notes which words it has met once.
+NOTED = 1 << 22
 #: Texts encoded together, and words searched side by side.
 PART, BESIDE = 2048, 32_768
 #: No piece ends so.
@@ -46,7 +48,7 @@ class Table:
     """64-bit keys to ids, looked up many at a time by open addressing."""
 
     def __init__(self, values: dict[int, int]):
-        self.bits = max(4, (8 * len(values)).bit_length())
+        self.bits = max(4, (4 * len(values)).bit_length())
         self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, MISSING, np.int32)
         keys, ids = np.array(list(values), np.uint64), np.array(list(values.values()), np.int32)
         at = self.places(keys)
@@ -89,9 +91,10 @@ class Pieces:
         self.cut_at_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.noted, self.n_noted = np.zeros(NOTED, bool), 0
         # for many words at once: which pairs of ids stay apart, and what pieces can end with, by its hash
         self.strings, self.sizes, self.apart = [p for p, _, _ in pieces], np.array([len(p) for p, _, _ in pieces]), {}
-        self.pairs_seen: dict[int, int] = {}
+        self.pairs_tabled = 0
         self.pair_table = Table({})
         self.powers = np.array([pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(self.longest)], np.uint64)
         self.suffixes = Table({self.hash(p): n for p, n in self.known.items()})
@@ -240,9 +243,19 @@ class Pieces:
                 self.words[w] = np.array(ids, np.int32).tobytes()
             else:
                 self.words[w] = raw[4 * a : 4 * b]
-        if len(self.apart) > 1.1 * len(self.pairs_seen):
-            self.pairs_seen = dict(self.apart)
-            self.pair_table = Table(self.pairs_seen)
+        if len(self.apart) > 1.1 * self.pairs_tabled:
+            self.pairs_tabled = len(self.apart)
+            self.pair_table = Table(self.apart)
+
+    def forget(self, words: list[str]) -> None:
+        """Of words met once in some texts, keep those met before: most others never come again."""
+        at = np.fromiter(map(hash, words), np.int64, len(words)) % len(self.noted)
+        for k in np.flatnonzero(~self.noted[at]).tolist():
+            del self.words[words[k]]
+        self.n_noted += len(words)
+        if self.n_noted > len(self.noted) // 2:  # start over before most words seem met
+            self.noted[:], self.n_noted = False, len(words)
+        self.noted[at] = True
 
     def staying(self, pairs: np.ndarray) -> np.ndarray:
         """Which pairs of ids, (left + 1) * number of pieces + right, stay apart."""
@@ -311,6 +324,8 @@ class Pieces:
         self.learn(short)
         for k in unknown:
             blobs[k] = words[names[k]] if len(names[k]) <= KEPT_LENGTH else self.encode_marked(SPACE + names[k]).tobytes()
+        often = np.bincount(np.asarray(found.indices), minlength=len(names)) > 1
+        self.forget([names[k] for k in unknown if len(names[k]) <= KEPT_LENGTH and not often[k]])
         size = np.array([len(b) >> 2 for b in blobs], np.int64)
         flat, starts = np.frombuffer(b"".join(blobs), np.int32), np.cumsum(size) - size
         at = np.asarray(found.indices)

@@ -65,6 +65,18 @@ def test_cache_starts_over_when_full(monkeypatch, prose):
             assert ids.tolist() == pieces.encode(text).tolist()
 
 
+def test_words_that_come_once_are_not_kept(monkeypatch):
+    """A worker's memory holds words that come again, not all that it has met; their ids are the same."""
+    monkeypatch.setattr(S, "NOTED", 1 << 14)
+    pieces = S.model.__wrapped__(PATH)
+    for k in range(20):
+        texts = [" ".join(["again", f"twice{k}", f"twice{k}", *(f"once{k}x{n}" for n in range(200))]), "next again"]
+        for text, ids in zip(texts, encode_all(pieces, texts), strict=True):
+            assert ids.tolist() == pieces.encode(text).tolist()
+    assert {"again", "twice0", "twice19", "next"} <= set(pieces.words) and len(pieces.words) < 1200
+    assert len(pieces.pair_table.keys) <= 8 * len(pieces.apart)
+
+
 def test_tables(documents, rows, clashing):
     docs = clashing(documents(TEXTS + [None, "same", "same"], ids=[*range(len(TEXTS)), None, 50, 50]))
     found = S.round_trip(docs, PATH)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm import exact_dedup, language, lsh_forest, mixing, sentencepieces
 from tallymark.llm.queries import tokenizer
-from tallymark.llm.shared import keyed, written
+from tallymark.llm.shared import keyed, small_batches, written
 
 #: Predictions below this are rejected: neither the family nor the language is told apart.
 LEAST_SCORE = 0.2
@@ -17,6 +17,7 @@ STRETCH = 1 << 14
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is known; those without letters, or like no learned language, go."""
+    small_batches(spark)
     fit = language.fitted(docs, language.remainder() != 0)
     # other columns travel under numbers, so that none is taken for one of the prediction's
     names = {c: c if c in ("doc_id", "text") else f"_{k}" for k, c in enumerate(docs.columns)}
@@ -39,6 +40,7 @@ def staying(docs: DataFrame, key: str, found: DataFrame) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of equal texts, and one row of it if rows are repeated."""
+    small_batches(spark)
     key = key_of(docs)
     docs = keyed(docs, key)
     return staying(docs, key, exact_dedup.duplicates(docs, row=key))
@@ -46,6 +48,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near-duplicates: the one that names it, and one row of it."""
+    small_batches(spark)
     key = key_of(docs)
     docs = keyed(docs, key)
     return staying(docs, key, lsh_forest.join(docs, row=key))
@@ -80,6 +83,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, and the digest of the text that they decode to."""
+    small_batches(spark)
     return sentencepieces.round_trip(docs, tokenizer("piece_bpe_32k.model"))
 
 

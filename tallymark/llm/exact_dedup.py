@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.shared import BLANKS, whole_text, written
+from tallymark.llm.shared import BLANKS, tidied, whole_text, written
 
 #: Keys that a bucket holds before it splits.
 CAPACITY = 1 << 16
@@ -140,10 +140,10 @@ def duplicates(
     texts = texts.withColumn("key", hashed("bare")).join(again, F.col("key") == F.col("again"), "inner").drop("again").drop(again["size"])
     texts = texts.withColumn("text_sha256", F.sha2("bare", 256))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "bare")
-    copies = written(texts.mapInArrow(collapsed, f"{kinds}, entry long, bare string"), "entries")
+    copies = written(texts.mapInArrow(tidied(collapsed), f"{kinds}, entry long, bare string"), "entries")
     owner = F.shiftright("bucket", bits - share).cast("int")
     entries = copies.filter("bare is not null").select("entry", "bucket", "key", "bare").repartitionById(1 << share, owner).sortWithinPartitions("key")
-    chains = written(entries.mapInArrow(chained, "entry long, bucket long, key long, slot int"), "chains")
+    chains = written(entries.mapInArrow(tidied(chained), "entry long, bucket long, key long, slot int"), "chains")
 
     best = F.min(F.struct((-F.col("size")).alias("less"), F.isnull("doc_id").alias("none"), "doc_id", *(["row"] if row else []))).alias("best")
     parts = copies.groupBy("entry").agg(F.count("*").alias("rows"), best)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.llm.shared import whole_text
+from tallymark.llm.shared import tidied, whole_text
 from tallymark.llm.shingles import pieces, utf8
 
 #: Different labelled texts that the machines are fitted on, over all languages together.
@@ -155,7 +155,7 @@ def fitted(docs: DataFrame, learns: Column, lang: str = "lang", text: str = "tex
             names = ["lang", "hash", "place"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in names), pa.array(found, pa.binary())], names=[*names, "features"])
 
-    once = rows.mapInArrow(count, "lang string, hash long, place double, features binary").groupBy("lang", "hash", "place").agg(F.any_value("features").alias("features"))
+    once = rows.mapInArrow(tidied(count), "lang string, hash long, place double, features binary").groupBy("lang", "hash", "place").agg(F.any_value("features").alias("features"))
     nearest = F.row_number().over(Window.partitionBy("lang").orderBy("place", "hash"))
     by_lang: dict[str, list] = {}
     for r in once.withColumn("n", nearest).filter(F.col("n") <= quota).collect():
@@ -205,4 +205,4 @@ def predicted(docs: DataFrame, fit: Discriminator, doc_id: str = "doc_id", text:
     read = text if text in keep and dict(docs.dtypes)[text] == "string" else "_text"
     df = docs.select(F.col(doc_id).alias("doc_id"), *keep, *([whole.alias("_text")] if read == "_text" else []), whole.rlike(r"\p{L}").alias("_lettered"))
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-    return df.mapInArrow(predict, f"{kinds}, lang_pred string, score double")
+    return df.mapInArrow(tidied(predict), f"{kinds}, lang_pred string, score double")

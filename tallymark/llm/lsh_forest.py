@@ -31,13 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.components import components
-from tallymark.llm.shared import whole_text, written
+from tallymark.llm.shared import tidied, whole_text, written
 from tallymark.llm.shingles import mixed, shingles
 
 WIDTH, THRESHOLD, RECALL = 5, "0.8", 0.9995
 TREES, DEPTH = 16, 6
 #: What a block of a node holds, about: rows, shingles.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Pairs of two blocks that are looked at together, and those whose signatures are.
+STRIPE, SEEN = 1 << 18, 1 << 13
 
 
 def matched_length(threshold: str, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -87,7 +89,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int, values: int, r
     key = ["row"] if row else []
     kinds = [f"row {docs.schema[row].dataType.simpleString()}"] if row else []
     columns = [F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"), *([F.col(row).alias("row")] if row else [])]
-    return docs.select(*columns).mapInArrow(sketch, ", ".join([f"doc_id {kind}, shingles int, rep binary, signature binary", *kinds]))
+    return docs.select(*columns).mapInArrow(tidied(sketch), ", ".join([f"doc_id {kind}, shingles int, rep binary, signature binary", *kinds]))
 
 
 def digest(found: np.ndarray) -> bytes:
@@ -114,7 +116,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 [pa.array([digest(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["rep", "found"]
             )
 
-    return docs.mapInArrow(sets, "rep binary, found binary")
+    return docs.mapInArrow(tidied(sets), "rep binary, found binary")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -143,8 +145,8 @@ def known(signatures: np.ndarray, left: np.ndarray, right: np.ndarray, tree: int
     in none. The tree after the last stands for a clump: its pairs count as known if they do not meet at this level at all."""
     out = np.zeros(len(left), bool)
     trees, depth = signatures.shape[1:]
-    for start in range(0, len(left), 1 << 15):
-        one, other = left[start : start + (1 << 15)], right[start : start + (1 << 15)]
+    for start in range(0, len(left), SEEN):
+        one, other = left[start : start + SEEN], right[start : start + SEEN]
         same = signatures[one] == signatures[other]
         met = same[:, :tree, :level].all(axis=2).any(axis=1)
         if tree == trees:
@@ -153,7 +155,7 @@ def known(signatures: np.ndarray, left: np.ndarray, right: np.ndarray, tree: int
             met |= (clump[one] == clump[other]) & (clump[one] >= 0)
         if level < depth:
             met |= same[:, :, : level + 1].all(axis=2).any(axis=1)
-        out[start : start + (1 << 15)] = met
+        out[start : start + SEEN] = met
     return out
 
 
@@ -202,24 +204,33 @@ def verified(
         common[0, 1] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
     else:
         common = intersections(sets)
-    left, right = np.nonzero(np.triu(common * (a + b) >= a * (sizes[:, None] + sizes[None, :]), 1))
-    if side is not None:
-        crossing = side[left] != side[right]
-        left, right = left[crossing], right[crossing]
-    new = ~known(signatures, left, right, tree, level, clump)
-    left, right = left[new], right[new]
-    shared = common[left, right].astype(np.int64)
-    hundredths = shared * 100 // (sizes[left] + sizes[right] - shared)
-    links = np.bincount(left, copies[right], n) + np.bincount(right, copies[left], n)
-    roots = np.arange(n)
-    while len(left):
-        low = np.minimum(roots[left], roots[right])
-        if (roots[left] == low).all() and (roots[right] == low).all():
-            break
-        np.minimum.at(roots, left, low)
-        np.minimum.at(roots, right, low)
-        roots = roots[roots]
-    return links.astype(np.int64), roots, hundredths
+    links, roots, column = np.zeros(n), np.arange(n), np.arange(n)
+    pairs, hundredths = [], [np.zeros(0, np.uint8)]
+    step = max(1, STRIPE // n)
+    for start in range(0, n, step):  # so many rows at a time that their pairs take little room
+        part = common[start : start + step]
+        near = part * (a + b) >= a * (sizes[start : start + step, None] + sizes[None, :])
+        left, right = np.nonzero(near & (column[None, :] > column[start : start + step, None]))
+        left += start
+        if side is not None:
+            crossing = side[left] != side[right]
+            left, right = left[crossing], right[crossing]
+        new = ~known(signatures, left, right, tree, level, clump)
+        left, right = left[new], right[new]
+        shared = part[left - start, right].astype(np.int64)
+        hundredths.append((shared * 100 // (sizes[left] + sizes[right] - shared)).astype(np.uint8))
+        links += np.bincount(left, copies[right], n) + np.bincount(right, copies[left], n)
+        pairs.append((left.astype(np.int32), right.astype(np.int32)))
+    moved = True
+    while moved:
+        moved = False
+        for left, right in pairs:
+            low = np.minimum(roots[left], roots[right])
+            if (roots[left] != low).any() or (roots[right] != low).any():
+                np.minimum.at(roots, left, low)
+                np.minimum.at(roots, right, low)
+                roots, moved = roots[roots], True
+    return links.astype(np.int64), roots, np.concatenate(hundredths)
 
 
 def join(
@@ -313,7 +324,7 @@ def level_links(
         (F.col("block") > F.col("other")).alias("side"),
     ).repartition(*key).sortWithinPartitions(*key, "rep")
     kinds = "rep binary, tree int, prefix binary, i int, j int, side boolean, clump binary"
-    new = written(dealt.mapInArrow(lambda batches: block_fresh(batches, trees, depth, level), kinds), "fresh")
+    new = written(dealt.mapInArrow(tidied(lambda batches: block_fresh(batches, trees, depth, level)), kinds), "fresh")
 
     needed = sets.join(new.select("rep").distinct(), "rep", "left_semi").select(F.col("first_id").alias("_first"))
     texts = named.join(needed, F.col("_id").eqNullSafe(F.col("_first")), "left_semi").select("text")
@@ -321,7 +332,7 @@ def level_links(
     carried = held.join(sets.select("rep", "copies", "signature"), "rep")
     return (
         new.join(carried, "rep").repartition(*key).sortWithinPartitions(*key, "rep")
-        .mapInArrow(lambda batches: block_links(batches, trees, depth, level, limit), "rep binary, links long, root binary, hundredth int")
+        .mapInArrow(tidied(lambda batches: block_links(batches, trees, depth, level, limit)), "rep binary, links long, root binary, hundredth int")
     )
 
 

@@ -26,18 +26,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.shared import whole_text
+from tallymark.llm.shared import tidied, whole_text
+from tallymark.llm.shingles import pieces as pieces_of
+from tallymark.llm.shingles import utf8
 
 #: The mark for a space, and what kinds of pieces and models are in the file format.
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, MERGES = 1, 2
-#: Words of which a worker keeps the ids, and the longest such word.
-KEPT_WORDS, KEPT_LENGTH = 800_000, 48
+#: Words of which a worker keeps the ids, the longest such word, and pairs of pieces that it keeps.
+KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 250_000, 48, 400_000
 #: Places in which a worker notes which words it has met once.
 NOTED = 1 << 22
-#: Texts encoded together, and words searched side by side.
-PART, BESIDE = 2048, 32_768
+#: Texts encoded together and their bytes, unless one text is longer, and words searched side by side.
+PART, PART_BYTES, BESIDE = 2048, 1 << 22, 32_768
 #: No piece ends so.
 MISSING = -2
 #: Texts whose words cannot be looked up one by one: runs of spaces, or the mark itself.
@@ -90,7 +92,9 @@ class Pieces:
         self.known = {p[-k:]: -1 for p in self.ids for k in range(1, len(p) + 1)} | self.ids
         self.cut_at_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.pairs: dict[tuple[str, str], bool] = {}
+        # the words of late, and those before them: what is not met again goes
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.noted, self.n_noted = np.zeros(NOTED, bool), 0
         # for many words at once: which pairs of ids stay apart, and what pieces can end with, by its hash
         self.strings, self.sizes, self.apart = [p for p, _, _ in pieces], np.array([len(p) for p, _, _ in pieces]), {}
@@ -113,6 +117,8 @@ class Pieces:
         """Whether merging the characters of both pieces ends with just these two."""
         known = self.pairs.get((left, right))
         if known is None:
+            if len(self.pairs) >= KEPT_PAIRS:
+                self.pairs.clear()
             known = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return known
 
@@ -243,6 +249,8 @@ class Pieces:
                 self.words[w] = np.array(ids, np.int32).tobytes()
             else:
                 self.words[w] = raw[4 * a : 4 * b]
+        if len(self.apart) > KEPT_PAIRS:  # start over
+            self.apart, self.pairs_tabled, self.pair_table = {}, 0, Table({})
         if len(self.apart) > 1.1 * self.pairs_tabled:
             self.pairs_tabled = len(self.apart)
             self.pair_table = Table(self.apart)
@@ -315,12 +323,16 @@ class Pieces:
             plain = ~np.asarray(pc.match_substring_regex(texts, UNSPLIT)) & (np.asarray(pc.binary_length(texts)) > 0)
         split = pc.split_pattern(texts.filter(pa.array(plain)), " ")
         found = split.flatten().dictionary_encode()
-        names, words = found.dictionary.to_pylist(), self.words
-        blobs = list(map(words.get, names))
+        names = found.dictionary.to_pylist()
+        blobs = list(map(self.words.get, names))
+        for k in [k for k, b in enumerate(blobs) if b is None]:
+            if (blob := self.older.get(names[k])) is not None:
+                blobs[k] = self.words[names[k]] = blob
         unknown = [k for k, b in enumerate(blobs) if b is None]
         short = [names[k] for k in unknown if len(names[k]) <= KEPT_LENGTH]
-        if len(words) + len(short) > KEPT_WORDS:  # start over with the new words of these texts
-            words.clear()
+        if len(self.words) + len(short) > KEPT_WORDS // 2:
+            self.older, self.words = self.words, {}
+        words = self.words
         self.learn(short)
         for k in unknown:
             blobs[k] = words[names[k]] if len(names[k]) <= KEPT_LENGTH else self.encode_marked(SPACE + names[k]).tobytes()
@@ -360,6 +372,14 @@ def model(path: str) -> Pieces:
     return Pieces([(p.piece, p.score, p.type) for p in proto.pieces], proto.trainer_spec.model_type, proto.normalizer_spec.add_dummy_prefix)
 
 
+def parts(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """A batch in slices of bounded rows and bytes of text."""
+    _, offsets = utf8(batch.column(text))
+    for first in range(0, len(batch), PART):
+        for start, end in pieces_of(offsets[first : first + PART + 1], PART_BYTES):
+            yield batch.slice(first + start, end - start)
+
+
 def listed(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
 
@@ -371,12 +391,11 @@ def encoded(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str
         pieces = model(model_path)
         for batch in batches:
             # a batch of long texts goes out in parts
-            for start in range(0, len(batch), PART):
-                part = batch.slice(start, PART)
+            for part in parts(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), listed(*pieces.encode_column(part.column("text")))], names=["doc_id", "ids"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).mapInArrow(encode, f"doc_id {kind}, ids array<int>")
+    return docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).mapInArrow(tidied(encode), f"doc_id {kind}, ids array<int>")
 
 
 def decoded(ids: DataFrame, model_path: str, doc_id: str = "doc_id", column: str = "ids") -> DataFrame:
@@ -391,7 +410,7 @@ def decoded(ids: DataFrame, model_path: str, doc_id: str = "doc_id", column: str
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = ids.schema[doc_id].dataType.simpleString()
-    return ids.select(F.col(doc_id).alias("doc_id"), F.col(column).alias("ids")).mapInArrow(decode, f"doc_id {kind}, text string")
+    return ids.select(F.col(doc_id).alias("doc_id"), F.col(column).alias("ids")).mapInArrow(tidied(decode), f"doc_id {kind}, text string")
 
 
 def round_trip(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -402,8 +421,7 @@ def round_trip(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: s
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(model_path)
         for batch in batches:
-            for start in range(0, len(batch), PART):
-                part = batch.slice(start, PART)
+            for part in parts(batch):
                 texts = part.column("text").to_pylist()
                 ids, offsets = pieces.encode_column(part.column("text"))
                 back = [pieces.decode(ids[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
@@ -414,4 +432,4 @@ def round_trip(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: s
 
     kind = docs.schema[doc_id].dataType.simpleString()
     whole = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
-    return whole.mapInArrow(both, f"doc_id {kind}, ids array<int>, n_ids long, text_sha256 string, same boolean")
+    return whole.mapInArrow(tidied(both), f"doc_id {kind}, ids array<int>, n_ids long, text_sha256 string, same boolean")

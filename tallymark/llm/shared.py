@@ -1,16 +1,21 @@
-"""What the operators of this subpackage have in common: the shared folder, blanks, two-level running sums."""
+"""What the operators of this subpackage have in common: the shared folder, blanks, memory of workers, two-level running sums."""
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of the contracts: space, and tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Bytes of the batches that go to Python workers, about, and the setting that bounds them.
+BATCH_BYTES, BATCH_SETTING = 1 << 22, "spark.sql.execution.arrow.maxBytesPerBatch"
 _own: dict[str, str] = {}
 
 
@@ -52,6 +57,32 @@ def _place() -> Column:
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of a batch for Python workers, unless the session has a bound of its own: a batch of whole texts stands
+    in the worker and, on its way there and back, in the executor."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work on batches; the memory that it no longer needs goes back to the system when its task ends, as the worker
+    lives on beside later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux") and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

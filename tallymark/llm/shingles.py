@@ -16,7 +16,7 @@ _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 #: Bytes of text worked on at once, unless one text is longer.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 
@@ -243,3 +244,23 @@ def test_nodes_that_share_few_sets_are_no_clump(spark, monkeypatch):
     found = {bytes(r["rep"]): (bytes(r["clump"]), r["blocks"]) for r in lsh_forest.clumps(members, nodes, 3).collect()}
     assert sorted(found) == [f"{r:03}".encode() for r in range(9)] and {b for _, b in found.values()} == {3} and len(set(found.values())) == 1
     assert lsh_forest.clumps(members, nodes.filter("blocks = 1"), 3) is None
+
+
+def test_block_of_many_links_takes_little_memory(monkeypatch):
+    """All sets of two blocks are linked across them: links, roots and similarities are those of brute force, a stripe of pairs at a time."""
+    rng = np.random.default_rng(1)
+    shared = rng.integers(1, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([shared, rng.integers(1, 2**63, int(k), dtype=np.uint64)])) for k in rng.integers(0, 8, 1500)]
+    side, copies = np.arange(len(sets)) % 2 == 1, rng.integers(1, 4, len(sets))
+    signatures = np.zeros((len(sets), 2, 3), np.uint32)
+    signatures[:, :, 1:] = np.arange(len(sets), dtype=np.uint32)[:, None, None]
+    tracemalloc.start()
+    links, roots, hundredths = lsh_forest.verified(sets, signatures, side, copies, Fraction(4, 5), 0, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    own = np.array([len(s) - 60 for s in sets])
+    near = (side[:, None] != side[None, :]) & (60 * 9 >= 4 * (120 + own[:, None] + own[None, :]))
+    assert links.tolist() == (near * copies[None, :]).sum(axis=1).tolist()
+    assert sorted(hundredths.tolist()) == sorted((6000 // (60 + own[:, None] + own[None, :]))[np.triu(near)].tolist())
+    assert (roots == 0).sum() == near[0].any() + near.any(axis=1)[1:].sum()
+    assert peak < 55 * len(sets) ** 2 / 2, peak

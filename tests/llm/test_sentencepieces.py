@@ -85,3 +85,29 @@ def test_tables(documents, rows, clashing):
     assert rows(back, "text") == sorted([(t.replace("▁", " "),) for t in TEXTS + ["", "same", "same"]], key=repr)
     assert rows(S.round_trip(documents([]), PATH)) == [] and rows(S.decoded(S.encoded(documents([]), PATH), PATH)) == []
     assert np.array_equal(S.model(PATH).encode(""), [])
+
+
+def test_worker_keeps_bounded_words_and_pairs(monkeypatch):
+    """Words met again of late stay when others go, pairs start over; the ids are the same."""
+    monkeypatch.setattr(S, "KEPT_WORDS", 400)
+    monkeypatch.setattr(S, "KEPT_PAIRS", 300)
+    pieces = S.model.__wrapped__(PATH)
+    for k in range(30):
+        texts = [" ".join(["again", *(f"twice{k}x{n} twice{k}x{n}" for n in range(60))]), "next again"]
+        for text, ids in zip(texts, encode_all(pieces, texts), strict=True):
+            assert ids.tolist() == pieces.encode(text).tolist()
+        assert len(pieces.words) + len(pieces.older) <= 400 and len(pieces.pairs) <= 300 and len(pieces.apart) <= 300
+        assert k == 0 or {"again", "next"} <= set(pieces.words) | set(pieces.older)  # met twice
+
+
+def test_long_texts_are_encoded_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(S, "PART", 5)
+    monkeypatch.setattr(S, "PART_BYTES", 100)
+    texts = ["x" * n for n in [10, 20, 300, 0, 90, 20, 1, 1, 1, 1, 1, 1, 1, 1]] + [None, "é" * 60]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"]).slice(1)
+    found = list(S.parts(batch))
+    assert [n for part in found for n in part.column("doc_id").to_pylist()] == [*range(1, len(texts))]
+    for part in found:
+        held = sum(len((t or "").encode()) for t in part.column("text").to_pylist())
+        assert len(part) <= 5 and (held <= 100 or len(part) == 1)
+    assert list(S.parts(batch.slice(0, 0))) == []

@@ -38,8 +38,11 @@ END_ID = 2
 PART = 4096
 #: Chunks of text of which a worker keeps the ids, and the longest such chunk.
 KEPT, KEPT_LENGTH = 800_000, 48
-#: White space but for the space and the line break, and the mark put before a text's first piece.
-ODD = r"[\x01\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Pieces put together to one text for the library.
+GROUP = 256
+#: White space but for the space and the line break, the mark put before a text's first piece, and spaces and line breaks in a
+#: row or at either end.
+ODD = r"[\x01\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
 HEAD, APART = "\x01", ("\n", ",", ".")
 #: A comma or full stop that may belong to the mark before it.
 JOINED = r"(?:^|[^\pL\pN])[,.]"
@@ -127,7 +130,8 @@ class Segment:
 class Encoder:
     """A tokenizers file. Its byte-level pattern begins a new pre-token at a space before a visible character, at a lone
     line break, and at a comma or full stop after a letter or digit: texts are cut there, and only distinct pieces go to
-    the library. Pieces are remembered for two generations, so that frequent ones stay and rare ones go."""
+    the library. Pieces are remembered for two generations, so that frequent ones stay and rare ones go. A generation is
+    three arrays: the pieces, their numbers of ids and the ids of one after another; no piece is a Python object."""
 
     def __init__(self, path: str):
         # tasks are the unit of parallel work; threads beside them only wait for each other
@@ -135,8 +139,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young, self.old = _generation(), _generation()
         # a character of a token stands for a byte of text, but in added tokens
         self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, n in self.tokenizer.get_vocab().items():
@@ -144,28 +147,58 @@ class Encoder:
         for n, token in self.tokenizer.get_added_tokens_decoder().items():
             self.width[n] = len(token.content.encode())
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of pieces, by whether they stand apart, begin a text or follow a space. Those that begin with white space
-        are put together to longer texts for the library, and cut again by the bytes of their tokens."""
-        full = {w: w.removeprefix(HEAD) if w[:1] in (*APART, HEAD) else " " + w for w in new}
-        found = {}
-        spaced = [w for w, x in full.items() if x[:1] in (" ", "\n") and x.strip()]
-        groups = [spaced[k : k + 256] for k in range(0, len(spaced), 256)]
-        for group, raw in zip(groups, self._library(["".join([full[w] for w in group]) for group in groups]), strict=True):
-            ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in map(full.__getitem__, group)])
-            reached = np.cumsum(self.width[np.frombuffer(raw, np.uint32)])
+    def _library(self, texts: pa.Array) -> list[np.ndarray]:
+        return [np.array(array("I", e.ids), np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+
+    def _pieces(self, new: pa.Array) -> dict:
+        """A generation of pieces, by whether they stand apart, begin a text or follow a space. Those that begin with white
+        space are put together to longer texts for the library, and cut again by the bytes of their tokens."""
+        head = pc.starts_with(new, HEAD)
+        apart = head
+        for mark in APART:
+            apart = pc.or_(apart, pc.starts_with(new, mark))
+        full = pc.binary_join_element_wise(pc.if_else(apart, "", " "), pc.if_else(head, pc.utf8_slice_codeunits(new, 1), new), "")
+        lengths = pc.binary_length(full)
+        # no piece has white space but at its beginning, so one that is longer has something to see
+        spaced = pc.and_(pc.or_(pc.starts_with(full, " "), pc.starts_with(full, "\n")), pc.greater(lengths, 1))
+        texts, lengths = full.filter(spaced), lengths.filter(spaced).to_numpy()
+        bounds = np.append(np.arange(0, len(texts), GROUP), len(texts))
+        groups = pa.ListArray.from_arrays(bounds.astype(np.int32), texts)
+        ids, sizes = [], []
+        for k, raw in zip(bounds[:-1].tolist(), self._library(pc.binary_join(groups, "")), strict=True):
+            ends = np.cumsum(lengths[k : k + GROUP])
+            reached = np.cumsum(self.width[raw])
             cuts = np.searchsorted(reached, ends)
             if (reached[np.minimum(cuts, len(reached) - 1)] == ends).all():
-                start = 0
-                for w, end in zip(group, ((cuts + 1) * 4).tolist(), strict=True):
-                    found[w] = raw[start:end]
-                    start = end
-        rest = [w for w in full if w not in found]
-        found.update(zip(rest, self._library([full[w] for w in rest]), strict=True))
-        return found
+                ids.append(raw)
+                sizes.append(np.diff(cuts, prepend=-1))
+            else:
+                one_by_one = self._library(texts.slice(k, GROUP))
+                ids += one_by_one
+                sizes.append(np.array([len(x) for x in one_by_one], np.int64))
+        others = pc.invert(spaced)
+        one_by_one = self._library(full.filter(others))
+        words = pa.concat_arrays([new.filter(spaced), new.filter(others)])
+        sizes.append(np.array([len(x) for x in one_by_one], np.int64))
+        return _generation(words, np.concatenate(sizes), np.concatenate([*ids, *one_by_one, np.zeros(0, np.uint32)]))
+
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of pieces that lie one after another, their numbers, and which of them each word is. Most words are young:
+        only the others are looked up, encoded and kept."""
+        young, old = self.young, self.old
+        at = _places(words, young["words"])
+        missing = at < 0
+        others = words.filter(pa.array(missing))
+        in_old = _places(others, old["words"])
+        new = self._pieces(others.filter(pa.array(in_old < 0)))
+        at[missing] = np.where(in_old < 0, len(young["sizes"]) + len(old["sizes"]) + _places(others, new["words"]), len(young["sizes"]) + in_old)
+        ids, sizes = (np.concatenate([g[c] for g in (young, old, new)]) for c in ("ids", "sizes"))
+        if len(others):
+            kept = _joined(young, _picked(old, in_old[in_old >= 0]), _picked(new, np.flatnonzero(pc.less_equal(pc.binary_length(new["words"]), KEPT_LENGTH))))
+            self.young.update(kept)
+            if len(kept["sizes"]) > KEPT // 2:
+                self.young, self.old = _generation(), kept
+        return ids, sizes, at
 
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text. Texts have no nulls."""
@@ -176,28 +209,36 @@ class Encoder:
         cut = pc.split_pattern(pc.binary_join_element_wise(HEAD, marked, ""), " ")
         ends = cut.offsets.to_numpy()[1:] - cut.offsets.to_numpy()[0]
         coded = cut.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        young, old = self.young, self.old
-        known = list(map(young.get, words))
-        # most are young: only the others are looked up, encoded and kept
-        others = {words[k]: k for k, ids in enumerate(known) if ids is None}
-        found = {w: old.get(w) for w in others}
-        found.update(self._pieces([w for w, ids in found.items() if ids is None]))
-        for w, k in others.items():
-            known[k] = found[w]
-        young.update((w, ids) for w, ids in found.items() if len(w) <= KEPT_LENGTH)
-        if len(young) > KEPT // 2:
-            self.young, self.old = {}, young
+        flat, sizes, at = self._known(coded.dictionary)
 
         # lay the pieces' ids out in the order of their occurrences
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        flat = np.frombuffer(b"".join(known), np.uint32)
-        places, stops = positions(sizes, coded.indices.to_numpy())
+        places, stops = positions(sizes, at[coded.indices.to_numpy()])
         laid = flat[places]
         stops = np.concatenate([[0], stops])[ends]
         parts = iter(np.split(laid, stops[:-1])) if len(stops) else iter(())
-        uncut = iter(self._library(texts.filter(whole).to_pylist()))
-        return [np.frombuffer(next(uncut), np.uint32) if w else next(parts) for w in whole.to_pylist()]
+        uncut = iter(self._library(texts.filter(whole)))
+        return [next(uncut) if w else next(parts) for w in whole.to_pylist()]
+
+
+def _generation(words: pa.Array | None = None, sizes: np.ndarray | None = None, ids: np.ndarray | None = None) -> dict:
+    """Pieces, their numbers of ids, and the ids of one after another; none of them by default."""
+    if words is None:
+        words, sizes, ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    return {"words": words, "sizes": sizes, "ids": ids}
+
+
+def _picked(some: dict, at: np.ndarray) -> dict:
+    places, _ = positions(some["sizes"], at)
+    return _generation(some["words"].take(pa.array(at)), some["sizes"][at], some["ids"][places])
+
+
+def _joined(*some: dict) -> dict:
+    return _generation(pa.concat_arrays([g["words"] for g in some]), *(np.concatenate([g[c] for g in some]) for c in ("sizes", "ids")))
+
+
+def _places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each word stands among others, -1 if it doesn't."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy().copy()
 
 
 def positions(sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,13 +257,9 @@ def _whole(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
     """Texts that can't be cut: white space in a row, at either end or of other kinds, or the mark of a text's head. And
     those whose commas and full stops can't be cut off."""
     odd = pc.match_substring_regex(texts, ODD)
-    for two in ("  ", " \n", "\n ", "\n\n"):
-        odd = pc.or_(odd, pc.match_substring(texts, two))
-    for edge in (" ", "\n"):
-        odd = pc.or_(odd, pc.or_(pc.starts_with(texts, edge), pc.ends_with(texts, edge)))
     joined = pc.match_substring_regex(texts, JOINED)
-    for two in (" ,", " ."):  # there the mark would look like one that stands apart
-        odd = pc.or_(odd, pc.and_(joined, pc.match_substring(texts, two)))
+    if pc.any(joined).as_py():  # there the mark would look like one that stands apart
+        odd = pc.or_(odd, pc.and_(joined, pc.match_substring_regex(texts, " [,.]")))
     return odd, joined
 
 

@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -86,3 +87,31 @@ def test_only_pieces_that_are_not_known_are_kept_anew():
 
     use.young = Kept(use.young)
     assert use.encode_all(text)[0].tolist() == first == library("some plain words, and more.")
+
+
+def test_pieces_are_not_handled_one_by_one():
+    words, calls = [f"w{k}x{k * 7919 % 1000}" for k in range(20_000)], []
+    use, text, before = T.Encoder(PATH), " ".join(words), sys.getprofile()
+    sys.setprofile(lambda *call: calls.append(call[1]))
+    try:
+        ids = use.encode_all(pa.array([text]))[0]
+    finally:
+        sys.setprofile(before)
+    assert len(calls) < len(words) / 2  # of Python and of functions in C
+    assert len(use.young["words"]) == len(words) and sum(use.young[c].nbytes for c in ("words", "sizes", "ids")) < 64 * len(words)
+    assert ids.tolist() == library(text)
+
+
+def test_pieces_of_the_older_generation_and_long_ones(monkeypatch, prose):
+    monkeypatch.setattr(T, "KEPT", 40)
+    use, texts = T.Encoder(PATH), [prose(100, 1), "few words, " + "z" * 200 + " end.", prose(100, 1), "few words, " + "z" * 200 + " end."]
+    for text in texts:
+        assert use.encode_all(pa.array([text, "few words"]))[0].tolist() == library(text)
+    assert "z" * 200 not in use.young["words"].to_pylist() + use.old["words"].to_pylist()
+
+
+def test_pieces_that_can_not_be_cut_apart_are_encoded_alone(monkeypatch, prose):
+    monkeypatch.setattr(T, "GROUP", 7)
+    use, text = T.Encoder(PATH), prose(80, 2)
+    use.width[np.unique(library(text))[::5]] += 1  # as if tokens reached over the ends of some pieces
+    assert use.encode_all(pa.array([text, ""]))[0].tolist() == library(text)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.llm.shared import whole_text, written
+from tallymark.llm.shared import tidied, whole_text, written
 
 MAGIC = 0x31524650
 #: Ids in a block (its last one may have fewer), ids in a segment, about, and the share of a block that must fit its width.
@@ -298,7 +298,7 @@ def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
     kind = docs.schema[doc_id].dataType.simpleString()
     whole = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
     ordered = whole.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-    return written(ordered.mapInArrow(encode, f"part int, place int, ids long, doc_ids array<{kind}>, content binary"), "segments")
+    return written(ordered.mapInArrow(tidied(encode), f"part int, place int, ids long, doc_ids array<{kind}>, content binary"), "segments")
 
 
 def read(segments: DataFrame) -> DataFrame:
@@ -333,5 +333,5 @@ def _read(segments: DataFrame, schema: str, measure, kinds: list[pa.DataType]) -
     inside = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("part", "place", inside.alias("inside")).join(parts, "part").select("part", "place", (F.col("inside") + F.col("before")).alias("start"))
     id_kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
-    rows = segments.select("part", "place", "doc_ids", "content").mapInArrow(decode, f"part int, place int, doc_id {id_kind}, first long, {schema}")
+    rows = segments.select("part", "place", "doc_ids", "content").mapInArrow(tidied(decode), f"part int, place int, doc_id {id_kind}, first long, {schema}")
     return rows.join(starts, ["part", "place"]).select("doc_id", (F.col("start") + F.col("first")).alias("start"), *names)

@@ -115,3 +115,10 @@ def test_pieces_that_can_not_be_cut_apart_are_encoded_alone(monkeypatch, prose):
     use, text = T.Encoder(PATH), prose(80, 2)
     use.width[np.unique(library(text))[::5]] += 1  # as if tokens reached over the ends of some pieces
     assert use.encode_all(pa.array([text, ""]))[0].tolist() == library(text)
+
+
+def test_tasks_give_memory_back(documents, rows, monkeypatch):
+    used, tidied = [], T.tidied
+    monkeypatch.setattr(T, "tidied", lambda work: used.append(work.__name__) or tidied(work))
+    assert len(rows(T.checked(T.write(documents(["a b", None]), PATH)))) == 2
+    assert used == ["encode", "decode"]
